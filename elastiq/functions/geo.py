@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import plain_number
-from elastiq.functions.skew import dim_join
+from elastiq.functions.skew import salted_join
 
 
 def point_text(lon: Column, lat: Column) -> Column:
@@ -94,22 +94,23 @@ def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float
 
 def points_in_zones(
     points: DataFrame,
-    zones: DataFrame,
+    cells: DataFrame,
     on: Sequence[str],
+    cell_size: float,
     *,
     lon: str = "lon",
     lat: str = "lat",
-    shape: str = "zone_shape",
-    cell_size: float = 0.02,
     spread_by: Sequence[str],
 ) -> DataFrame:
-    """The rows of ``points`` inside at least one zone with the same ``on`` values, each kept once."""
+    """The rows of ``points`` inside at least one zone with the same ``on`` values, each kept once.
+
+    ``cells`` are the staged cells of the zones at the same ``cell_size``.
+    """
     size = F.lit(float(cell_size))
     x, y = F.col(lon), F.col(lat)
     gridded = points.withColumn("_gx", F.floor(x / size)).withColumn("_gy", F.floor(y / size))
-    cells = zone_cells(zones, on, shape, cell_size)
     exact = F.col("_edges").isNull() | inside(F.col("_edges"), x, y)
-    sides = F.lit(1) + F.coalesce(F.size("_edges"), F.lit(0))
-    return dim_join(
-        gridded, cells, [*on, "_gx", "_gy"], "left_semi", spread_by, weight=sides, condition=exact
-    ).drop("_gx", "_gy")
+    cells = cells.select(*on, "_gx", "_gy", "_edges")
+    return salted_join(gridded, cells, [*on, "_gx", "_gy"], "left_semi", spread_by, condition=exact).drop(
+        "_gx", "_gy"
+    )

@@ -13,9 +13,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-# A broadcast side above this many rows is joined by shuffle instead (three short ids: about 50 MB).
-BROADCAST_ROWS = 500_000
+SALTS = 8
 
 
 def salt(cols: Sequence[str], salts: int = SALTS) -> Column:
@@ -35,8 +33,10 @@ def salted_join(
 ) -> DataFrame:
     """Join ``dim`` to ``facts``, each key of ``facts`` cut into ``salts`` parts by ``spread_by``.
 
-    ``dim`` is repeated once per salt, so it should hold few rows per key; ``how`` may be
-    ``inner``, ``left`` or ``left_semi``.
+    A ``dim`` that Spark finds smaller than its broadcast threshold is broadcast and the facts stay where
+    they are; pass a staged table, whose size is known. A larger one is shuffled, and the salts keep a
+    hot key from landing in one task. ``dim`` is repeated once per salt, so it should hold few rows per
+    key. ``how`` may be ``inner``, ``left`` or ``left_semi``.
     """
     left = facts.withColumn("_salt", salt(spread_by, salts))
     right = dim.select(
@@ -52,33 +52,6 @@ def salted_join(
     return left.join(right, test, how).drop("_salt", "_salt_of_dim", *[f"_on_{c}" for c in on])
 
 
-def dim_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread_by: Sequence[str],
-    *,
-    max_rows: int = BROADCAST_ROWS,
-    weight: Column | None = None,
-    condition: Column | None = None,
-) -> DataFrame:
-    """Join a dimension to a fact table without moving the facts, if the dimension is small enough.
-
-    The dimension is counted first (cheap for a staged table: the count comes from its footers). Up to
-    ``max_rows`` it is broadcast; beyond that both sides are shuffled and hot keys are salted. ``weight``
-    counts a row with a long array as more than one.
-    """
-    size = dim.count() if weight is None else dim.agg(F.sum(weight)).first()[0] or 0
-    if size > max_rows:
-        return salted_join(facts, dim, on, how, spread_by, condition=condition)
-    if condition is None:
-        return facts.join(F.broadcast(dim), list(on), how)
-    right = dim.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in dim.columns])
-    test = reduce(and_, [F.col(c) == F.col(f"_on_{c}") for c in on]) & condition
-    return facts.join(F.broadcast(right), test, how).drop(*[f"_on_{c}" for c in on])
-
-
 def with_totals(
     df: DataFrame,
     by: Sequence[str],

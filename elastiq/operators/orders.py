@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import nonzero
-from elastiq.functions.skew import dim_join, null_lane
+from elastiq.functions.skew import null_lane, salted_join
 from elastiq.params import AUTOMATIC_SCHEME, COMPLETED, EXTERNAL_FEE_REGIONS, KEYS
 
 
@@ -57,7 +57,7 @@ def vendor_orders(orders: DataFrame, vendors: DataFrame, window: tuple[date, dat
     on = [*KEYS, "vendor_code"]
     known = vendors.select(*on).distinct()
     return (
-        dim_join(done, known, on, "left_semi", ["platform_order_code"])
+        salted_join(done, known, on, "left_semi", ["platform_order_code"])
         .groupBy("entity_id", F.lower("country_code").alias("country_code"), "vendor_code")
         .agg(F.countDistinct("platform_order_code").alias("num_orders"))
     )
@@ -94,8 +94,8 @@ def group_order_impact(
     )
     spread = ["platform_order_code"]
     on = [*KEYS, "asa_id"]
-    done = dim_join(done, vendors.select(*on).distinct(), on, "left_semi", spread)
-    done = dim_join(done, active.select("region", *KEYS), KEYS, "inner", spread)
+    done = salted_join(done, vendors.select(*on).distinct(), on, "left_semi", spread)
+    done = salted_join(done, active.select("region", *KEYS), KEYS, "inner", spread)
     fee = paid_fee(
         F.col("region"),
         F.col("external_fee"),

@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from elastiq.functions.geo import point_text, points_in_zones
-from elastiq.functions.skew import dim_join, null_lane
+from elastiq.functions.geo import point_text, points_in_zones, zone_cells
+from elastiq.functions.skew import null_lane, salted_join
 from elastiq.params import KEYS, TRANSACTION, VISIT
 
 VENDOR = [*KEYS, "vendor_code"]
@@ -24,9 +24,15 @@ def _vertical(name: str):
     )
 
 
+def zone_index(zones: DataFrame, cell_size: float) -> DataFrame:
+    """Grid cells of the active zones, for both spatial joins. Stage it: it is larger than its zones."""
+    return zone_cells(zones, [*KEYS, "city_name"], "zone_shape", cell_size)
+
+
 def sessions_in_zones(
     sessions: DataFrame,
     zones: DataFrame,
+    cells: DataFrame,
     vendors: DataFrame,
     window: tuple[date, date],
     *,
@@ -52,10 +58,8 @@ def sessions_in_zones(
     )
     spread = ["events_ga_session_id"]
     names = zones.select(*KEYS, "city_name", "zone_name").distinct()
-    located = dim_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi", spread)
-    located = points_in_zones(
-        located, zones, [*KEYS, "city_name"], cell_size=cell_size, spread_by=spread
-    )
+    located = salted_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi", spread)
+    located = points_in_zones(located, cells, [*KEYS, "city_name"], cell_size, spread_by=spread)
     s = "sessions."
     flat = located.withColumn("e", F.explode("events")).select(
         "created_date",
@@ -93,12 +97,13 @@ def sessions_in_zones(
         point_text(F.col("lon"), F.col("lat")).alias("ga_location"),
     )
     known = vendors.select(*VENDOR).distinct()
-    return dim_join(flat, known, VENDOR, "left_semi", [*spread, "event_time"]).distinct()
+    return salted_join(flat, known, VENDOR, "left_semi", [*spread, "event_time"]).distinct()
 
 
 def fee_requests(
     requests: DataFrame,
     zones: DataFrame,
+    cells: DataFrame,
     window: tuple[date, date],
     *,
     endpoints: Sequence[str] = ("singleFee",),
@@ -123,9 +128,9 @@ def fee_requests(
         F.col("customer.lat").alias("_lat"),
     )
     spread = ["dps_session_id", "created_at"]
-    flat = dim_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi", spread)
+    flat = salted_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi", spread)
     return points_in_zones(
-        flat, zones, ["entity_id"], lon="_lon", lat="_lat", cell_size=cell_size, spread_by=spread
+        flat, cells, ["entity_id"], cell_size, lon="_lon", lat="_lat", spread_by=spread
     ).drop("_lon", "_lat")
 
 
@@ -144,7 +149,7 @@ def fee_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "tra
         "created_at",
     )
     known = vendors.select(*VENDOR).distinct()
-    return dim_join(flat, known, VENDOR, "left_semi", ["dps_session_id", "created_at"])
+    return salted_join(flat, known, VENDOR, "left_semi", ["dps_session_id", "created_at"])
 
 
 def last_fee(offers: DataFrame) -> DataFrame:

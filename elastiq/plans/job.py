@@ -31,6 +31,7 @@ def configure(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataF
     )
     active = out["active_entities"]
     out["active_zones"] = keep(entities.active_zones(source("countries"), active), "active_zones")
+    out["zone_cells"] = keep(sessions.zone_index(out["active_zones"], p.cell_size), "zone_cells")
     setups = keep(groups.current_setups(source("group_config_versions"), active), "setups")
     out["linked_groups"] = groups.linked_groups(setups, suffix=p.link_suffix, suffix_only=p.suffix_only)
     linked = groups.with_master_id(setups, out["linked_groups"], per_pair_ids=p.per_pair_ids)
@@ -52,7 +53,7 @@ def screen(
     )
     ranked = screening.percentile_screen(metrics, group_key=p.group_key)
     funnel = keep(screening.screening_funnel(ranked, p), "screening_funnel")
-    return {"all_metrics": funnel, "screened_vendors": keep(screening.screened_vendors(funnel, p), "screened")}
+    return {"all_metrics": funnel, "screened_vendors": screening.screened_vendors(funnel, p)}
 
 
 def label(
@@ -68,10 +69,10 @@ def label(
     sides = {"vendor": (VENDOR_LEVEL, curves.vendor_curve), "group": (GROUP_LEVEL, curves.group_curve)}
     for side, (level, build) in sides.items():
         curve = keep(build(screened, marks, group_tiers, p), f"{side}_curve")
-        base = keep(curves.curve_base(curve, level, p), f"{side}_base")
+        base = curves.curve_base(curve, level, p)
         changed = curves.curve_change(curve, base, level, p)
         if p.slope_test:
-            changed = curves.with_slope(keep(changed, f"{side}_change"), level, p)
+            changed = curves.with_slope(changed, level, p)
         out[f"{side}_base"] = base
         out[f"{side}_curve"] = changed
     compared = labels.compare_curves(out["vendor_curve"], out["group_base"], out["group_curve"], p)
@@ -79,7 +80,7 @@ def label(
     if p.slope_test:
         tested = labels.slope_test(tested)
     out["compared_curves"] = tested
-    out["vendor_labels"] = keep(labels.vendor_labels(tested, p), "vendor_labels")
+    out["vendor_labels"] = labels.vendor_labels(tested, p)
     return out
 
 
@@ -91,10 +92,9 @@ def performance(
     keep: Stage = stage,
 ) -> dict[str, DataFrame]:
     """Performance per vendor and fee, and the elasticity between the fee tiers of a group."""
-    per_vendor = keep(
-        economics.vendor_fee_performance(group_tiers, vendors, order_rows, final_list), "vendor_performance"
-    )
-    rollup = keep(economics.cluster_fee_rollup(per_vendor), "cluster_rollup")
+    fees = economics.vendor_fee_performance(group_tiers, vendors, order_rows, final_list)
+    per_vendor = keep(fees, "vendor_performance")
+    rollup = economics.cluster_fee_rollup(per_vendor)
     ranked = economics.tier_ranks(economics.cluster_totals(rollup))
     return {"vendor_fee_performance": per_vendor, "tier_elasticity": economics.tier_elasticity(ranked)}
 
@@ -102,13 +102,11 @@ def performance(
 def run(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataFrame]:
     """All result tables of a run by name."""
     out = configure(source, p, keep)
-    vendors, zones = out["vendors"], out["active_zones"]
-    events = keep(
-        sessions.sessions_in_zones(
-            source("web_sessions"), zones, vendors, p.window, cell_size=p.cell_size
-        ),
-        "sessions",
+    vendors, zones, cells = out["vendors"], out["active_zones"], out["zone_cells"]
+    located = sessions.sessions_in_zones(
+        source("web_sessions"), zones, cells, vendors, p.window, cell_size=p.cell_size
     )
+    events = keep(located, "sessions")
     per_vendor = orders.vendor_orders(source("orders_mapped"), vendors, p.window)
     out["group_order_impact"] = orders.group_order_impact(
         source("orders_mapped"), source("external_fee_orders"), out["active_entities"], vendors, p.window
@@ -116,7 +114,7 @@ def run(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataFrame]:
     out |= screen(vendors, events, per_vendor, p, keep)
 
     requests = sessions.fee_requests(
-        source("pricing_requests"), zones, p.window, endpoints=p.endpoints, cell_size=p.cell_size
+        source("pricing_requests"), zones, cells, p.window, endpoints=p.endpoints, cell_size=p.cell_size
     )
     fees = sessions.last_fee(sessions.fee_offers(requests, vendors, fee_field=p.fee_field))
     priced = sessions.sessions_with_fee(events, fees)

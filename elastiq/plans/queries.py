@@ -26,7 +26,7 @@ from elastiq.operators import (
 from elastiq.operators.curves import GROUP_LEVEL, VENDOR_LEVEL
 from elastiq.params import KEYS, Params
 from elastiq.plans import job
-from elastiq.plans.standins import PARAMS, StandIns
+from elastiq.plans.standins import PARAMS, StandIns, once
 from elastiq.sources.history import append_history, read_run
 from elastiq.sources.published import epoch_text, published_ids
 from elastiq.sources.staging import shared_folder, stage
@@ -102,14 +102,26 @@ def _customer_orders(s: StandIns) -> DataFrame:
     )
 
 
+@once
+def _vendors(s: StandIns) -> DataFrame:
+    return stage(s.vendors(), "vendors")
+
+
+@once
 def _active(s: StandIns) -> DataFrame:
     return stage(entities.active_entities(s.entities(), s.orders_mapped()), "active_entities")
 
 
+@once
 def _zones(s: StandIns) -> DataFrame:
     return stage(entities.active_zones(s.countries(), _active(s)), "active_zones")
 
 
+@once
+def _cells(s: StandIns) -> DataFrame:
+    return stage(sessions.zone_index(_zones(s), PARAMS.cell_size), "zone_cells")
+
+
 @query
 def active_zones(s: StandIns) -> DataFrame:
     corners = F.flatten("zone_shape")
@@ -132,6 +144,7 @@ def current_setups(s: StandIns) -> DataFrame:
     return groups.current_setups(s.group_config_versions(), _active(s))
 
 
+@once
 def _setups(s: StandIns) -> DataFrame:
     return stage(current_setups(s), "setups")
 
@@ -141,6 +154,7 @@ def linked_groups(s: StandIns) -> DataFrame:
     return groups.linked_groups(_setups(s), suffix=PARAMS.link_suffix)
 
 
+@once
 def _linked(s: StandIns, p: Params = PARAMS) -> DataFrame:
     setups = _setups(s)
     links = groups.linked_groups(setups, suffix=p.link_suffix, suffix_only=p.suffix_only)
@@ -176,9 +190,10 @@ def group_tiers(s: StandIns) -> DataFrame:
 # sessions
 
 
+@once
 def _located(s: StandIns) -> DataFrame:
     return sessions.sessions_in_zones(
-        s.web_sessions(), _zones(s), s.vendors(), PARAMS.window, cell_size=PARAMS.cell_size
+        s.web_sessions(), _zones(s), _cells(s), _vendors(s), PARAMS.window, cell_size=PARAMS.cell_size
     )
 
 
@@ -187,9 +202,10 @@ def sessions_in_zones(s: StandIns) -> DataFrame:
     return _located(s)
 
 
+@once
 def _requests(s: StandIns, endpoints: tuple[str, ...] = PARAMS.endpoints) -> DataFrame:
     return sessions.fee_requests(
-        s.pricing_requests(), _zones(s), PARAMS.window, endpoints=endpoints, cell_size=PARAMS.cell_size
+        s.pricing_requests(), _zones(s), _cells(s), PARAMS.window, endpoints=endpoints, cell_size=PARAMS.cell_size
     )
 
 
@@ -200,12 +216,12 @@ def fee_requests(s: StandIns) -> DataFrame:
 
 @query
 def fee_offers(s: StandIns) -> DataFrame:
-    return sessions.fee_offers(_requests(s), s.vendors())
+    return sessions.fee_offers(_requests(s), _vendors(s))
 
 
 @query
 def last_fee(s: StandIns) -> DataFrame:
-    return sessions.last_fee(sessions.fee_offers(_requests(s), s.vendors()))
+    return sessions.last_fee(sessions.fee_offers(_requests(s), _vendors(s)))
 
 
 @query
@@ -218,7 +234,7 @@ def sessions_with_fee(s: StandIns) -> DataFrame:
 
 @query
 def vendor_orders(s: StandIns) -> DataFrame:
-    return orders.vendor_orders(s.orders_mapped(), s.vendors(), PARAMS.window)
+    return orders.vendor_orders(s.orders_mapped(), _vendors(s), PARAMS.window)
 
 
 @query
@@ -248,16 +264,17 @@ def paid_fee(s: StandIns) -> DataFrame:
 @query
 def group_impact(s: StandIns) -> DataFrame:
     return orders.group_order_impact(
-        s.orders_mapped(), s.external_fee_orders(), _active(s), s.vendors(), PARAMS.window
+        s.orders_mapped(), s.external_fee_orders(), _active(s), _vendors(s), PARAMS.window
     )
 
 
 # screening
 
 
+@once
 def _metrics(s: StandIns, p: Params = PARAMS) -> DataFrame:
-    per_vendor = orders.vendor_orders(s.orders_mapped(), s.vendors(), p.window)
-    return screening.vendor_metrics(s.vendors(), s.events(), per_vendor, tx_unit=p.tx_unit)
+    per_vendor = orders.vendor_orders(s.orders_mapped(), _vendors(s), p.window)
+    return screening.vendor_metrics(_vendors(s), s.events(), per_vendor, tx_unit=p.tx_unit)
 
 
 @query
@@ -276,9 +293,10 @@ def percentile_screen_banded(s: StandIns) -> DataFrame:
     return screening.percentile_screen(stage(_metrics(s), "vendor_metrics"), window_rows=0)
 
 
+@once
 def _screened(s: StandIns, p: Params = PARAMS) -> dict[str, DataFrame]:
-    per_vendor = orders.vendor_orders(s.orders_mapped(), s.vendors(), p.window)
-    return job.screen(s.vendors(), s.events(), per_vendor, p)
+    per_vendor = orders.vendor_orders(s.orders_mapped(), _vendors(s), p.window)
+    return job.screen(_vendors(s), s.events(), per_vendor, p)
 
 
 @query
@@ -294,16 +312,19 @@ def screened_vendors(s: StandIns) -> DataFrame:
 # curves
 
 
+@once
 def _marks(s: StandIns) -> tuple[DataFrame, DataFrame]:
     screened = _screened(s)["screened_vendors"]
     return screened, curves.curve_marks(s.events(), screened, PARAMS)
 
 
+@once
 def _vendor_curve(s: StandIns) -> DataFrame:
     screened, marks = _marks(s)
     return curves.vendor_curve(screened, marks, s.group_fees(), PARAMS)
 
 
+@once
 def _group_curve(s: StandIns) -> DataFrame:
     screened, marks = _marks(s)
     return curves.group_curve(screened, marks, s.group_fees(), PARAMS)
@@ -359,6 +380,7 @@ def group_slope(s: StandIns) -> DataFrame:
 # labels
 
 
+@once
 def _labelled(s: StandIns, p: Params = PARAMS) -> dict[str, DataFrame]:
     out = _screened(s, p)
     return out | job.label(s.events(), out["screened_vendors"], s.group_fees(), p)
@@ -425,9 +447,10 @@ def history(s: StandIns) -> DataFrame:
 
 @query
 def vendor_fee_grid(s: StandIns) -> DataFrame:
-    return economics.vendor_fee_grid(s.group_fees(), s.vendors())
+    return economics.vendor_fee_grid(s.group_fees(), _vendors(s))
 
 
+@once
 def _order_rows(s: StandIns) -> DataFrame:
     lite = stage(entities.entities_lite(s.entities(), s.orders_mapped()), "entities_lite")
     return economics.order_economics(
@@ -471,8 +494,9 @@ def _slope_labels(s: StandIns) -> DataFrame:
     )
 
 
+@once
 def _performance(s: StandIns) -> DataFrame:
-    return economics.vendor_fee_performance(s.group_fees(), s.vendors(), _order_rows(s), _slope_labels(s))
+    return economics.vendor_fee_performance(s.group_fees(), _vendors(s), _order_rows(s), _slope_labels(s))
 
 
 @query
@@ -486,6 +510,7 @@ def cluster_rollup(s: StandIns) -> DataFrame:
     return _rounded(economics.cluster_fee_rollup(_performance(s)), 4, "min_tt_fee_master_asa_level")
 
 
+@once
 def _rollup(s: StandIns) -> DataFrame:
     return stage(cluster_rollup(s), "cluster_rollup")
 
@@ -609,7 +634,7 @@ def variant_without_slope(s: StandIns) -> DataFrame:
 def variant_fee_field(s: StandIns) -> DataFrame:
     """The total fee as the price seen, from requests of both kinds."""
     requests = _requests(s, ("singleFee", "multipleFee"))
-    return sessions.last_fee(sessions.fee_offers(requests, s.vendors(), fee_field="total"))
+    return sessions.last_fee(sessions.fee_offers(requests, _vendors(s), fee_field="total"))
 
 
 @query
