@@ -65,7 +65,7 @@ def curve_marks(sessions: DataFrame, screened: DataFrame, p: Params) -> DataFram
     )
     kept = salted_join(
         priced,
-        screened.select(*VENDOR).distinct(),
+        screened.select(*VENDOR),
         VENDOR,
         "left_semi",
         ["events_ga_session_id", "event_time"],
@@ -74,7 +74,7 @@ def curve_marks(sessions: DataFrame, screened: DataFrame, p: Params) -> DataFram
 
 
 def _current_fees(tiers: DataFrame, p: Params) -> DataFrame:
-    return tiers.select(*KEYS, p.group_key, F.col("fee").alias("df_total")).distinct()
+    return tiers.select(*KEYS, p.group_key, F.col("fee").alias("df_total"))
 
 
 def vendor_curve(screened: DataFrame, marks: DataFrame, tiers: DataFrame, p: Params) -> DataFrame:
@@ -142,14 +142,8 @@ def curve_change(curve: DataFrame, base: DataFrame, level: Level, p: Params) ->
 def with_slope(curve: DataFrame, level: Level, p: Params) -> DataFrame:
     """Add the least-squares slope of conversion on fee, over all rows of an id with more than one tier.
 
-    Rows that all share one fee have slope 0.
+    Rows that all share one fee have slope 0. An id has as many rows as its price list, so the window
+    needs no more than the one that ranked the tiers.
     """
-    slope = F.coalesce(F.regr_slope(level.cvr, "df_total"), F.lit(0.0))
-    slopes = (
-        curve.filter(F.col(level.tiers) > 1)
-        .groupBy(*level.ids(p))
-        .agg(F.round(slope, SLOPE_PLACES).alias(level.slope))
-    )
-    return curve.join(slopes, level.ids(p), "left").select(*curve.columns, level.slope)
-
-
+    slope = F.coalesce(F.regr_slope(level.cvr, "df_total").over(Window.partitionBy(*level.ids(p))), F.lit(0.0))
+    return curve.withColumn(level.slope, F.when(F.col(level.tiers) > 1, F.round(slope, SLOPE_PLACES)))

@@ -69,7 +69,9 @@ def current_setups(configs: DataFrame, active: DataFrame) -> DataFrame:
 def linked_groups(setups: DataFrame, *, suffix: str = "_LB", suffix_only: bool = False) -> DataFrame:
     """Parent and child groups of one (entity, country): the child is named ``parent + suffix``.
 
-    One equi-join on the folded names finds each pair; both of its sides become a row.
+    One equi-join on the folded names finds each pair; both of its sides become a row. The common name is
+    the group's own without any leading or trailing character of the suffix; with ``suffix_only`` it is
+    the parent's name.
     """
     groups = setups.select(*KEYS, "asa_name", "asa_id").distinct()
     child = groups.select(*KEYS, F.struct("asa_name", "asa_id").alias("child"))
@@ -81,13 +83,8 @@ def linked_groups(setups: DataFrame, *, suffix: str = "_LB", suffix_only: bool =
         F.struct(F.col("child").alias("own"), F.col("parent.asa_name").alias("linked_asa")),
         F.struct(F.col("parent").alias("own"), F.col("child.asa_name").alias("linked_asa")),
     )
-    flat = pairs.select(*KEYS, F.explode(sides).alias("s"))
-    if suffix_only:
-        bare = F.length("asa_name") - F.lit(len(suffix))
-        ends = F.lower(F.right("asa_name", F.lit(len(suffix)))) == F.lit(suffix.lower())
-        common = F.when(ends, F.substring(F.col("asa_name"), F.lit(1), bare)).otherwise(F.col("asa_name"))
-    else:
-        common = F.btrim("asa_name", F.lit(suffix))
+    flat = pairs.select(*KEYS, "parent", F.explode(sides).alias("s"))
+    common = F.col("parent.asa_name") if suffix_only else F.btrim("s.own.asa_name", F.lit(suffix))
     return flat.select(
         *KEYS,
         F.col("s.own.asa_name").alias("asa_name"),

@@ -55,9 +55,8 @@ def vendor_orders(orders: DataFrame, vendors: DataFrame, window: tuple[date, dat
         F.col("created_date").between(F.lit(first), F.lit(last)) & (F.col("delivery_status") == COMPLETED)
     ).select(*KEYS, F.col("vendor_id").alias("vendor_code"), "platform_order_code")
     on = [*KEYS, "vendor_code"]
-    known = vendors.select(*on).distinct()
     return (
-        salted_join(done, known, on, "left_semi", ["platform_order_code"])
+        salted_join(done, vendors.select(*on), on, "left_semi", ["platform_order_code"])
         .groupBy("entity_id", F.lower("country_code").alias("country_code"), "vendor_code")
         .agg(F.countDistinct("platform_order_code").alias("num_orders"))
     )

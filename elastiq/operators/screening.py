@@ -24,18 +24,22 @@ def session_marks(sessions: DataFrame, by: Sequence[str], *, tx_unit: str = "ses
     visit = F.col("event_action") == VISIT
     tx = F.col("event_action") == TRANSACTION
     timed = visit | tx if tx_unit == "event_time" else visit
-    sid, at = F.col("events_ga_session_id"), F.col("event_time")
     none = F.lit(None)
-    session_mark = F.struct(F.lit("session").alias("unit"), sid.alias("sid"), none.alias("at"))
-    time_mark = F.struct(F.lit("event_time").alias("unit"), none.alias("sid"), at.alias("at"))
-    marks = F.array_compact(
-        F.array(
-            F.when((visit | tx) & sid.isNotNull(), session_mark), F.when(timed & at.isNotNull(), time_mark)
-        )
+    marks = F.array(
+        F.struct(
+            F.lit("session").alias("unit"),
+            F.when(visit | tx, F.col("events_ga_session_id")).alias("sid"),
+            none.alias("at"),
+        ),
+        F.struct(
+            F.lit("event_time").alias("unit"), none.alias("sid"), F.when(timed, F.col("event_time")).alias("at")
+        ),
     )
     return (
         sessions.select(*by, visit.alias("visit"), tx.alias("tx"), F.explode(marks).alias("m"))
-        .groupBy(*by, F.col("m.unit").alias("unit"), F.col("m.sid").alias("sid"), F.col("m.at").alias("at"))
+        .select(*by, "visit", "tx", "m.unit", "m.sid", "m.at")
+        .filter(F.col("sid").isNotNull() | F.col("at").isNotNull())
+        .groupBy(*by, "unit", "sid", "at")
         .agg(F.max("visit").alias("visit"), F.max("tx").alias("tx"))
     )
 

@@ -57,7 +57,7 @@ def sessions_in_zones(
         .withColumn("zone_name", F.col("dps.name"))
     )
     spread = ["events_ga_session_id"]
-    names = zones.select(*KEYS, "city_name", "zone_name").distinct()
+    names = zones.select(*KEYS, "city_name", "zone_name")
     located = salted_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi", spread)
     located = points_in_zones(located, cells, [*KEYS, "city_name"], cell_size, spread_by=spread)
     s = "sessions."
@@ -96,8 +96,7 @@ def sessions_in_zones(
         F.col("dps.timezone").alias("timezone"),
         point_text(F.col("lon"), F.col("lat")).alias("ga_location"),
     )
-    known = vendors.select(*VENDOR).distinct()
-    return salted_join(flat, known, VENDOR, "left_semi", [*spread, "event_time"]).distinct()
+    return salted_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", [*spread, "event_time"]).distinct()
 
 
 def fee_requests(
@@ -148,8 +147,7 @@ def fee_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "tra
         "session_timestamp",
         "created_at",
     )
-    known = vendors.select(*VENDOR).distinct()
-    return salted_join(flat, known, VENDOR, "left_semi", ["dps_session_id", "created_at"])
+    return salted_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", ["dps_session_id", "created_at"])
 
 
 def last_fee(offers: DataFrame) -> DataFrame:

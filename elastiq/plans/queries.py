@@ -107,6 +107,11 @@ def _vendors(s: StandIns) -> DataFrame:
     return stage(s.vendors(), "vendors")
 
 
+@once
+def _fees(s: StandIns) -> DataFrame:
+    return stage(s.group_fees(), "group_fees")
+
+
 @once
 def _active(s: StandIns) -> DataFrame:
     return stage(entities.active_entities(s.entities(), s.orders_mapped()), "active_entities")
@@ -321,13 +326,13 @@ def _marks(s: StandIns) -> tuple[DataFrame, DataFrame]:
 @once
 def _vendor_curve(s: StandIns) -> DataFrame:
     screened, marks = _marks(s)
-    return curves.vendor_curve(screened, marks, s.group_fees(), PARAMS)
+    return curves.vendor_curve(screened, marks, _fees(s), PARAMS)
 
 
 @once
 def _group_curve(s: StandIns) -> DataFrame:
     screened, marks = _marks(s)
-    return curves.group_curve(screened, marks, s.group_fees(), PARAMS)
+    return curves.group_curve(screened, marks, _fees(s), PARAMS)
 
 
 @query
@@ -383,7 +388,7 @@ def group_slope(s: StandIns) -> DataFrame:
 @once
 def _labelled(s: StandIns, p: Params = PARAMS) -> dict[str, DataFrame]:
     out = _screened(s, p)
-    return out | job.label(s.events(), out["screened_vendors"], s.group_fees(), p)
+    return out | job.label(s.events(), out["screened_vendors"], _fees(s), p)
 
 
 _SLOPES = (VENDOR_LEVEL.slope, GROUP_LEVEL.slope)
@@ -447,7 +452,7 @@ def history(s: StandIns) -> DataFrame:
 
 @query
 def vendor_fee_grid(s: StandIns) -> DataFrame:
-    return economics.vendor_fee_grid(s.group_fees(), _vendors(s))
+    return economics.vendor_fee_grid(_fees(s), _vendors(s))
 
 
 @once
@@ -496,7 +501,7 @@ def _slope_labels(s: StandIns) -> DataFrame:
 
 @once
 def _performance(s: StandIns) -> DataFrame:
-    return economics.vendor_fee_performance(s.group_fees(), _vendors(s), _order_rows(s), _slope_labels(s))
+    return economics.vendor_fee_performance(_fees(s), _vendors(s), _order_rows(s), _slope_labels(s))
 
 
 @query

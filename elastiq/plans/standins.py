@@ -15,7 +15,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from elastiq.functions.skew import salted_join
 from elastiq.params import AUTOMATIC_SCHEME, COMPLETED, TRANSACTION, VISIT, Params
+from elastiq.sources.staging import stage
 
 # the stand-in dates fall into January and the first days of February 2024
 AS_OF = dt.date(2024, 2, 15)
@@ -51,11 +53,11 @@ class StandIns:
 
     @once
     def places(self) -> DataFrame:
-        """Suppliers with their entity, country and group."""
+        """Suppliers with their entity, country and group; staged, so that its size is known."""
         nation = self.table("nation").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
         )
-        return (
+        places = (
             self.table("supplier")
             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
@@ -70,10 +72,12 @@ class StandIns:
                 *_region_names(),
             )
         )
+        return stage(places, "places")
 
     @once
     def lines(self) -> DataFrame:
-        return self.table("lineitem").join(self.places(), F.col("l_suppkey") == F.col("s_suppkey"))
+        lines = self.table("lineitem").withColumn("s_suppkey", F.col("l_suppkey"))
+        return salted_join(lines, self.places(), ["s_suppkey"], "inner", ["l_orderkey", "l_linenumber"])
 
     @once
     def entities(self) -> DataFrame:
@@ -418,10 +422,10 @@ class StandIns:
             "country_code",
             "vendor_code",
             F.col("l_orderkey").cast("string").alias("events_ga_session_id"),
-            F.explode(F.array_compact(F.array(F.lit(VISIT), sold))).alias("event_action"),
+            F.explode(F.array(F.lit(VISIT), sold)).alias("event_action"),
             F.col("l_shipdate").alias("event_time"),
             F.col("l_discount").alias("df_total"),
-        )
+        ).filter(F.col("event_action").isNotNull())
 
 
 def _region_names() -> tuple[Column, Column]:
