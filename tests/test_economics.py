@@ -1,0 +1,123 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from conftest import tuples
+from elastiq.operators import economics
+from elastiq.params import AUTOMATIC_SCHEME
+
+JAN = dt.date(2024, 1, 10)
+WINDOW = (dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+
+
+def _tiers(spark, *rows):
+    schema = "region string, entity_id string, country_code string, asa_id long, master_asa_id long, asa_name string, asa_common_name string, fee double"
+    return spark.createDataFrame([("Asia", "E", "sg", a, m, f"g{a}", f"g{m}", f) for a, m, f in rows], schema)
+
+
+def _members(spark, *rows):
+    schema = "entity_id string, country_code string, asa_id long, master_asa_id long, is_asa_clustered boolean, vendor_count_caught_by_asa long, vendor_code string"
+    return spark.createDataFrame([("E", "sg", a, m, a != m, n, v) for a, m, n, v in rows], schema)
+
+
+def test_grid_keeps_copies_and_groups_without_vendors(spark):
+    tiers = _tiers(spark, (1, 9, 1.0), (2, 9, 1.0), (2, 9, 2.0), (3, 3, 0.5))
+    members = _members(spark, (1, 9, 1, "a"), (2, 9, 1, "a"), (2, 9, 1, "b"))
+    grid = economics.vendor_fee_grid(tiers, members)
+    plain = tiers.drop("asa_id", "asa_name").join(members.drop("asa_id"), ["entity_id", "country_code", "master_asa_id"], "left")
+    lowest = F.when(F.col("master_asa_id") == 9, 1.0).otherwise(0.5).alias("min_tt_fee_master_asa_level")
+    assert tuples(grid, *economics.GRID) == tuples(plain.select("*", lowest), *economics.GRID)
+    assert grid.count() == 10
+
+
+def test_small_order_fee(spark):
+    df = spark.createDataFrame([(20.0, 20.0, 3.0), (15.0, 20.0, 3.0), (15.0, 20.0, None)], "gfv double, minimum double, recorded double")
+    fee = economics.small_order_fee(F.col("gfv"), F.col("minimum"), F.col("recorded"))
+    assert [r[0] for r in df.select(fee).collect()] == [0.0, 3.0, 5.0]
+
+
+def _order(code, fee=1.0, vendor="a", **more):
+    return {
+        "entity_id": "E", "country_code": "sg", "vendor_id": vendor, "platform_order_code": code, "created_date": JAN,
+        "delivery_status": "completed", "is_sent": True, "vendor_price_scheme_type": AUTOMATIC_SCHEME, "exchange_rate": 2.0,
+        "delivery_fee_local": 4.0, "is_delivery_fee_covered_by_discount": False, "is_delivery_fee_covered_by_voucher": False,
+        "dps_travel_time_fee_local": fee, "commission_local": 10.0, "joker_vendor_fee_local": 1.0, "gfv_local": 15.0,
+        "dps_minimum_order_value_local": 20.0, "delivery_costs_local": 6.0, "gmv_local": 40.0, **more,
+    }
+
+
+def _economics(make, spark, *rows):
+    values = make("order_values", {"global_entity_id": "E", "order_id": "o1", "value": (3.0,)})
+    external = make("external_fee_orders", {"global_entity_id": "E", "code": "o1", "created_date_utc": JAN, "delivery_fee_local": 2.0})
+    lite = spark.createDataFrame([("Asia", "E", "SG")], "region string, entity_id string, country_iso string")
+    return economics.order_economics(make("orders_mapped", *rows), values, external, lite, WINDOW)
+
+
+def test_order_economics(make, spark):
+    rows = _economics(
+        make, spark, _order("o1"), _order("o2", service_fee_local=0.5), _order("o3", is_sent=False), _order("o4", is_sent=None),
+        _order("o5", entity_id="F"),
+    )
+    assert tuples(rows, "platform_order_code", "actual_df_paid_by_customer", "service_fee_local", "sof_local", "sof_local_cdwh") == [
+        ("o1", 2.0, 0.0, 3.0, 3.0), ("o2", 4.0, 0.5, 5.0, None),
+    ]
+
+
+def test_vendor_performance_multiplies_sums_but_not_orders(make, spark):
+    """Two pooled groups list the fee and the vendor has two label rows: every order is met four times."""
+    rows = _economics(make, spark, _order("o1"), _order("o2"), _order("o9", 7.0))
+    tiers = _tiers(spark, (1, 9, 1.0), (2, 9, 1.0), (2, 9, 2.0))
+    members = _members(spark, (1, 9, 1, "a"), (2, 9, 2, "b"))
+    labels = spark.createDataFrame([("E", "sg", "a", "Y"), ("E", "sg", "a", "Y")], "entity_id string, country_code string, vendor_code string, is_lb_lm string")
+    out = economics.vendor_fee_performance(tiers, members, rows, labels)
+    names = ["vendor_code", "fee", "is_lb_lm", "vendor_order_count", "df_revenue_local", "vendor_gmv_eur", "tot_revenue_local", "gp_eur"]
+    revenue = (2.0 + 10 + 1 + 0 + 3) + (4.0 + 10 + 1 + 0 + 5)
+    assert tuples(out, *names) == [
+        ("a", 1.0, "Y", 2, 4 * 6.0, 4 * 40.0, 4 * revenue, 4 * (revenue - 12) / 2),
+        ("a", 2.0, "Y", 0, 0.0, 0.0, 0.0, 0.0),
+        ("b", 1.0, None, 0, 0.0, 0.0, 0.0, 0.0),
+        ("b", 2.0, None, 0, 0.0, 0.0, 0.0, 0.0),
+    ]
+
+
+def _rollup(spark, *rows):
+    """Rows of (master id, label, vendor count, fee, orders), as vendor rows of the performance table."""
+    money = [f"{n}_{m}" for n in economics.AMOUNTS for m in ("local", "eur")]
+    df = spark.createDataFrame(
+        [("Asia", "E", "sg", m, "g", False, n, "v", f, 0.0, label, k) for m, label, n, f, k in rows],
+        "region string, entity_id string, country_code string, master_asa_id long, asa_common_name string, is_asa_clustered boolean,"
+        " vendor_count_caught_by_asa long, vendor_code string, fee double, min_tt_fee_master_asa_level double, is_lb_lm string,"
+        " vendor_order_count long",
+    )
+    return economics.cluster_fee_rollup(df.withColumns({c: F.col("vendor_order_count") * 1.005 for c in money}))
+
+
+def test_elasticity(spark):
+    rollup = _rollup(spark, (1, "Y", 1, 0.0, 10), (1, "Y", 1, 1.0, 8), (1, "Y", 1, 2.0, 4), (1, "Y", 2, 2.0, 4))
+    out = economics.tier_elasticity(economics.tier_ranks(economics.cluster_totals(rollup)))
+    names = ["tier_rank_master_asa", "fee", "tier_elasticity_vendor_cluster_level", "fee_pct_diff_vendor_cluster_level"]
+    assert tuples(out, *names) == [(1, 0.0, None, None), (2, 1.0, None, None), (3, 2.0, -0.5, 1.0), (4, 2.0, None, 0.0)]
+
+
+def test_elasticity_needs_orders_and_a_step(spark):
+    rollup = _rollup(spark, (1, "Y", 1, 1.0, 0), (1, "Y", 1, 2.0, 4), (2, "Y", 1, 1.0, 5))
+    out = economics.tier_elasticity(economics.tier_ranks(economics.cluster_totals(rollup)))
+    names = ["master_asa_id", "fee", "num_tiers_master_asa", "tier_elasticity_vendor_cluster_level", "fee_pct_diff_vendor_cluster_level"]
+    assert tuples(out, *names) == [(1, 1.0, 2, None, None), (1, 2.0, 2, None, 1.0), (2, 1.0, 1, None, None)]
+
+
+def test_cluster_totals(spark):
+    rollup = _rollup(spark, (1, "Y", 1, 1.0, 6), (1, "Y", 1, 2.0, 2), (1, None, 1, 1.0, 2), (2, "N", 1, 1.0, 10), (1, "Y", 1, 1.0, 2))
+    out = economics.cluster_totals(rollup)
+    names = [
+        "master_asa_id", "is_lb_lm", "fee", economics.ORDERS, "order_count_vendor_cluster_level", "order_count_master_asa_level",
+        "order_count_entity_level", "vendor_cluster_order_share_of_entity", "master_asa_order_share_of_entity",
+    ]
+    assert tuples(out, *names) == [
+        (1, "Y", 1.0, 8, 10, 12, 22, 0.4545, 0.5455), (1, "Y", 2.0, 2, 10, 12, 22, 0.4545, 0.5455),
+        (1, None, 1.0, 2, 2, 12, 22, 0.0909, 0.5455), (2, "N", 1.0, 10, 10, 10, 22, 0.4545, 0.4545),
+    ]
+    money = out.filter("master_asa_id = 1 AND is_lb_lm = 'Y' AND fee = 1").first()
+    assert money["gp_eur_vendor_cluster_tt_fee_level"] == 8.04
+    assert round(money["gmv_local_vendor_cluster_level"], 2) == 10.05
+    assert (money["previous_fee_vendor_cluster_tt_fee_level"], money[f"previous_{economics.ORDERS}"]) == (None, None)
