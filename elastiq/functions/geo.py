@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import plain_number
-from elastiq.functions.skew import salted_join
+from elastiq.functions.skew import lookup_join
 
 
 def point_text(lon: Column, lat: Column) -> Column:
@@ -111,6 +111,7 @@ def points_in_zones(
     gridded = points.withColumn("_gx", F.floor(x / size)).withColumn("_gy", F.floor(y / size))
     exact = F.col("_edges").isNull() | inside(F.col("_edges"), x, y)
     cells = cells.select(*on, "_gx", "_gy", "_edges")
-    return salted_join(gridded, cells, [*on, "_gx", "_gy"], "left_semi", spread_by, condition=exact).drop(
-        "_gx", "_gy"
-    )
+    sides = F.lit(1) + F.coalesce(F.size("_edges"), F.lit(0))
+    return lookup_join(
+        gridded, cells, [*on, "_gx", "_gy"], "left_semi", spread_by, weight=sides, condition=exact
+    ).drop("_gx", "_gy")

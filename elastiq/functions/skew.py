@@ -13,7 +13,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+SALTS = 32
+# A side of at most this many rows is broadcast; three short ids each make about 50 MB.
+BROADCAST_ROWS = 400_000
 
 
 def salt(cols: Sequence[str], salts: int = SALTS) -> Column:
@@ -33,14 +35,13 @@ def salted_join(
 ) -> DataFrame:
     """Join ``dim`` to ``facts``, each key of ``facts`` cut into ``salts`` parts by ``spread_by``.
 
-    A ``dim`` that Spark finds smaller than its broadcast threshold is broadcast and the facts stay where
-    they are; pass a staged table, whose size is known. A larger one is shuffled, and the salts keep a
-    hot key from landing in one task. ``dim`` is repeated once per salt, so it should hold few rows per
-    key. ``how`` may be ``inner``, ``left`` or ``left_semi``.
+    ``dim`` is repeated once per salt, so it should hold few rows per key. ``how`` may be ``inner``,
+    ``left`` or ``left_semi``. Adaptive execution may still split a part further, or broadcast ``dim``
+    once its real size is known.
     """
     left = facts.withColumn("_salt", salt(spread_by, salts))
-    right = dim.select(
-        *[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in dim.columns],
+    right = _renamed(dim, on).select(
+        "*",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_of_dim"),
     )
     same = [
@@ -52,6 +53,34 @@ def salted_join(
     return left.join(right, test, how).drop("_salt", "_salt_of_dim", *[f"_on_{c}" for c in on])
 
 
+def lookup_join(
+    facts: DataFrame,
+    dim: DataFrame,
+    on: Sequence[str],
+    how: str,
+    spread_by: Sequence[str],
+    *,
+    weight: Column | None = None,
+    condition: Column | None = None,
+) -> DataFrame:
+    """Join a table that is usually small, such as ids in use, without moving the facts.
+
+    Its rows are counted first, which is cheap for a staged table; ``weight`` counts a row with a long
+    array as more than one. Up to ``BROADCAST_ROWS`` it is broadcast, beyond that the join is salted.
+    """
+    size = dim.count() if weight is None else dim.agg(F.sum(weight)).first()[0] or 0
+    if size > BROADCAST_ROWS:
+        return salted_join(facts, dim, on, how, spread_by, condition=condition)
+    if condition is None:
+        return facts.join(F.broadcast(dim), list(on), how)
+    test = reduce(and_, [F.col(c) == F.col(f"_on_{c}") for c in on], condition)
+    return facts.join(F.broadcast(_renamed(dim, on)), test, how).drop(*[f"_on_{c}" for c in on])
+
+
+def _renamed(dim: DataFrame, on: Sequence[str]) -> DataFrame:
+    return dim.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in dim.columns])
+
+
 def with_totals(
     df: DataFrame,
     by: Sequence[str],

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import nonzero
-from elastiq.functions.skew import salted_join
-from elastiq.operators.screening import VENDOR, mark_counts, session_marks
+from elastiq.functions.skew import lookup_join
+from elastiq.operators.screening import MARK, VENDOR, mark_counts, session_marks
 from elastiq.params import KEYS, Params
 
 # Slopes are compared with each other; this many decimals hide the order in which rows were added up.
@@ -63,7 +63,7 @@ def curve_marks(sessions: DataFrame, screened: DataFrame, p: Params) -> DataFram
     priced = sessions.filter(F.col("df_total").isNotNull()).select(
         *VENDOR, "df_total", "events_ga_session_id", "event_action", "event_time"
     )
-    kept = salted_join(
+    kept = lookup_join(
         priced,
         screened.select(*VENDOR),
         VENDOR,
@@ -83,7 +83,7 @@ def vendor_curve(screened: DataFrame, marks: DataFrame, tiers: DataFrame, p: Par
     counts = mark_counts(marks, [*VENDOR, "df_total"], "cvr3", tx_unit=p.tx_unit)
     rows = counts.join(screened.select(*grain).distinct(), VENDOR)
     on = [*KEYS, p.group_key, "df_total"]
-    rows = salted_join(rows, _current_fees(tiers, p), on, "left_semi", ["vendor_code"])
+    rows = lookup_join(rows, _current_fees(tiers, p), on, "left_semi", ["vendor_code"])
     return rows.select(*grain, "df_total", *[c for c in counts.columns if c not in (*VENDOR, "df_total")])
 
 
@@ -97,9 +97,9 @@ def group_curve(screened: DataFrame, marks: DataFrame, tiers: DataFrame, p: Para
     spread = ["sid", "at"]
     members = screened.select(*VENDOR_LEVEL.grain(p)).distinct()
     on = [*KEYS, p.group_key, "df_total"]
-    pooled = salted_join(marks, members, VENDOR, "inner", spread)
-    pooled = salted_join(pooled, _current_fees(tiers, p), on, "left_semi", [*spread, "vendor_code"])
-    marks = pooled.groupBy(*grain, "unit", "sid", "at").agg(
+    pooled = lookup_join(marks, members, VENDOR, "inner", spread)
+    pooled = lookup_join(pooled, _current_fees(tiers, p), on, "left_semi", [*spread, "vendor_code"])
+    marks = pooled.groupBy(*grain, *MARK).agg(
         F.max("visit").alias("visit"), F.max("tx").alias("tx")
     )
     return mark_counts(marks, grain, GROUP_LEVEL.cvr, tx_unit=p.tx_unit).drop("num_total_vendor_impressions")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import nonzero, ratio
-from elastiq.functions.skew import null_lane, salted_join
+from elastiq.functions.skew import lookup_join, null_lane, salted_join
 from elastiq.operators.orders import paid_fee, with_external_fee
 from elastiq.params import COMPLETED, KEYS
 
@@ -68,7 +68,7 @@ def order_economics(
         & (F.col("delivery_status") == COMPLETED)
         & F.col("is_sent")
     )
-    done = salted_join(
+    done = lookup_join(
         done, entities.select("region", "entity_id"), ["entity_id"], "inner", ["platform_order_code"]
     )
     recorded = values.select(

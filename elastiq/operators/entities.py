@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from elastiq.functions.skew import salted_join
+from elastiq.functions.skew import lookup_join
 from elastiq.params import ENTITY_DENY, ENTITY_DENY_LITE, ENTITY_NOT_LIKE
 
 
@@ -70,4 +70,4 @@ def active_zones(countries: DataFrame, active: DataFrame) -> DataFrame:
         )
     )
     keys = ["entity_id", "country_code"]
-    return salted_join(flat, active.select(*keys), keys, "inner", ["city_id", "zone_id"]).select(*flat.columns)
+    return lookup_join(flat, active.select(*keys), keys, "inner", ["city_id", "zone_id"]).select(*flat.columns)

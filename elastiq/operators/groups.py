@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from elastiq.functions.skew import salted_join, with_totals
+from elastiq.functions.skew import lookup_join, salted_join, with_totals
 from elastiq.params import KEYS
 
 GROUP = [*KEYS, "asa_id"]
@@ -23,7 +23,7 @@ def current_setups(configs: DataFrame, active: DataFrame) -> DataFrame:
     """
     regions = active.select("region", *KEYS)
     versions = (
-        salted_join(configs, regions, KEYS, "inner", ["vendor_code"])
+        lookup_join(configs, regions, KEYS, "inner", ["vendor_code"])
         .select("region", *KEYS, "vendor_code", F.explode("dps_automatic_assignment_history").alias("h"))
         .select("region", *KEYS, "vendor_code", "h", F.explode_outer("h.price_config").alias("pc"))
         .select(

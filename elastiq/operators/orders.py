@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import nonzero
-from elastiq.functions.skew import null_lane, salted_join
+from elastiq.functions.skew import lookup_join, null_lane
 from elastiq.params import AUTOMATIC_SCHEME, COMPLETED, EXTERNAL_FEE_REGIONS, KEYS
 
 
@@ -56,7 +56,7 @@ def vendor_orders(orders: DataFrame, vendors: DataFrame, window: tuple[date, dat
     ).select(*KEYS, F.col("vendor_id").alias("vendor_code"), "platform_order_code")
     on = [*KEYS, "vendor_code"]
     return (
-        salted_join(done, vendors.select(*on), on, "left_semi", ["platform_order_code"])
+        lookup_join(done, vendors.select(*on), on, "left_semi", ["platform_order_code"])
         .groupBy("entity_id", F.lower("country_code").alias("country_code"), "vendor_code")
         .agg(F.countDistinct("platform_order_code").alias("num_orders"))
     )
@@ -93,8 +93,8 @@ def group_order_impact(
     )
     spread = ["platform_order_code"]
     on = [*KEYS, "asa_id"]
-    done = salted_join(done, vendors.select(*on).distinct(), on, "left_semi", spread)
-    done = salted_join(done, active.select("region", *KEYS), KEYS, "inner", spread)
+    done = lookup_join(done, vendors.select(*on).distinct(), on, "left_semi", spread)
+    done = lookup_join(done, active.select("region", *KEYS), KEYS, "inner", spread)
     fee = paid_fee(
         F.col("region"),
         F.col("external_fee"),

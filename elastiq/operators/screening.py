@@ -13,6 +13,8 @@ from elastiq.functions.skew import salted_join
 from elastiq.params import KEYS, TRANSACTION, VISIT, Params
 
 VENDOR = [*KEYS, "vendor_code"]
+# a distinct session (``sid``) or, if ``of_time``, a distinct event time (``at``)
+MARK = ["of_time", "sid", "at"]
 
 
 def session_marks(sessions: DataFrame, by: Sequence[str], *, tx_unit: str = "session") -> DataFrame:
@@ -24,36 +26,33 @@ def session_marks(sessions: DataFrame, by: Sequence[str], *, tx_unit: str = "ses
     visit = F.col("event_action") == VISIT
     tx = F.col("event_action") == TRANSACTION
     timed = visit | tx if tx_unit == "event_time" else visit
-    none = F.lit(None)
-    marks = F.array(
-        F.struct(
-            F.lit("session").alias("unit"),
-            F.when(visit | tx, F.col("events_ga_session_id")).alias("sid"),
-            none.alias("at"),
-        ),
-        F.struct(
-            F.lit("event_time").alias("unit"), none.alias("sid"), F.when(timed, F.col("event_time")).alias("at")
-        ),
-    )
+    of_time = F.col("of_time")
     return (
-        sessions.select(*by, visit.alias("visit"), tx.alias("tx"), F.explode(marks).alias("m"))
-        .select(*by, "visit", "tx", "m.unit", "m.sid", "m.at")
+        sessions.select(
+            *by,
+            visit.alias("visit"),
+            tx.alias("tx"),
+            F.when(visit | tx, F.col("events_ga_session_id")).alias("sid"),
+            F.when(timed, F.col("event_time")).alias("at"),
+            F.explode(F.array(F.lit(False), F.lit(True))).alias("of_time"),
+        )
+        .withColumns({"sid": F.when(~of_time, F.col("sid")), "at": F.when(of_time, F.col("at"))})
         .filter(F.col("sid").isNotNull() | F.col("at").isNotNull())
-        .groupBy(*by, "unit", "sid", "at")
+        .groupBy(*by, *MARK)
         .agg(F.max("visit").alias("visit"), F.max("tx").alias("tx"))
     )
 
 
-def _count(unit: str, flag: str) -> Column:
-    return F.sum(F.when((F.col("unit") == unit) & F.col(flag), 1).otherwise(0))
+def _count(of_time: bool, flag: str) -> Column:
+    return F.count_if((F.col("of_time") == of_time) & F.col(flag))
 
 
 def mark_counts(marks: DataFrame, by: Sequence[str], cvr: str, *, tx_unit: str = "session") -> DataFrame:
     """Visits, impressions, transactions and conversion rate from session marks."""
     counted = marks.groupBy(*by).agg(
-        _count("session", "visit").alias("num_unique_vendor_visits"),
-        _count("event_time", "visit").alias("num_total_vendor_impressions"),
-        _count(tx_unit, "tx").alias("num_transactions"),
+        _count(False, "visit").alias("num_unique_vendor_visits"),
+        _count(True, "visit").alias("num_total_vendor_impressions"),
+        _count(tx_unit == "event_time", "tx").alias("num_transactions"),
     )
     return counted.withColumn(cvr, conversion())
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from elastiq.functions.geo import point_text, points_in_zones, zone_cells
-from elastiq.functions.skew import null_lane, salted_join
+from elastiq.functions.skew import lookup_join, null_lane
 from elastiq.params import KEYS, TRANSACTION, VISIT
 
 VENDOR = [*KEYS, "vendor_code"]
@@ -58,7 +58,7 @@ def sessions_in_zones(
     )
     spread = ["events_ga_session_id"]
     names = zones.select(*KEYS, "city_name", "zone_name")
-    located = salted_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi", spread)
+    located = lookup_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi", spread)
     located = points_in_zones(located, cells, [*KEYS, "city_name"], cell_size, spread_by=spread)
     s = "sessions."
     flat = located.withColumn("e", F.explode("events")).select(
@@ -96,7 +96,7 @@ def sessions_in_zones(
         F.col("dps.timezone").alias("timezone"),
         point_text(F.col("lon"), F.col("lat")).alias("ga_location"),
     )
-    return salted_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", [*spread, "event_time"]).distinct()
+    return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", [*spread, "event_time"]).distinct()
 
 
 def fee_requests(
@@ -127,7 +127,7 @@ def fee_requests(
         F.col("customer.lat").alias("_lat"),
     )
     spread = ["dps_session_id", "created_at"]
-    flat = salted_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi", spread)
+    flat = lookup_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi", spread)
     return points_in_zones(
         flat, cells, ["entity_id"], cell_size, lon="_lon", lat="_lat", spread_by=spread
     ).drop("_lon", "_lat")
@@ -147,7 +147,7 @@ def fee_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "tra
         "session_timestamp",
         "created_at",
     )
-    return salted_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", ["dps_session_id", "created_at"])
+    return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", ["dps_session_id", "created_at"])
 
 
 def last_fee(offers: DataFrame) -> DataFrame:

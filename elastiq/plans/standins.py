@@ -15,9 +15,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastiq.functions.skew import salted_join
+from elastiq.functions.skew import lookup_join
 from elastiq.params import AUTOMATIC_SCHEME, COMPLETED, TRANSACTION, VISIT, Params
 from elastiq.sources.staging import stage
+from elastiq.sources.tables import spread
 
 # the stand-in dates fall into January and the first days of February 2024
 AS_OF = dt.date(2024, 2, 15)
@@ -76,8 +77,9 @@ class StandIns:
 
     @once
     def lines(self) -> DataFrame:
-        lines = self.table("lineitem").withColumn("s_suppkey", F.col("l_suppkey"))
-        return salted_join(lines, self.places(), ["s_suppkey"], "inner", ["l_orderkey", "l_linenumber"])
+        lines = spread(self.table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+        lines = lines.withColumn("s_suppkey", F.col("l_suppkey"))
+        return lookup_join(lines, self.places(), ["s_suppkey"], "inner", ["l_orderkey", "l_linenumber"])
 
     @once
     def entities(self) -> DataFrame:

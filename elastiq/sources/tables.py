@@ -25,6 +25,16 @@ def read_input(spark: SparkSession, root: str, name: str) -> DataFrame:
     return as_declared(spark.read.parquet(f"{root.rstrip('/')}/{name}"), name)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Cut a table that comes in fewer splits than there are cores (one large row group) by its rows.
+
+    Tables of many files are left as they are. The cut is by hash, so a task that is run again after
+    an executor was lost gets the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Replace a table; ``rebalance`` evens out file sizes and splits hot partitions."""
     df.hint("rebalance").write.mode("overwrite").parquet(path)

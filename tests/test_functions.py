@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import tuples
+from elastiq.functions import skew
 from elastiq.functions.checks import repeated_keys
 from elastiq.functions.geo import inside, point_text, points_in_zones, zone_cells
 from elastiq.functions.numbers import plain_number, ratio
@@ -49,6 +50,23 @@ def test_salted_join_equals_plain_join(spark, how, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_lookup_join_equals_plain_join(spark, monkeypatch, how, limit):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), (None, 4)], "k string, d int")
+    facts = _facts(spark)
+    joined = skew.lookup_join(facts, dim, ["k"], how, ["v"])
+    assert tuples(joined, *joined.columns) == tuples(facts.join(dim, "k", how), *joined.columns)
+    small = skew.lookup_join(facts, dim, ["k"], how, ["v"], condition=F.col("d") > F.col("v"), weight=F.lit(2))
+    expected = facts.join(dim, "k").filter("d > v")
+    if how == "left_semi":
+        expected = expected.select("k", "v").distinct()
+    assert tuples(small, "k", "v") == tuples(expected, "k", "v")
+    plan = skew.lookup_join(facts, dim, ["k"], how, ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert ("broadcast" in plan) == (limit > 0)
+
+
 def test_salted_join_can_match_nulls(spark):
     dim = spark.createDataFrame([("hot", 1), (None, 4)], "k string, d int")
     joined = salted_join(_facts(spark), dim, ["k"], "inner", ["v"], null_safe=True)
