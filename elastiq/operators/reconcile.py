@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from elastiq.functions.skew import null_lane
-
 PUBLISHED_ID = "vendor_ids"
 
 
@@ -16,31 +14,39 @@ def _places(with_cluster: bool) -> list[str]:
     return ["country_code", "cluster"] if with_cluster else ["country_code"]
 
 
+def stored_ids(run: DataFrame, *, countries: Sequence[str] | None = None, label: str = "is_lb_lm") -> DataFrame:
+    """The labelled vendors of one run of the history, in the countries that were published."""
+    kept = run.filter(F.col(label) == "Y")
+    if countries is not None:
+        kept = kept.filter(F.col("country_code").isin(*countries))
+    return kept.select("region", "country_code", "vendor_code")
+
+
 def reconcile(
     published: DataFrame, table: DataFrame, *, table_id: str = "vendor_code", with_cluster: bool = False
 ) -> DataFrame:
     """Published and stored ids side by side with a status: both, published_only or table_only.
 
-    Rows with status ``both`` are the matches. Keys that are NULL match nothing; they are spread
-    over many tasks.
+    Rows with status ``both`` are the matches. Equal rows are counted before the join and repeated after
+    it, so an id listed very often, or many rows without an id, reach the join as one row.
     """
     places = _places(with_cluster)
-    left = published.withColumn("_key", F.col(PUBLISHED_ID)).withColumn(
-        "_lane", null_lane([*places, PUBLISHED_ID], published.columns)
+    left = published.groupBy(*published.columns).agg(F.count(F.lit(1)).alias("_published"))
+    right = table.groupBy(*places, table_id).agg(F.count(F.lit(1)).alias("_stored"))
+    joined = left.withColumn("_key", F.col(PUBLISHED_ID)).join(
+        right.withColumn("_key", F.col(table_id)), [*places, "_key"], "full_outer"
     )
-    right = table.select(*places, table_id).withColumn("_key", F.col(table_id))
-    right = right.withColumn("_lane", null_lane([*places, table_id], [*places, table_id], -1))
-    joined = left.join(right, [*places, "_key", "_lane"], "full_outer")
-    # a lane above 0 is a published row without a key, one below 0 a table row without one
     status = (
-        F.when(F.col("_lane") > 0, "published_only")
-        .when(F.col("_lane") < 0, "table_only")
-        .when(F.col(table_id).isNull(), "published_only")
-        .when(F.col(PUBLISHED_ID).isNull(), "table_only")
+        F.when(F.col("_stored").isNull(), "published_only")
+        .when(F.col("_published").isNull(), "table_only")
         .otherwise("both")
     )
+    one = F.lit(1).cast("bigint")
+    copies = F.sequence(one, F.coalesce("_published", one) * F.coalesce("_stored", one))
     rest = [c for c in published.columns if c not in (*places, PUBLISHED_ID)]
-    return joined.select(*places, PUBLISHED_ID, table_id, *rest, status.alias("status"))
+    return joined.select(
+        *places, PUBLISHED_ID, table_id, *rest, status.alias("status"), F.explode(copies).alias("_copy")
+    ).drop("_copy")
 
 
 def reconcile_counts(

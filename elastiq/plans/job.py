@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from elastiq.functions.checks import repeated_keys
 from elastiq.operators import curves, economics, entities, groups, labels, orders, screening, sessions, tiers
 from elastiq.operators.curves import GROUP_LEVEL, VENDOR_LEVEL
 from elastiq.params import Params
@@ -80,6 +81,7 @@ def label(
     if p.slope_test:
         tested = labels.slope_test(tested)
     out["compared_curves"] = tested
+    out["repeated_group_keys"] = repeated_keys(out["group_base"], GROUP_LEVEL.ids(p))
     out["vendor_labels"] = labels.vendor_labels(tested, p)
     return out
 
@@ -151,7 +153,12 @@ def main(argv: list[str] | None = None) -> None:
     root, output, run_ts = args.pop("input"), args.pop("output").rstrip("/"), args.pop("run_ts")
     p = Params(**args)
 
-    spark = SparkSession.builder.appName("elastiq").getOrCreate()
+    spark = (
+        SparkSession.builder.appName("elastiq")
+        # split a hot session or order in the joins of large tables, even at the price of a shuffle
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .getOrCreate()
+    )
     out = run(lambda name: read_input(spark, root, name), p)
     for name, df in out.items():
         write_table(df, f"{output}/{name}")

@@ -667,6 +667,6 @@ def full_run_elasticity(s: StandIns) -> DataFrame:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Which vendors keep their conversion better than their group as the fee rises?"""
-    return QUERIES["vendor_labels"](spark, folder)
+    return QUERIES["final_list"](spark, folder)
 
 

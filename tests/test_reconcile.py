@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import tuples
 from elastiq.operators.reconcile import reconcile, reconcile_counts, reconcile_nulls
+from elastiq.plans import publication
 from elastiq.sources.history import append_history, read_run
 from elastiq.sources.published import published_ids, read_published
 
@@ -102,3 +103,28 @@ def test_history(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
     assert tuples(read_run(spark, path, first), "vendor_code", "is_lb") == [("a", "Y"), ("b", "N")]
     assert tuples(read_run(spark, path, second), "vendor_code", "is_lb") == [("a", "N"), ("b", "N")]
+
+
+def test_publication_check(spark, folder, tmp_path):
+    run_ts = dt.datetime(2024, 2, 15, tzinfo=dt.timezone.utc)
+    rows = [("Asia", "sg", "v1", "Y"), ("Asia", "sg", "v3", "N"), ("Asia", "sg", "v9", "Y"), ("Asia", "th", "v1", "Y")]
+    final = spark.createDataFrame(rows, "region string, country_code string, vendor_code string, is_lb_lm string")
+    append_history(final, str(tmp_path / "history"), run_ts)
+    publication.main(
+        ["--published", folder, "--history", str(tmp_path / "history"), "--run-ts", run_ts.isoformat()]
+        + ["--countries", "ae,sg", "--output", str(tmp_path / "out")]
+    )
+    counts = spark.read.parquet(str(tmp_path / "out" / "counts"))
+    assert tuples(counts, "country_code", "published", "in_table", "matched") == [("ae", 2, 0, 0), ("sg", 3, 2, 1)]
+
+    clusters = [("Americas", "sg", "v4", "high"), ("Americas", "sg", "v1", "high"), ("Europe", "sg", "v3", "low-fee")]
+    table = spark.createDataFrame(clusters, "region string, country_code string, vendor_id string, cluster string")
+    table.write.parquet(str(tmp_path / "clusters"))
+    publication.main(
+        ["--published", folder, "--clusters", str(tmp_path / "clusters"), "--regions", "Americas"]
+        + ["--output", str(tmp_path / "out")]
+    )
+    counts = spark.read.parquet(str(tmp_path / "out" / "counts"))
+    assert tuples(counts.filter("country_code = 'sg'"), "cluster", "published", "in_table", "matched") == [
+        ("high", 1, 2, 1), ("low-fee", 2, 0, 1),
+    ]
