@@ -105,7 +105,8 @@ def test_history(spark, tmp_path):
     assert tuples(read_run(spark, path, second), "vendor_code", "is_lb") == [("a", "N"), ("b", "N")]
 
 
-def test_publication_check(spark, folder, tmp_path):
+def test_publication_check(spark, folder, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("run")
     run_ts = dt.datetime(2024, 2, 15, tzinfo=dt.timezone.utc)
     rows = [("Asia", "sg", "v1", "Y"), ("Asia", "sg", "v3", "N"), ("Asia", "sg", "v9", "Y"), ("Asia", "th", "v1", "Y")]
     final = spark.createDataFrame(rows, "region string, country_code string, vendor_code string, is_lb_lm string")
