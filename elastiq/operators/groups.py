@@ -15,11 +15,11 @@ def _second(name: str):
     return F.date_trunc("SECOND", F.col(name))
 
 
-def current_setups(configs: DataFrame, active: DataFrame) -> DataFrame:
-    """The newest open assignment and price setup of every group, one row per vendor and condition.
+def newest_versions(configs: DataFrame, active: DataFrame) -> DataFrame:
+    """The newest open assignment and price setup of every group, one row per vendor and price config.
 
     Newest is per group, not per vendor: a vendor whose price setup did not change at the last change of
-    its group drops out. Versions are filtered before the condition arrays are flattened.
+    its group drops out. Versions are filtered before their condition arrays are flattened.
     """
     regions = active.select("region", *KEYS)
     versions = (
@@ -48,15 +48,22 @@ def current_setups(configs: DataFrame, active: DataFrame) -> DataFrame:
         F.max("asa_setup_active_from").alias("asa_setup_active_from_max_date"),
         F.max("pc_setup_active_from").alias("pc_setup_active_from_max_date"),
     ]
-    kept = with_totals(versions, GROUP, ["vendor_code"], newest, null_safe=False).filter(
+    return with_totals(versions, GROUP, ["vendor_code"], newest, null_safe=False).filter(
         (F.col("asa_setup_active_from") == F.col("asa_setup_active_from_max_date"))
         & F.col("asa_setup_active_to").isNull()
         & (F.col("pc_setup_active_from") == F.col("pc_setup_active_from_max_date"))
         & F.col("pc_setup_active_to").isNull()
     )
+
+
+def current_setups(newest: DataFrame) -> DataFrame:
+    """One row per vendor and condition, with the number of vendors in the group.
+
+    ``newest`` is read twice, so pass a staged table.
+    """
     vendors = [F.countDistinct("vendor_code").alias("vendor_count_caught_by_asa")]
     return (
-        with_totals(kept, GROUP, ["vendor_code"], vendors)
+        with_totals(newest, GROUP, ["vendor_code"], vendors)
         .withColumn("sch", F.explode_outer("schedule"))
         .withColumn("cc", F.explode_outer("customer_condition"))
         .withColumn("time_condition_id", F.col("sch.id"))

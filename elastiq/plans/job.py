@@ -33,7 +33,8 @@ def configure(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataF
     active = out["active_entities"]
     out["active_zones"] = keep(entities.active_zones(source("countries"), active), "active_zones")
     out["zone_cells"] = keep(sessions.zone_index(out["active_zones"], p.cell_size), "zone_cells")
-    setups = keep(groups.current_setups(source("group_config_versions"), active), "setups")
+    newest = keep(groups.newest_versions(source("group_config_versions"), active), "newest_versions")
+    setups = keep(groups.current_setups(newest), "setups")
     out["linked_groups"] = groups.linked_groups(setups, suffix=p.link_suffix, suffix_only=p.suffix_only)
     linked = groups.with_master_id(setups, out["linked_groups"], per_pair_ids=p.per_pair_ids)
     out["setups"] = keep(linked, "setups_linked")

@@ -146,7 +146,8 @@ def active_zones(s: StandIns) -> DataFrame:
 
 @query
 def current_setups(s: StandIns) -> DataFrame:
-    return groups.current_setups(s.group_config_versions(), _active(s))
+    newest = groups.newest_versions(s.group_config_versions(), _active(s))
+    return groups.current_setups(stage(newest, "newest_versions"))
 
 
 @once

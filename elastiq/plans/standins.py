@@ -163,8 +163,8 @@ class StandIns:
         fees = self.lines().groupBy("region", "entity_id", "country_code", "nationkey", "n_name", "l_discount").agg(
             F.max("l_tax").alias("tax")
         )
-        since = F.lit(dt.datetime(2001, 1, 1)).cast("timestamp_ntz")
-        before = F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz")
+        since = F.expr("TIMESTAMP_NTZ '2001-01-01'")
+        before = F.expr("TIMESTAMP_NTZ '2000-01-01'")
         never = F.lit(None).cast("timestamp_ntz")
 
         def version(name: Column, label: str, start: Column, end: Column) -> Column:

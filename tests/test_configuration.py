@@ -61,7 +61,7 @@ def test_current_setups(make, spark):
         _vendor("v4", (2, "Shop", 3, None, None, [_config(5, NEW)]), (3, "Gone", 3, NEW, NEW, [_config(5, NEW)])),
         _vendor("v5"),
     )
-    setups = groups.current_setups(source, _active(spark))
+    setups = groups.current_setups(groups.newest_versions(source, _active(spark)))
     assert tuples(setups, "vendor_code", "scheme_id", "time_condition_id", "customer_condition_id") == [
         ("v1", 6, None, None),
         ("v2", 6, None, None),
