@@ -29,4 +29,37 @@ spoken AS (
 SELECT *, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens FROM spoken
 """
 
-SQL: dict[str, str] = {"op1_chat_format": _CHAT}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_LEAKS = rf"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+),
+items AS (
+    SELECT item_id::VARCHAR AS item_id, words, least(10, len(words)) AS size
+    FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark)
+    WHERE len(words) > 0
+),
+item_windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(words[k + 1 : k + size], ' ') AS phrase
+    FROM items, unnest(range(0, len(words) - size + 1)) AS r(k)
+),
+text_windows AS (
+    SELECT doc_id, k, size, array_to_string(words[k + 1 : k + size], ' ') AS phrase
+    FROM texts, (SELECT DISTINCT size FROM items) AS sizes, unnest(range(0, len(words) - size + 1)) AS r(k)
+),
+found AS (SELECT doc_id, item_id, k, size FROM text_windows JOIN item_windows USING (size, phrase)),
+hits AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM found, unnest(range(0, size)) AS r(j) GROUP BY doc_id),
+ids AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(item_ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_chat_format": _CHAT,
+    "op5_decontaminate": _LEAKS,
+}
