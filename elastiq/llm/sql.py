@@ -59,7 +59,49 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+_LINES = r"""
+WITH texts AS (
+    SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+windows AS (
+    SELECT doc_id, k, array_to_string(words[k + 1 : k + 8], ' ') AS phrase
+    FROM texts, unnest(range(0, len(words) - 7)) AS r(k)
+),
+again AS (SELECT doc_id, k FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, phrase) > 1),
+covered AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM again, range(0, 8) AS r(j) GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, source, text, line,
+        lower(trim(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))) AS norm,
+        len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+    FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM texts)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+duplicates AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+hosts AS (SELECT source AS host, count(DISTINCT text) AS n FROM texts GROUP BY source),
+frequent AS (
+    SELECT source AS host, norm
+    FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY ALL) AS l
+    JOIN hosts ON host IS NOT DISTINCT FROM source
+    WHERE l.n > 100 AND l.n > 0.001 * hosts.n
+),
+removed AS (
+    SELECT doc_id, sum(n) AS n FROM lines JOIN frequent ON host IS NOT DISTINCT FROM source AND lines.norm = frequent.norm
+    GROUP BY doc_id
+),
+counts AS (
+    SELECT texts.doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(duplicates.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+        coalesce(removed.n, 0) AS n_removed
+    FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN duplicates USING (doc_id) LEFT JOIN removed USING (doc_id)
+),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT * EXCLUDE (n_removed), NOT base_failed AND n_words - n_removed >= 20 AND n_removed <= 0.5 * n_words AS kept FROM judged
+"""
+
 SQL: dict[str, str] = {
     "op1_chat_format": _CHAT,
     "op5_decontaminate": _LEAKS,
+    "op6_line_quality": _LINES,
 }
