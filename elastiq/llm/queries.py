@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastiq.llm import chat, decontaminate, mixing, quality, secrets, suffixes
+from elastiq.llm import chat, decontaminate, mixing, neardup, quality, secrets, suffixes
 from elastiq.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Limits(width=2))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.with_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] != "owned")
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_quality": op6_line_quality,
+    "op7_near_duplicates": op7_near_duplicates,
     "op10_secret_owners": op10_secret_owners,
 }
