@@ -31,8 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from elastiq.llm.common import fresh
 from elastiq.sources.staging import stage
 
 _PIECE = 1 << 20
@@ -98,7 +100,7 @@ def _bytes(cell: pa.Scalar) -> bytes:
 
 
 def sketch_texts(docs: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), sketch (the smallest hashes, ascending)."""
+    """doc_id, text_hash, n_shingles, digest (of the set), sketch (the smallest hashes, ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +111,13 @@ def sketch_texts(docs: DataFrame, limits: Limits) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sketches.append((own[: limits.k] ^ np.uint64(1 << 63)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "sketch"],
-            )
+                [batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "digest", "sketch"],
+            )
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
 def retained_lists(nodes: DataFrame, limits: Limits) -> DataFrame:
@@ -220,7 +223,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
     rows = stage(sketch_texts(docs, limits), "near-sketches")
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
@@ -240,4 +243,20 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ids = ids.select("own", F.coalesce("component", "node").alias("component"))
     out = rows.join(ids, rows["digest"] == ids["own"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component; of several rows with one doc_id the first.
+
+    Rows without doc_id stay unless a row with an id, or another of them, has the same text.
+    """
+    found = near_duplicates(docs, limits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    kept = named.unionByName(found.filter("doc_id is null").select("doc_id", "text_hash").distinct())
+    own = [fresh(x, docs.columns) for x in ("near_id", "near_hash", "near_place")]
+    kept = kept.select(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1]))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[own[0]]) & (F.xxhash64(docs["text"]) == kept[own[1]]))
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != "text"]
+    place = F.row_number().over(Window.partitionBy(own[0], own[1]).orderBy(*order, F.lit(0)))
+    return rows.withColumn(own[2], place).filter(F.col(own[2]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

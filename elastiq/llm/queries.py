@@ -67,7 +67,8 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Limits(width=2))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""All queries of the text operators, with their SQL."""
+"""All queries of the text operators and the corpus pipeline, with their SQL."""
 
 from __future__ import annotations
 
-from elastiq.llm.queries import QUERIES
-from elastiq.llm.sql import SQL
+import corpus_pipeline
+from elastiq.llm import queries, sql
 
-ORACLE_SQL = dict(SQL)
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE_SQL = {**sql.SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -299,3 +299,17 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), held_out(F.col("doc_id")).alias("held_out"), "text"
     )
     return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, held_out boolean, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(shared.value)
+        for batch in batches:
+            clean = [scanner.score(text.as_py()) < threshold for text in batch.column(place)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
