@@ -132,7 +132,6 @@ def redact(docs: DataFrame, example_owners: int = 3) -> DataFrame:
     rows = docs.join(found, same, "left")
     hit = F.col(own[2]).isNotNull()
     text = F.when(hit, redacted(F.col("text"), F.col(own[2]))).otherwise(F.col("text"))
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(hit, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], hit.alias(own[2]))
+    size = F.when(F.col(own[2]), F.length("text").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return rows.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

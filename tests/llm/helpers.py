@@ -25,7 +25,8 @@ def documents(spark, rows, extra: bool = True):
 
 def prose(seed: int, words: int, vocabulary: int = 400) -> str:
     r = random.Random(seed)
-    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(words))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    return " ".join(f"w{r.randrange(vocabulary)}".translate(letters) for _ in range(words))
 
 
 def words_of(text):
