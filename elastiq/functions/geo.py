@@ -60,7 +60,11 @@ def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float
 
     A cell that no side comes near lies wholly inside or outside: the first kind carries no sides and
     needs no test, the second is dropped. Other cells carry only the sides a ray from them can meet.
+
+    Zones come in few tasks, often all of a country in one row. They are dealt out by zone before the columns of
+    the grid are made, and by zone and column before its rows are; a column takes along only the sides right of its edge.
     """
+    parts = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.lit(float(cell_size))
     margin = cell_size * 1e-9
     xs, ys = F.flatten(F.col(shape))["x"], F.flatten(F.col(shape))["y"]
@@ -81,9 +85,13 @@ def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float
     near = F.exists("_edges", lambda e: beside(e) & (F.least(e["x1"], e["x2"]) <= x1))
     centre = inside(F.col("_edges"), (F.col("_gx") + 0.5) * size, (F.col("_gy") + 0.5) * size)
     return (
-        zones.select(*on, _edges(F.col(shape)).alias("_all"), xs.alias("_xs"), ys.alias("_ys"))
+        zones.withColumn("_zone", F.xxhash64(shape))
+        .repartition(parts, *on, "_zone")
+        .select(*on, "_zone", _edges(F.col(shape)).alias("_all"), xs.alias("_xs"), ys.alias("_ys"))
         .filter(F.size("_all") > 0)
-        .select(*on, "_all", "_ys", F.explode(span(F.col("_xs"))).alias("_gx"))
+        .select(*on, "_zone", "_all", "_ys", F.explode(span(F.col("_xs"))).alias("_gx"))
+        .withColumn("_all", F.filter("_all", lambda e: F.greatest(e["x1"], e["x2"]) >= x0))
+        .repartition(parts, *on, "_zone", "_gx")
         .select(*on, "_all", "_gx", F.explode(span(F.col("_ys"))).alias("_gy"))
         .select(*on, "_gx", "_gy", F.filter("_all", beside).alias("_edges"))
         .withColumn("_near", near)
@@ -100,7 +108,6 @@ def points_in_zones(
     *,
     lon: str = "lon",
     lat: str = "lat",
-    spread_by: Sequence[str],
 ) -> DataFrame:
     """The rows of ``points`` inside at least one zone with the same ``on`` values, each kept once.
 
@@ -111,7 +118,4 @@ def points_in_zones(
     gridded = points.withColumn("_gx", F.floor(x / size)).withColumn("_gy", F.floor(y / size))
     exact = F.col("_edges").isNull() | inside(F.col("_edges"), x, y)
     cells = cells.select(*on, "_gx", "_gy", "_edges")
-    sides = F.lit(1) + F.coalesce(F.size("_edges"), F.lit(0))
-    return lookup_join(
-        gridded, cells, [*on, "_gx", "_gy"], "left_semi", spread_by, weight=sides, condition=exact
-    ).drop("_gx", "_gy")
+    return lookup_join(gridded, cells, [*on, "_gx", "_gy"], "left_semi", exact).drop("_gx", "_gy")

@@ -29,13 +29,11 @@ def percent_ranks(
 ) -> DataFrame:
     """Add ``round(percent_rank(), places)`` of each metric within ``by``; ``metrics`` maps output to input.
 
-    The size of the groups is checked first: no group is larger than the table, which a staged table
-    knows without a scan. ``df`` is read more than once, so pass a staged table.
+    The largest group decides how, and both ways give the same ranks. ``df`` is read more than once, so pass a
+    staged table.
     """
-    small = df.count() <= window_rows
-    if not small:
-        small = df.groupBy(*by).count().agg(F.max("count")).first()[0] <= window_rows
-    if small:
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_rows:
         for out, value in metrics.items():
             w = Window.partitionBy(*by).orderBy(value)
             df = df.withColumn(out, F.round(F.percent_rank().over(w), places))

@@ -10,15 +10,26 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 32
-# A side of at most this many rows is broadcast; three short ids each make about 50 MB.
-BROADCAST_ROWS = 400_000
+LEAST_SALTS = 8
+# Lets adaptive execution split a hot key of a join of large tables, even at the price of a shuffle.
+SPLIT_HOT_KEYS = "spark.sql.adaptive.forceOptimizeSkewedJoin"
 
 
-def salt(cols: Sequence[str], salts: int = SALTS) -> Column:
+def split_hot_keys(spark: SparkSession) -> None:
+    """Every run, query and check relies on this setting; a value set by the user stays."""
+    if spark.conf.get(SPLIT_HOT_KEYS, None) in (None, "false"):
+        spark.conf.set(SPLIT_HOT_KEYS, "true")
+
+
+def salts_of(df: DataFrame) -> int:
+    """As many parts as a shuffle has, so that a hot key spreads over the cluster whatever its size."""
+    return max(LEAST_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def salt(cols: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
@@ -29,7 +40,7 @@ def salted_join(
     how: str,
     spread_by: Sequence[str],
     *,
-    salts: int = SALTS,
+    salts: int | None = None,
     null_safe: bool = False,
     condition: Column | None = None,
 ) -> DataFrame:
@@ -39,6 +50,7 @@ def salted_join(
     ``left`` or ``left_semi``. Adaptive execution may still split a part further, or broadcast ``dim``
     once its real size is known.
     """
+    salts = salts or salts_of(facts)
     left = facts.withColumn("_salt", salt(spread_by, salts))
     right = _renamed(dim, on).select(
         "*",
@@ -53,28 +65,16 @@ def salted_join(
     return left.join(right, test, how).drop("_salt", "_salt_of_dim", *[f"_on_{c}" for c in on])
 
 
-def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread_by: Sequence[str],
-    *,
-    weight: Column | None = None,
-    condition: Column | None = None,
-) -> DataFrame:
-    """Join a table that is usually small, such as ids in use, without moving the facts.
+def lookup_join(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str, condition: Column | None = None) -> DataFrame:
+    """Join a table that is usually small, such as ids in use.
 
-    Its rows are counted first, which is cheap for a staged table; ``weight`` counts a row with a long
-    array as more than one. Up to ``BROADCAST_ROWS`` it is broadcast, beyond that the join is salted.
+    There is no hint: ``dim`` is a staged table, so Spark knows its bytes and broadcasts it if they are few. Otherwise
+    both sides are shuffled and adaptive execution splits the hot keys of ``facts`` (``split_hot_keys``).
     """
-    size = dim.count() if weight is None else dim.agg(F.sum(weight)).first()[0] or 0
-    if size > BROADCAST_ROWS:
-        return salted_join(facts, dim, on, how, spread_by, condition=condition)
     if condition is None:
-        return facts.join(F.broadcast(dim), list(on), how)
+        return facts.join(dim, list(on), how)
     test = reduce(and_, [F.col(c) == F.col(f"_on_{c}") for c in on], condition)
-    return facts.join(F.broadcast(_renamed(dim, on)), test, how).drop(*[f"_on_{c}" for c in on])
+    return facts.join(_renamed(dim, on), test, how).drop(*[f"_on_{c}" for c in on])
 
 
 def _renamed(dim: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -98,7 +98,7 @@ def with_totals(
     return salted_join(df, totals, by, "left", spread_by, null_safe=null_safe)
 
 
-def null_lane(keys: Sequence[str], spread_by: Sequence[str], sign: int = 1, lanes: int = 256) -> Column:
+def null_lane(keys: Sequence[str], spread_by: Sequence[str], lanes: int = 256) -> Column:
     """Extra join column that spreads rows whose key is NULL (they match nothing) over many tasks."""
     missing = reduce(or_, [F.col(k).isNull() for k in keys])
-    return F.when(missing, F.lit(sign) * (F.lit(1) + salt(spread_by, lanes))).otherwise(F.lit(0))
+    return F.when(missing, F.lit(1) + salt(spread_by, lanes)).otherwise(F.lit(0))

@@ -63,13 +63,7 @@ def curve_marks(sessions: DataFrame, screened: DataFrame, p: Params) -> DataFram
     priced = sessions.filter(F.col("df_total").isNotNull()).select(
         *VENDOR, "df_total", "events_ga_session_id", "event_action", "event_time"
     )
-    kept = lookup_join(
-        priced,
-        screened.select(*VENDOR),
-        VENDOR,
-        "left_semi",
-        ["events_ga_session_id", "event_time"],
-    )
+    kept = lookup_join(priced, screened.select(*VENDOR), VENDOR, "left_semi")
     return session_marks(kept, [*VENDOR, "df_total"], tx_unit=p.tx_unit)
 
 
@@ -83,7 +77,7 @@ def vendor_curve(screened: DataFrame, marks: DataFrame, tiers: DataFrame, p: Par
     counts = mark_counts(marks, [*VENDOR, "df_total"], "cvr3", tx_unit=p.tx_unit)
     rows = counts.join(screened.select(*grain).distinct(), VENDOR)
     on = [*KEYS, p.group_key, "df_total"]
-    rows = lookup_join(rows, _current_fees(tiers, p), on, "left_semi", ["vendor_code"])
+    rows = lookup_join(rows, _current_fees(tiers, p), on, "left_semi")
     return rows.select(*grain, "df_total", *[c for c in counts.columns if c not in (*VENDOR, "df_total")])
 
 
@@ -94,11 +88,10 @@ def group_curve(screened: DataFrame, marks: DataFrame, tiers: DataFrame, p: Para
     the session, which spreads a hot group.
     """
     grain = [*GROUP_LEVEL.grain(p), "df_total"]
-    spread = ["sid", "at"]
     members = screened.select(*VENDOR_LEVEL.grain(p)).distinct()
     on = [*KEYS, p.group_key, "df_total"]
-    pooled = lookup_join(marks, members, VENDOR, "inner", spread)
-    pooled = lookup_join(pooled, _current_fees(tiers, p), on, "left_semi", [*spread, "vendor_code"])
+    pooled = lookup_join(marks, members, VENDOR, "inner")
+    pooled = lookup_join(pooled, _current_fees(tiers, p), on, "left_semi")
     marks = pooled.groupBy(*grain, *MARK).agg(
         F.max("visit").alias("visit"), F.max("tx").alias("tx")
     )
@@ -145,5 +138,7 @@ def with_slope(curve: DataFrame, level: Level, p: Params) -> DataFrame:
     Rows that all share one fee have slope 0. An id has as many rows as its price list, so the window
     needs no more than the one that ranked the tiers.
     """
-    slope = F.coalesce(F.regr_slope(level.cvr, "df_total").over(Window.partitionBy(*level.ids(p))), F.lit(0.0))
-    return curve.withColumn(level.slope, F.when(F.col(level.tiers) > 1, F.round(slope, SLOPE_PLACES)))
+    own = Window.partitionBy(*level.ids(p))
+    slope = F.coalesce(F.regr_slope(level.cvr, "df_total").over(own), F.lit(0.0))
+    several = F.count(F.lit(1)).over(own) > 1
+    return curve.withColumn(level.slope, F.when(several, F.round(slope, SLOPE_PLACES)))

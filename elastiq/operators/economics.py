@@ -68,9 +68,7 @@ def order_economics(
         & (F.col("delivery_status") == COMPLETED)
         & F.col("is_sent")
     )
-    done = lookup_join(
-        done, entities.select("region", "entity_id"), ["entity_id"], "inner", ["platform_order_code"]
-    )
+    done = lookup_join(done, entities.select("region", "entity_id"), ["entity_id"], "inner")
     recorded = values.select(
         F.col("global_entity_id").alias("entity_id"),
         F.col("order_id").alias("platform_order_code"),

@@ -70,4 +70,4 @@ def active_zones(countries: DataFrame, active: DataFrame) -> DataFrame:
         )
     )
     keys = ["entity_id", "country_code"]
-    return lookup_join(flat, active.select(*keys), keys, "inner", ["city_id", "zone_id"]).select(*flat.columns)
+    return lookup_join(flat, active.select(*keys), keys, "inner").select(*flat.columns)

@@ -23,7 +23,7 @@ def newest_versions(configs: DataFrame, active: DataFrame) -> DataFrame:
     """
     regions = active.select("region", *KEYS)
     versions = (
-        lookup_join(configs, regions, KEYS, "inner", ["vendor_code"])
+        lookup_join(configs, regions, KEYS, "inner")
         .select("region", *KEYS, "vendor_code", F.explode("dps_automatic_assignment_history").alias("h"))
         .select("region", *KEYS, "vendor_code", "h", F.explode_outer("h.price_config").alias("pc"))
         .select(
@@ -48,7 +48,7 @@ def newest_versions(configs: DataFrame, active: DataFrame) -> DataFrame:
         F.max("asa_setup_active_from").alias("asa_setup_active_from_max_date"),
         F.max("pc_setup_active_from").alias("pc_setup_active_from_max_date"),
     ]
-    return with_totals(versions, GROUP, ["vendor_code"], newest, null_safe=False).filter(
+    return with_totals(versions, GROUP, ["vendor_code"], newest).filter(
         (F.col("asa_setup_active_from") == F.col("asa_setup_active_from_max_date"))
         & F.col("asa_setup_active_to").isNull()
         & (F.col("pc_setup_active_from") == F.col("pc_setup_active_from_max_date"))

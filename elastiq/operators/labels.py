@@ -88,7 +88,8 @@ def vendor_labels(tested: DataFrame, p: Params) -> DataFrame:
     ]
     if p.slope_test:
         lists.append(_by_fee("is_lb_test_passed_lm", text=_as_is))
-        lists += [F.avg(c).alias(c) for c in (v.slope, v.tiers, g.slope, g.tiers)]
+        counts = (v.tiers, g.tiers) if p.tier_ranks else ()
+        lists += [F.avg(c).alias(c) for c in (v.slope, g.slope, *counts)]
     return tested.groupBy(*grain, label, *by_slope).agg(*lists)
 
 
@@ -99,7 +100,7 @@ def final_vendor_list(ranked: DataFrame, labels: DataFrame, directory: DataFrame
     methods = {"": "is_lb", "_lm": "is_lb_lm"} if p.slope_test else {"": "is_lb"}
     texts = ["dfs_seen_in_sessions", "vendor_cvr3_by_df", v.change, g.cvr, g.change]
     slopes = [v.slope, g.slope] if p.slope_test else []
-    tiers = [v.tiers, g.tiers] if p.slope_test else []
+    tiers = [v.tiers, g.tiers] if p.slope_test and p.tier_ranks else []
     tests = ["is_lb_test_passed", "is_lb_test_passed_lm"] if p.slope_test else ["is_lb_test_passed"]
     marked = labels.select(
         *ids,

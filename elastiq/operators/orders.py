@@ -56,7 +56,7 @@ def vendor_orders(orders: DataFrame, vendors: DataFrame, window: tuple[date, dat
     ).select(*KEYS, F.col("vendor_id").alias("vendor_code"), "platform_order_code")
     on = [*KEYS, "vendor_code"]
     return (
-        lookup_join(done, vendors.select(*on), on, "left_semi", ["platform_order_code"])
+        lookup_join(done, vendors.select(*on), on, "left_semi")
         .groupBy("entity_id", F.lower("country_code").alias("country_code"), "vendor_code")
         .agg(F.countDistinct("platform_order_code").alias("num_orders"))
     )
@@ -77,10 +77,9 @@ def group_order_impact(
             & (F.col("vendor_price_scheme_type") == AUTOMATIC_SCHEME)
             & (F.col("delivery_status") == COMPLETED)
         )
-        .withColumn("asa_id", F.col("assignment_id").cast("bigint"))
         .select(
             *KEYS,
-            "asa_id",
+            "assignment_id",
             "platform_order_code",
             "created_date",
             "vendor_id",
@@ -91,10 +90,12 @@ def group_order_impact(
             "is_delivery_fee_covered_by_voucher",
         )
     )
-    spread = ["platform_order_code"]
+    # An assignment id is compared as text: only ids of known groups become numbers, whatever else is stored.
     on = [*KEYS, "asa_id"]
-    done = lookup_join(done, vendors.select(*on).distinct(), on, "left_semi", spread)
-    done = lookup_join(done, active.select("region", *KEYS), KEYS, "inner", spread)
+    known = vendors.select(*KEYS, F.col("asa_id").cast("string").alias("assignment_id")).distinct()
+    done = lookup_join(done, known, [*KEYS, "assignment_id"], "left_semi")
+    done = done.withColumn("asa_id", F.col("assignment_id").try_cast("bigint")).drop("assignment_id")
+    done = lookup_join(done, active.select("region", *KEYS), KEYS, "inner")
     fee = paid_fee(
         F.col("region"),
         F.col("external_fee"),

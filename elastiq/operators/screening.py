@@ -122,7 +122,7 @@ def screening_funnel(ranked: DataFrame, p: Params) -> DataFrame:
     )
     entities = groups.groupBy(*KEYS).agg(F.sum("asa_orders").alias("entity_orders"))
     totals = groups.join(entities, list(KEYS))
-    joined = salted_join(ranked, totals, asa, "left", ["vendor_code"])
+    joined = salted_join(ranked, totals, asa, "left", ["vendor_code"], null_safe=True)
     entity, caught = F.col("entity_orders"), F.col("vendor_count_caught_by_asa")
     left = [f"vendor_count_remaining_after_{s}" for s in STAGES]
     return joined.select(

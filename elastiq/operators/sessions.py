@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from elastiq.functions.geo import point_text, points_in_zones, zone_cells
 from elastiq.functions.skew import lookup_join, null_lane
-from elastiq.params import KEYS, TRANSACTION, VISIT
+from elastiq.params import FEE_PLACES, KEYS, TRANSACTION, VISIT
 
 VENDOR = [*KEYS, "vendor_code"]
 
@@ -56,10 +56,9 @@ def sessions_in_zones(
         .withColumn("city_name", F.col("dps.city_name"))
         .withColumn("zone_name", F.col("dps.name"))
     )
-    spread = ["events_ga_session_id"]
     names = zones.select(*KEYS, "city_name", "zone_name")
-    located = lookup_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi", spread)
-    located = points_in_zones(located, cells, [*KEYS, "city_name"], cell_size, spread_by=spread)
+    located = lookup_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi")
+    located = points_in_zones(located, cells, [*KEYS, "city_name"], cell_size)
     s = "sessions."
     flat = located.withColumn("e", F.explode("events")).select(
         "created_date",
@@ -96,7 +95,7 @@ def sessions_in_zones(
         F.col("dps.timezone").alias("timezone"),
         point_text(F.col("lon"), F.col("lat")).alias("ga_location"),
     )
-    return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", [*spread, "event_time"]).distinct()
+    return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi").distinct()
 
 
 def fee_requests(
@@ -126,15 +125,17 @@ def fee_requests(
         F.col("customer.lon").alias("_lon"),
         F.col("customer.lat").alias("_lat"),
     )
-    spread = ["dps_session_id", "created_at"]
-    flat = lookup_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi", spread)
-    return points_in_zones(
-        flat, cells, ["entity_id"], cell_size, lon="_lon", lat="_lat", spread_by=spread
-    ).drop("_lon", "_lat")
+    flat = lookup_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi")
+    return points_in_zones(flat, cells, ["entity_id"], cell_size, lon="_lon", lat="_lat").drop("_lon", "_lat")
 
 
 def fee_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "travel_time") -> DataFrame:
-    """One row per request and known vendor with the scheme and fee shown. May repeat rows."""
+    """One row per request and known vendor with the scheme and fee shown, without repeats."""
+    return known_offers(requests, vendors, fee_field=fee_field).distinct()
+
+
+def known_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "travel_time") -> DataFrame:
+    """The same with repeats, which cannot matter to the last fee."""
     flat = requests.withColumn("v", F.explode("vendors")).select(
         *KEYS,
         "created_date",
@@ -143,11 +144,11 @@ def fee_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "tra
         F.col("v.id").alias("vendor_code"),
         F.col("v.meta_data.scheme_id").alias("scheme_id"),
         F.col("v.meta_data.vendor_price_scheme_type").alias("vendor_price_scheme_type"),
-        F.col(f"v.delivery_fee.{fee_field}").alias("df_total"),
+        F.round(f"v.delivery_fee.{fee_field}", FEE_PLACES).alias("df_total"),
         "session_timestamp",
         "created_at",
     )
-    return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi", ["dps_session_id", "created_at"])
+    return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi")
 
 
 def last_fee(offers: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from elastiq.functions.skew import salted_join, with_totals
-from elastiq.params import KEYS
+from elastiq.params import FEE_PLACES, KEYS
 
 # Fixed value: stands for the open threshold of the last tier.
 OPEN_THRESHOLD = 9999999.0
@@ -51,7 +51,7 @@ def scheme_fee_tiers(configs: DataFrame, schemes: DataFrame) -> DataFrame:
             F.when(detail.isNull(), F.lit(OPEN_THRESHOLD))
             .otherwise(F.round(minutes + (detail - minutes) * 60 / 100, 2))
             .alias("threshold_in_min_and_sec"),
-            F.col("ttd.travel_time_fee").alias("fee"),
+            F.round("ttd.travel_time_fee", FEE_PLACES).alias("fee"),
             _second("ttd.active_from").alias("tt_detail_active_from"),
             _second("ttd.active_to").alias("tt_detail_active_to"),
         )

@@ -22,6 +22,8 @@ AUTOMATIC_SCHEME = "Automatic scheme"
 EXTERNAL_FEE_REGIONS = ("Europe", "Asia")
 
 KEYS = ("entity_id", "country_code")
+# Fees are compared after rounding to this many decimals, wherever they come from.
+FEE_PLACES = 4
 
 
 @dataclass(frozen=True)

@@ -15,10 +15,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastiq.functions.skew import lookup_join
+from elastiq.functions.skew import lookup_join, split_hot_keys
 from elastiq.params import AUTOMATIC_SCHEME, COMPLETED, TRANSACTION, VISIT, Params
 from elastiq.sources.staging import stage
-from elastiq.sources.tables import spread
 
 # the stand-in dates fall into January and the first days of February 2024
 AS_OF = dt.date(2024, 2, 15)
@@ -41,6 +40,7 @@ def once(build: Callable[..., Any]) -> Callable[..., Any]:
 
 class StandIns:
     def __init__(self, spark: SparkSession, folder: str) -> None:
+        split_hot_keys(spark)
         self.spark = spark
         self.folder = folder
         self.made: dict[tuple, Any] = {}
@@ -77,9 +77,8 @@ class StandIns:
 
     @once
     def lines(self) -> DataFrame:
-        lines = spread(self.table("lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
-        lines = lines.withColumn("s_suppkey", F.col("l_suppkey"))
-        return lookup_join(lines, self.places(), ["s_suppkey"], "inner", ["l_orderkey", "l_linenumber"])
+        lines = self.table("lineitem").withColumn("s_suppkey", F.col("l_suppkey"))
+        return lookup_join(lines, self.places(), ["s_suppkey"], "inner")
 
     @once
     def entities(self) -> DataFrame:
@@ -327,7 +326,7 @@ class StandIns:
                 _january(F.col("o_orderdate")).alias("created_date"),
                 F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise(COMPLETED).alias("delivery_status"),
                 (F.col("l_linestatus") == "F").alias("is_sent"),
-                F.col("nationkey").cast("string").alias("assignment_id"),
+                F.when(line == 7, "none").otherwise(F.col("nationkey").cast("string")).alias("assignment_id"),
                 F.when(F.col("l_returnflag") == "N", "Manual").otherwise(AUTOMATIC_SCHEME).alias(
                     "vendor_price_scheme_type"
                 ),

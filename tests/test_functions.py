@@ -50,21 +50,34 @@ def test_salted_join_equals_plain_join(spark, how, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
-def test_lookup_join_equals_plain_join(spark, monkeypatch, how, limit):
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+def test_lookup_join_leaves_the_choice_to_spark(spark, how, broadcast):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), (None, 4)], "k string, d int")
-    facts = _facts(spark)
-    joined = skew.lookup_join(facts, dim, ["k"], how, ["v"])
-    assert tuples(joined, *joined.columns) == tuples(facts.join(dim, "k", how), *joined.columns)
-    small = skew.lookup_join(facts, dim, ["k"], how, ["v"], condition=F.col("d") > F.col("v"), weight=F.lit(2))
-    expected = facts.join(dim, "k").filter("d > v")
-    if how == "left_semi":
-        expected = expected.select("k", "v").distinct()
-    assert tuples(small, "k", "v") == tuples(expected, "k", "v")
-    plan = skew.lookup_join(facts, dim, ["k"], how, ["v"])._jdf.queryExecution().optimizedPlan().toString()
-    assert ("broadcast" in plan) == (limit > 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        facts = _facts(spark)
+        joined = skew.lookup_join(facts, dim, ["k"], how)
+        assert tuples(joined, *joined.columns) == tuples(facts.join(dim, "k", how), *joined.columns)
+        small = skew.lookup_join(facts, dim, ["k"], how, F.col("d") > F.col("v"))
+        expected = facts.join(dim, "k").filter("d > v")
+        if how == "left_semi":
+            expected = expected.select("k", "v").distinct()
+        assert tuples(small, "k", "v") == tuples(expected, "k", "v")
+        assert "Hint" not in joined._jdf.queryExecution().logical().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_salts_follow_the_shuffle_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert skew.salts_of(_facts(spark)) == max(8, int(before))
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        assert skew.salts_of(_facts(spark)) == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_salted_join_can_match_nulls(spark):
@@ -132,7 +145,7 @@ def _points_inside(spark, shapes, points, cell_size):
     zones = spark.createDataFrame([("e", s) for s in shapes], f"e string, shape {SHAPE}")
     pts = spark.createDataFrame([("e", x, y) for x, y in points], "e string, lon double, lat double")
     cells = zone_cells(zones, ["e"], "shape", cell_size)
-    return tuples(points_in_zones(pts, cells, ["e"], cell_size, spread_by=["lon", "lat"]), "lon", "lat")
+    return tuples(points_in_zones(pts, cells, ["e"], cell_size), "lon", "lat")
 
 
 @pytest.mark.parametrize("cell_size", [0.3, 1.0, 50.0])
@@ -171,3 +184,13 @@ def test_stage_writes_to_the_shared_folder(spark):
     staged = stage(_facts(spark), "facts")
     assert staged.count() == 300
     assert all(f.startswith("file:") and shared_folder(spark) in f for f in staged.inputFiles())
+
+
+def test_zones_of_one_country_are_gridded_in_many_tasks(spark):
+    """All zones in one row, as a country comes: cells come out of several tasks, none with more than half of them."""
+    square = lambda x: [[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]]
+    row = spark.createDataFrame([("e", [square(float(k)) for k in range(60)])], f"e string, zones array<{SHAPE}>").coalesce(1)
+    cells = zone_cells(row.select("e", F.explode("zones").alias("shape")), ["e"], "shape", 0.1)
+    per_task = [r["n"] for r in cells.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(per_task) > 1 and max(per_task) < 0.5 * sum(per_task) * 1.2
+    assert sum(per_task) >= 60 * 100
