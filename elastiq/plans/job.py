@@ -11,8 +11,10 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from elastiq.functions.checks import repeated_keys
+from elastiq.functions.skew import split_hot_keys
 from elastiq.operators import curves, economics, entities, groups, labels, orders, screening, sessions, tiers
 from elastiq.operators.curves import GROUP_LEVEL, VENDOR_LEVEL
 from elastiq.params import Params
@@ -27,9 +29,11 @@ Stage = Callable[[DataFrame, str], DataFrame]
 def configure(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataFrame]:
     """Entities, zones, vendor groups and fee tiers in force. All of them are read several times."""
     out: dict[str, DataFrame] = {}
-    out["active_entities"] = keep(
-        entities.active_entities(source("entities"), source("orders_mapped")), "active_entities"
-    )
+    # The ids that have orders are the one thing taken from the full order history; it is read once.
+    ordered = keep(source("orders_mapped").select("entity_id").distinct(), "ordered_entities")
+    split_hot_keys(ordered.sparkSession)
+    out["entities_lite"] = keep(entities.entities_lite(source("entities"), ordered), "entities_lite")
+    out["active_entities"] = keep(entities.active_entities(source("entities"), ordered), "active_entities")
     active = out["active_entities"]
     out["active_zones"] = keep(entities.active_zones(source("countries"), active), "active_zones")
     out["zone_cells"] = keep(sessions.zone_index(out["active_zones"], p.cell_size), "zone_cells")
@@ -97,20 +101,20 @@ def performance(
     """Performance per vendor and fee, and the elasticity between the fee tiers of a group."""
     fees = economics.vendor_fee_performance(group_tiers, vendors, order_rows, final_list)
     per_vendor = keep(fees, "vendor_performance")
-    rollup = economics.cluster_fee_rollup(per_vendor)
+    rollup = keep(economics.cluster_fee_rollup(per_vendor), "cluster_rollup")
     ranked = economics.tier_ranks(economics.cluster_totals(rollup))
     return {"vendor_fee_performance": per_vendor, "tier_elasticity": economics.tier_elasticity(ranked)}
 
 
-def run(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataFrame]:
-    """All result tables of a run by name."""
+def run_labels(source: Source, p: Params, keep: Stage = stage, run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
+    """All result tables up to the final list, which carries the stamp of the run."""
     out = configure(source, p, keep)
     vendors, zones, cells = out["vendors"], out["active_zones"], out["zone_cells"]
     located = sessions.sessions_in_zones(
         source("web_sessions"), zones, cells, vendors, p.window, cell_size=p.cell_size
     )
-    events = keep(located, "sessions")
-    per_vendor = orders.vendor_orders(source("orders_mapped"), vendors, p.window)
+    out["sessions"] = events = keep(located, "sessions")
+    out["vendor_orders"] = per_vendor = orders.vendor_orders(source("orders_mapped"), vendors, p.window)
     out["group_order_impact"] = orders.group_order_impact(
         source("orders_mapped"), source("external_fee_orders"), out["active_entities"], vendors, p.window
     )
@@ -119,25 +123,33 @@ def run(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataFrame]:
     requests = sessions.fee_requests(
         source("pricing_requests"), zones, cells, p.window, endpoints=p.endpoints, cell_size=p.cell_size
     )
-    fees = sessions.last_fee(sessions.fee_offers(requests, vendors, fee_field=p.fee_field))
-    priced = sessions.sessions_with_fee(events, fees)
+    out["last_fees"] = fees = sessions.last_fee(sessions.known_offers(requests, vendors, fee_field=p.fee_field))
+    out["priced_sessions"] = priced = sessions.sessions_with_fee(events, fees)
     out |= label(priced, out["screened_vendors"], out["group_tiers"], p, keep)
 
     final = labels.final_vendor_list(out["all_metrics"], out["vendor_labels"], source("vendor_directory"), p)
-    out["final_list"] = keep(final, "final_list")
+    out["final_list"] = keep(final.withColumn("update_timestamp", F.lit(run_ts or stamp_of(p))), "final_list")
+    return out
+
+
+def stamp_of(p: Params) -> dt.datetime:
+    """The stamp of a run that is given none: midnight of its day."""
+    return dt.datetime.combine(p.as_of, dt.time(), dt.timezone.utc)
+
+
+def run(source: Source, p: Params, keep: Stage = stage, run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
+    """All result tables of a run by name: the labels and, with slopes, the economics."""
+    out = run_labels(source, p, keep, run_ts)
     if p.slope_test:
         order_rows = economics.order_economics(
-            source("orders_mapped"),
-            source("order_values"),
-            source("external_fee_orders"),
-            entities.entities_lite(source("entities"), source("orders_mapped")),
-            p.window,
+            source("orders_mapped"), source("order_values"), source("external_fee_orders"), out["entities_lite"], p.window
         )
-        out |= performance(out["group_tiers"], vendors, order_rows, out["final_list"], keep)
+        out |= performance(out["group_tiers"], out["vendors"], order_rows, out["final_list"], keep)
     return out
 
 
-def main(argv: list[str] | None = None) -> None:
+def arguments() -> argparse.ArgumentParser:
+    """One option per parameter."""
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     parser.add_argument("--input", required=True)
     parser.add_argument("--output", required=True)
@@ -149,21 +161,26 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--tx-unit", choices=("session", "event_time"), default=Params.tx_unit)
     parser.add_argument("--fee-field", choices=("travel_time", "total"), default=Params.fee_field)
     parser.add_argument("--no-slope-test", dest="slope_test", action="store_false")
+    parser.add_argument("--no-tier-ranks", dest="tier_ranks", action="store_false")
+    parser.add_argument("--link-suffix", default=Params.link_suffix)
+    parser.add_argument("--per-pair-ids", action="store_true", help="one master id per linked name")
+    parser.add_argument("--suffix-only", action="store_true", help="strip the suffix, not any of its characters")
+    parser.add_argument("--endpoints", nargs="+", default=Params.endpoints, help="request kinds, such as multipleFee")
+    parser.add_argument("--cell-size", type=float, default=Params.cell_size, help="degrees of a grid cell")
     parser.add_argument("--run-ts", type=dt.datetime.fromisoformat, help="stamp of the history rows")
-    args = vars(parser.parse_args(argv))
+    return parser
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = vars(arguments().parse_args(argv))
     root, output, run_ts = args.pop("input"), args.pop("output").rstrip("/"), args.pop("run_ts")
-    p = Params(**args)
+    p = Params(**args | {"endpoints": tuple(args["endpoints"])})
+    stamp = run_ts or stamp_of(p)
 
-    spark = (
-        SparkSession.builder.appName("elastiq")
-        # split a hot session or order in the joins of large tables, even at the price of a shuffle
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-        .getOrCreate()
-    )
-    out = run(lambda name: read_input(spark, root, name), p)
+    spark = SparkSession.builder.appName("elastiq").getOrCreate()
+    out = run(lambda name: read_input(spark, root, name), p, run_ts=stamp)
     for name, df in out.items():
         write_table(df, f"{output}/{name}")
-    stamp = run_ts or dt.datetime.combine(p.as_of, dt.time(), dt.timezone.utc)
     append_history(out["final_list"], f"{output}/history", stamp)
 
 

@@ -28,8 +28,9 @@ from elastiq.params import KEYS, Params
 from elastiq.plans import job
 from elastiq.plans.standins import PARAMS, StandIns, once
 from elastiq.sources.history import append_history, read_run
-from elastiq.sources.published import epoch_text, published_ids
+from elastiq.sources.published import epoch_text, published_ids, read_written, write_published
 from elastiq.sources.staging import shared_folder, stage
+from elastiq.sources.tables import read_input
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +108,12 @@ def _vendors(s: StandIns) -> DataFrame:
     return stage(s.vendors(), "vendors")
 
 
+@once
+def _known(s: StandIns) -> DataFrame:
+    """Vendors without one supplier in ten, so that the vendor filters have something to drop."""
+    return stage(_vendors(s).filter(~F.col("vendor_code").endswith("7")), "known_vendors")
+
+
 @once
 def _fees(s: StandIns) -> DataFrame:
     return stage(s.group_fees(), "group_fees")
@@ -199,7 +206,7 @@ def group_tiers(s: StandIns) -> DataFrame:
 @once
 def _located(s: StandIns) -> DataFrame:
     return sessions.sessions_in_zones(
-        s.web_sessions(), _zones(s), _cells(s), _vendors(s), PARAMS.window, cell_size=PARAMS.cell_size
+        s.web_sessions(), _zones(s), _cells(s), _known(s), PARAMS.window, cell_size=PARAMS.cell_size
     )
 
 
@@ -222,12 +229,42 @@ def fee_requests(s: StandIns) -> DataFrame:
 
 @query
 def fee_offers(s: StandIns) -> DataFrame:
-    return sessions.fee_offers(_requests(s), _vendors(s))
+    return sessions.fee_offers(_requests(s), _known(s))
 
 
 @query
 def last_fee(s: StandIns) -> DataFrame:
-    return sessions.last_fee(sessions.fee_offers(_requests(s), _vendors(s)))
+    return sessions.last_fee(sessions.known_offers(_requests(s), _known(s)))
+
+
+@query
+def input_by_name(s: StandIns) -> DataFrame:
+    """Requests stored with their nested fields in another order, one more and one fewer, and read back by name."""
+    offer = lambda v: F.struct(
+        F.struct(
+            v["delivery_fee"]["total"].cast("decimal(12,4)").alias("total"),
+            F.lit(9.5).alias("surcharge"),
+            v["delivery_fee"]["travel_time"].alias("travel_time"),
+        ).alias("delivery_fee"),
+        v["id"].alias("id"),
+        F.struct(v["meta_data"]["vendor_price_scheme_type"], v["meta_data"]["scheme_id"].cast("int").alias("scheme_id")).alias("meta_data"),
+    )
+    session = F.struct(F.col("customer.session.timestamp"), F.col("customer.session.id"))
+    stored = s.pricing_requests().select(
+        F.transform("vendors", offer).alias("vendors"),
+        F.struct(session.alias("session"), "customer.lat", "customer.lon").alias("customer"),
+        F.lit("x").alias("further"),
+        "created_at", "created_date", "endpoint", "country_code", "entity_id",
+    )
+    root = f"{shared_folder(s.spark).rstrip('/')}/elastiq/{s.spark.sparkContext.applicationId}/input-{uuid.uuid4().hex}"
+    stored.write.parquet(f"{root}/pricing_requests")
+    v = F.col("vendors")[0]
+    return read_input(s.spark, root, "pricing_requests").select(
+        *KEYS, "endpoint", "created_date", "created_at",
+        F.col("customer.user_id").alias("user_id"), F.col("customer.lon").alias("lon"), F.col("customer.session.id").alias("session_id"),
+        v["id"].alias("vendor_code"), v["meta_data"]["scheme_id"].alias("scheme_id"),
+        v["delivery_fee"]["travel_time"].alias("travel_time"), v["delivery_fee"]["total"].alias("total"),
+    )
 
 
 @query
@@ -240,7 +277,7 @@ def sessions_with_fee(s: StandIns) -> DataFrame:
 
 @query
 def vendor_orders(s: StandIns) -> DataFrame:
-    return orders.vendor_orders(s.orders_mapped(), _vendors(s), PARAMS.window)
+    return orders.vendor_orders(s.orders_mapped(), _known(s), PARAMS.window)
 
 
 @query
@@ -434,14 +471,15 @@ def final_list(s: StandIns) -> DataFrame:
 
 @query
 def history(s: StandIns) -> DataFrame:
-    """Two runs appended to a history, the second one read back on its own as well."""
+    """Two runs appended to a history, the first one twice, the second one read back on its own as well."""
     rows = stage(_metrics(s).select(*KEYS, "asa_id", "vendor_code", "num_orders", "cvr3"), "history_rows")
     path = f"{shared_folder(s.spark).rstrip('/')}/elastiq/history-{uuid.uuid4().hex}"
     first = dt.datetime(2024, 1, 15, 17, 49, 40, tzinfo=dt.timezone.utc)
     second = dt.datetime(2024, 2, 15, 17, 49, 40, tzinfo=dt.timezone.utc)
     append_history(rows, path, first)
     append_history(rows.filter("cvr3 >= 0.3"), path, second)
-    everything = s.spark.read.parquet(path).drop("run_date").withColumn("part", F.lit("all"))
+    append_history(rows, path, first)  # a retry
+    everything = s.spark.read.parquet(path).drop("run").withColumn("part", F.lit("all"))
     last = read_run(s.spark, path, second).withColumn("part", F.lit("last"))
     return everything.unionByName(last).withColumn(
         "update_timestamp", epoch_text(F.unix_seconds("update_timestamp"))
@@ -549,12 +587,13 @@ def tier_elasticity(s: StandIns) -> DataFrame:
 def _published_files(s: StandIns) -> DataFrame:
     """Published files of at most 1000 ids: documents by language and source."""
     chunk = F.floor(F.col("doc_id") / 1000)
+    chunk_name = F.col("chunk").cast("string")
     return (
         s.table("documents")
         .groupBy("lang", "source", chunk.alias("chunk"))
         .agg(F.collect_list(F.col("doc_id").cast("string")).alias("vendor_ids"))
         .select(
-            F.concat("lang", F.lit("_xx-"), "source", F.lit("-v1.gzip")).alias("file_name"),
+            F.concat("lang", F.lit("_xx-"), "source", F.lit("-v1-"), chunk_name, F.lit(".gzip")).alias("file_name"),
             "vendor_ids",
             (F.col("chunk") * 3600 + 1668534580).cast("string").alias("update_timestamp"),
         )
@@ -577,7 +616,10 @@ def _stored(s: StandIns) -> DataFrame:
 
 @query
 def published(s: StandIns) -> DataFrame:
-    return published_ids(_published_files(s), with_cluster=True)
+    """Written as gzip JSON files to the shared folder and read from there."""
+    path = f"{shared_folder(s.spark).rstrip('/')}/elastiq/{s.spark.sparkContext.applicationId}/published-{uuid.uuid4().hex}"
+    write_published(_published_files(s), path)
+    return published_ids(read_written(s.spark, path), with_cluster=True)
 
 
 def _compare(s: StandIns, with_cluster: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -636,11 +678,17 @@ def variant_without_slope(s: StandIns) -> DataFrame:
     return _final(s, dataclasses.replace(PARAMS, slope_test=False, tier_ranks=False))
 
 
+@query
+def variant_without_tier_ranks(s: StandIns) -> DataFrame:
+    """Labels by slope without the tier counts in the result."""
+    return _rounded(_final(s, dataclasses.replace(PARAMS, tier_ranks=False)), 8, *_SLOPES)
+
+
 @query
 def variant_fee_field(s: StandIns) -> DataFrame:
     """The total fee as the price seen, from requests of both kinds."""
     requests = _requests(s, ("singleFee", "multipleFee"))
-    return sessions.last_fee(sessions.fee_offers(requests, _vendors(s), fee_field="total"))
+    return sessions.last_fee(sessions.known_offers(requests, _vendors(s), fee_field="total"))
 
 
 @query
@@ -655,7 +703,7 @@ def variant_linking(s: StandIns) -> DataFrame:
 
 @query
 def full_run_labels(s: StandIns) -> DataFrame:
-    return _rounded(job.run(s, PARAMS)["final_list"], 8, *_SLOPES)
+    return _rounded(job.run_labels(s, PARAMS)["final_list"], 8, *_SLOPES)
 
 
 @query

@@ -1,4 +1,4 @@
-"""The append-only result table."""
+"""The result table of all runs."""
 
 from __future__ import annotations
 
@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _utc_date(run_ts: dt.datetime) -> dt.date:
-    return run_ts.astimezone(dt.timezone.utc).date()
+def _run_name(run_ts: dt.datetime) -> str:
+    return run_ts.astimezone(dt.timezone.utc).strftime("%Y%m%dT%H%M%S.%fZ")
 
 
 def append_history(df: DataFrame, path: str, run_ts: dt.datetime) -> None:
-    """Add one run's rows, stamped with ``run_ts`` (with time zone) and partitioned by its UTC date."""
+    """Add one run's rows, stamped with ``run_ts`` (with time zone), in a partition of its own.
+
+    Writing the same run again replaces its partition, so a retry leaves one copy of its rows.
+    """
     (
         df.withColumn("update_timestamp", F.lit(run_ts))
-        .withColumn("run_date", F.lit(_utc_date(run_ts)))
+        .withColumn("run", F.lit(_run_name(run_ts)))
         .hint("rebalance")
-        .write.mode("append")
-        .partitionBy("run_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
         .parquet(path)
     )
 
 
 def read_run(spark: SparkSession, path: str, run_ts: dt.datetime) -> DataFrame:
-    """One run of the history; only the partition of its date is scanned."""
-    same_day = F.col("run_date") == F.lit(_utc_date(run_ts))
-    return spark.read.parquet(path).filter(same_day & (F.col("update_timestamp") == F.lit(run_ts))).drop("run_date")
+    """One run of the history; only its partition is scanned."""
+    return spark.read.parquet(path).filter(F.col("run") == _run_name(run_ts)).drop("run")

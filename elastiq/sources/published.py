@@ -16,6 +16,17 @@ def epoch_text(seconds: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
 
 
+def write_published(files: DataFrame, path: str) -> None:
+    """Publish lists as gzip JSON, each in a folder ``file_name=<name>``. ``files`` has one row per name."""
+    files.write.partitionBy("file_name").option("compression", "gzip").json(path)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """The lists of ``write_published``, one row per name."""
+    files = spark.read.schema(f"{_SCHEMA}, file_name string").json(path)
+    return files.select("file_name", "vendor_ids", "update_timestamp")
+
+
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``file_name, vendor_ids, update_timestamp``."""
     files = spark.read.schema(_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.gzip").json(path)
