@@ -19,7 +19,7 @@ from elastiq.operators import curves, economics, entities, groups, labels, order
 from elastiq.operators.curves import GROUP_LEVEL, VENDOR_LEVEL
 from elastiq.params import Params
 from elastiq.sources.history import append_history
-from elastiq.sources.staging import stage
+from elastiq.sources.staging import drop_staged, stage
 from elastiq.sources.tables import read_input, write_table
 
 Source = Callable[[str], DataFrame]
@@ -182,6 +182,7 @@ def main(argv: list[str] | None = None) -> None:
     for name, df in out.items():
         write_table(df, f"{output}/{name}")
     append_history(out["final_list"], f"{output}/history", stamp)
+    drop_staged(spark)
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
     spark-submit elastiq/plans/publication.py --published <folder> --history <folder> \\
         --run-ts 2024-02-15T00:00:00+00:00 --countries ae,sg --output <folder>
-    spark-submit elastiq/plans/publication.py --published <folder> --clusters <table folder> \\
+    spark-submit elastiq/plans/publication.py --published <folder> --clusters <folder, or catalog:schema.table> \\
         --regions Americas --output <folder>
 """
 
@@ -13,10 +13,11 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from elastiq.functions.skew import split_hot_keys
 from elastiq.operators.reconcile import reconcile, reconcile_counts, reconcile_nulls, stored_ids
 from elastiq.sources.history import read_run
 from elastiq.sources.published import published_ids, read_published
-from elastiq.sources.staging import stage
+from elastiq.sources.staging import drop_staged, stage
 from elastiq.sources.tables import as_declared, write_table
 
 
@@ -52,10 +53,13 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("elastiq-publication").getOrCreate()
+    split_hot_keys(spark)
     files = read_published(spark, args.published)
     if args.clusters:
         published = published_ids(files, with_cluster=True)
-        table = as_declared(spark.read.parquet(args.clusters), "vendors_clustered")
+        in_catalog = args.clusters.startswith("catalog:")
+        stored = spark.table(args.clusters.removeprefix("catalog:")) if in_catalog else spark.read.parquet(args.clusters)
+        table = as_declared(stored, "vendors_clustered")
         out = check(published, table, table_id="vendor_id", with_cluster=True, regions=args.regions)
     else:
         published = published_ids(files)
@@ -64,6 +68,7 @@ def main(argv: list[str] | None = None) -> None:
         out = check(published, table, regions=args.regions)
     for name, df in out.items():
         write_table(df, f"{args.output.rstrip('/')}/{name}")
+    drop_staged(spark)
 
 
 if __name__ == "__main__":

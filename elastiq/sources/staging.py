@@ -25,9 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def staged_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/elastiq/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove the staged tables of this application. A job calls it last, once its results are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(staged_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark).rstrip('/')}/elastiq/{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
