@@ -11,8 +11,8 @@ Only DataFrame functions. Words are runs of digits, letters a-z (A-Z in lower ca
 4. The windows left over are compared word by word: ``exact`` are phrase matches; ``near`` are windows of which at least
    ``near_words`` words stand where they should, the proximity matches.
 
-Nothing is broadcast unless Spark finds its written size small. A frequent term's postings are spread over the partitions
-of their documents and grouped by document, item and start, so no term is gathered in one task.
+Texts are dealt out by document once; their postings, starts and comparisons stay in that partitioning, so no posting is
+shuffled and a frequent term is never gathered in one task. Nothing is broadcast unless Spark finds its written size small.
 
 Defined results: null and empty texts have no words; items without words match nothing; an item_id that is null is
 matched but has no id to list; repeated item rows count once; equal documents have equal results; other columns are
@@ -46,14 +46,21 @@ def words_of(text: Column) -> Column:
     return F.transform(raw_words(text), ascii_lower)
 
 
+# Stands for a null doc_id in keys. Rows are told apart by this and their text, on which alone the result rests.
+_NO_ID = -(2**63)
+_KEY = ["doc_key", "text_hash"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_key"), F.xxhash64("text").alias("text_hash"), "text"
+    )
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, position, term of every word of the corpus."""
-    each = _keyed(docs).select("doc_id", "text_hash", F.posexplode(_pieces(F.col("text"))).alias("position", "raw"))
-    return each.filter("raw != ''").select("doc_id", "text_hash", "position", ascii_lower(F.col("raw")).alias("term"))
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """The key, position and term of every word of the texts."""
+    each = texts.select(*_KEY, F.posexplode(_pieces(F.col("text"))).alias("position", "raw"))
+    return each.filter("raw != ''").select(*_KEY, "position", ascii_lower(F.col("raw")).alias("term"))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -88,20 +95,23 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, near_wo
     """
     items = stage(benchmark_items(benchmark), "items")
     terms = stage(items.select(F.explode("words").alias("term")).distinct(), "item-terms")
-    frequency = tokens_of(docs).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_corpus"))
+    frequency = tokens_of(_keyed(docs)).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_corpus"))
     plans = stage(search_plans(items, stage(frequency, "term-counts"), width), "search-plans")
     picked = plans.select("item", "words", F.explode(F.array_distinct(F.flatten("windows.need"))).alias("offset"))
     picked = stage(picked.select("item", "offset", F.element_at("words", F.col("offset") + 1).alias("term")), "picked-terms")
 
-    postings = tokens_of(docs).join(picked, "term")
-    starts = postings.groupBy("doc_id", "text_hash", "item", (F.col("position") - F.col("offset")).alias("start")).agg(
+    # Both uses of the dealt-out texts read the same three columns, so Spark shuffles them once.
+    texts = _keyed(docs).repartition(*_KEY)
+    postings = tokens_of(texts).join(picked, "term")
+    starts = postings.groupBy(*_KEY, "item", (F.col("position") - F.col("offset")).alias("start")).agg(
         F.collect_set("offset").alias("spoken")
     )
     both = lambda w: F.size(F.array_except(w["need"], F.col("spoken"))) == 0
-    found = starts.join(plans, "item").select("doc_id", "text_hash", "item_id", "words", "size", "start", F.filter("windows", both).alias("windows"))
-    found = found.filter(F.size("windows") > 0).groupBy(F.col("doc_id").alias("id_f"), F.col("text_hash").alias("hash_f"))
+    found = starts.join(plans, "item").select(*_KEY, "item_id", "words", "size", "start", F.filter("windows", both).alias("windows"))
     places = F.transform("windows", lambda w: w["at"]).alias("places")
-    found = stage(found.agg(F.collect_list(F.struct("item_id", "words", "size", "start", places)).alias("found")), "found-starts")
+    found = found.filter(F.size("windows") > 0).groupBy(*_KEY).agg(
+        F.collect_list(F.struct("item_id", "words", "size", "start", places)).alias("found")
+    )
 
     def compared(words: Column) -> Column:
         def match(x: Column) -> Column:
@@ -122,8 +132,6 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, near_wo
 
         return F.transform("found", match)
 
-    texts = _keyed(docs)
-    same = texts["doc_id"].eqNullSafe(found["id_f"]) & (texts["text_hash"] == found["hash_f"])
     read = let(
         raw_words(F.col("text")),
         lambda raw: F.struct(
@@ -131,7 +139,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, near_wo
             F.when(F.col("found").isNotNull(), let(F.transform(raw, ascii_lower), compared)).alias("matches"),
         ),
     )
-    return texts.join(found, same, "left").select("doc_id", "text_hash", read.alias("read")).select("doc_id", "text_hash", "read.*")
+    doc_id = F.when(F.col("doc_key") != _NO_ID, F.col("doc_key")).alias("doc_id")
+    return texts.join(found, _KEY, "left").select(doc_id, "text_hash", read.alias("read")).select("doc_id", "text_hash", "read.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
