@@ -5,11 +5,12 @@
 2. Inverted lists of retained values generate candidates. Two sets that are similar enough share most retained values, so each
    node need only be listed under its rarest few (prefix filter): as many that a similar node can't miss all of them.
    Rare values come first, so common shingles hardly make a list.
-3. A list is not paired off. Its members are held against the list's hub (the one with the least hash), at most ``hubs`` per
-   node, best overlap first. Pairs pass if the sketch of their union estimates enough similarity, and are then decided by exact
-   Jaccard of the full sets. Links make components.
-4. Only pairs of one list whose ends are still in different components can matter now. They are generated and decided likewise.
-   In a large group of near copies that is next to none, and no link between components is lost.
+3. A list is not paired off. Its members are held against a few hubs of the list (of those with most values in common with others,
+   the one with the least hash, for each of several seeds), at most ``hubs`` per node, best overlap first. Pairs pass if the sketch of their union estimates enough similarity, and are then
+   decided by exact Jaccard of the full sets. Links make components. A second round with other hubs does the same for
+   members that are not in the component of their hub yet.
+4. Only pairs of one list whose ends are still in different components can matter now. All of them are generated and decided
+   likewise, so no link between components is lost; in a large group of near copies few are left.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 
 The allowance in 2 and 3 is ``slack`` standard deviations of a bottom-k estimate: with 4.5, about 3 in a million pairs exactly at
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from elastiq.llm.common import fresh
+from elastiq.llm.common import fresh, let
 from elastiq.sources.staging import stage
 
 _PIECE = 1 << 20
@@ -43,12 +44,13 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Limits:
-    """Words per shingle, similarity in percent, values per sketch, hubs per node, allowance in standard deviations."""
+    """Words per shingle, similarity in percent, values per sketch, hubs per node and round, allowance in standard deviations."""
 
     width: int = 5
     percent: int = 80
     k: int = 64
-    hubs: int = 2
+    hubs: int = 6
+    rounds: int = 2
     slack: float = 4.5
 
     def least_shared(self, values: int) -> int:
@@ -121,16 +123,20 @@ def sketch_texts(docs: DataFrame, limits: Limits) -> DataFrame:
 
 
 def retained_lists(nodes: DataFrame, limits: Limits) -> DataFrame:
-    """v, node, n: the nodes under the rarest of their retained values, without values that only one node retains."""
+    """v, node, n, common: the nodes under the rarest of their retained values, without values that only one node retains.
+
+    ``common`` says in eighths of a sketch how many of a node's values others retain too.
+    """
     values = nodes.select("node", "n", F.size("sketch").alias("values"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     values = values.join(shared, "v")
     table = F.array(*[F.lit(limits.prefix(k) if k else 0) for k in range(limits.k + 1)])
     own = Window.partitionBy("node", "n")
     # Values of one node alone are the rarest of all, so they use up the first places.
-    alone = F.col("values") - F.count(F.lit(1)).over(own)
-    values = values.withColumn("place", F.row_number().over(own.orderBy("df", "v")) + alone)
-    return values.filter(F.col("place") <= F.get(table, F.col("values"))).select("v", "node", "n")
+    values = values.withColumn("alone", F.col("values") - F.count(F.lit(1)).over(own))
+    values = values.withColumn("place", F.row_number().over(own.orderBy("df", "v")) + F.col("alone"))
+    common = F.floor((F.col("values") - F.col("alone")) * 8 / limits.k).alias("common")
+    return values.filter(F.col("place") <= F.get(table, F.col("values"))).select("v", "node", "n", common)
 
 
 def _similar_sizes(a: Column, b: Column, limits: Limits) -> Column:
@@ -141,27 +147,39 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def hub_pairs(lists: DataFrame, limits: Limits) -> DataFrame:
-    """Each node with the hubs of its lists that it shares most lists with."""
-    by_hash = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("n_hub"))
-    hubs = lists.groupBy("v").agg(F.min(by_hash).alias("x"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    pairs = lists.join(hubs.select("v", "x.*"), "v").filter("node != hub").filter(_similar_sizes(F.col("n"), F.col("n_hub"), limits))
-    pairs = pairs.groupBy("node", "hub", "h").agg(F.count(F.lit(1)).alias("shared"))
-    best = Window.partitionBy("node").orderBy(F.desc("shared"), "h", "hub")
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists with each node's component, without lists that lie in one component."""
+    if labels is None:
+        at = lists.withColumn("component", F.col("node"))
+    else:
+        at = lists.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
+        at = at.select("v", "node", "n", "common", F.coalesce("component", "node").alias("component"))
+    mixed = at.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return at.join(mixed.select("v"), "v", "left_semi")
+
+
+def hub_pairs(lists: DataFrame, limits: Limits, seed: int = 0) -> DataFrame:
+    """Each node with the hubs of its lists that it shares most lists with, if in another component."""
+
+    def least(k: int) -> Column:
+        hash_of = F.xxhash64("node", F.lit(seed * limits.hubs + k)).alias("h")
+        rank = (-F.col("common")).alias("rank")
+        return F.min(F.struct(rank, hash_of, F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("component").alias("at")))
+
+    hubs = lists.groupBy("v").agg(F.array_distinct(F.array(*map(least, range(limits.hubs)))).alias("hubs"))
+    pairs = lists.join(hubs, "v").select("v", "node", "n", "component", F.explode("hubs").alias("x")).select("*", "x.*")
+    pairs = pairs.filter("component != at").filter(_similar_sizes(F.col("n"), F.col("n_hub"), limits))
+    pairs = pairs.groupBy("node", "hub").agg(F.countDistinct("v").alias("shared"))
+    best = Window.partitionBy("node").orderBy(F.desc("shared"), F.xxhash64("hub"), "hub")
     pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limits.hubs)
     return _in_order(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct()
 
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame, limits: Limits) -> DataFrame:
-    """Pairs of a list that lie in different components and were not tested before."""
-    at = lists.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
-    at = at.select("v", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = at.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    at = stage(at.join(mixed.select("v"), "v", "left_semi"), "near-mixed-lists")
-    other = at.select(F.col("v").alias("v_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
+def crossing_pairs(lists: DataFrame, limits: Limits) -> DataFrame:
+    """All pairs of a list that lie in different components."""
+    other = lists.select(F.col("v").alias("v_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
     test = (F.col("v") == F.col("v_b")) & (F.col("component") < F.col("other")) & _similar_sizes(F.col("n"), F.col("n_b"), limits)
-    pairs = _in_order(at.join(other, test).select(F.col("node").alias("a"), "b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return _in_order(lists.join(other, test).select(F.col("node").alias("a"), "b")).distinct()
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
@@ -169,17 +187,24 @@ def estimated(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
     one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     both = pairs.join(one, "a").join(two, "b")
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, limits.k)
-    both = both.withColumn("bound", F.array_max(union)).withColumn("size", F.least(F.lit(limits.k), F.size(F.array_union("sketch_a", "sketch_b"))))
-    shared = F.size(F.filter(F.array_intersect("sketch_a", "sketch_b"), lambda v: v <= F.col("bound")))
-    return both.filter(shared >= limits.least_estimate * F.col("size")).select("a", "b").distinct()
+    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, limits.k)
+    size = F.least(F.lit(limits.k), F.greatest(F.size("sketch_a"), F.size("sketch_b")))
+    common = both.withColumn("common", F.array_intersect("sketch_a", "sketch_b"))
+    common = common.filter(F.size("common") >= limits.least_estimate * size)  # the estimate can't be higher
+    inside = let(union, lambda u: F.size(F.array_intersect(u, F.col("common"))) >= limits.least_estimate * F.size(u))
+    return common.filter(inside).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
-    """The pairs whose full sets are similar enough. Sets are made anew from the texts of the pairs' nodes."""
-    pairs = stage(pairs, "near-pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the given nodes."""
+    used = nodes.select(F.col("node").alias("used")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
+    return texts.join(used, F.col("node") == F.col("used"), "left_semi")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
+    """The pairs whose full sets are similar enough. Sets are made anew from the texts (node, text) of the pairs' nodes."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
     texts = texts.join(used, F.col("node") == F.col("used"), "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +234,17 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "m").cast("decimal(38,0)"))).first())
 
     edges = stage(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m")).distinct(), "near-edges")
+    of_node = Window.partitionBy("u")
     before, now = None, state(edges)
     while now != before:
+        # Large star: all larger neighbours of a node point to the least of the node and its neighbours.
         both = edges.select("u", F.col("m").alias("v")).unionByName(edges.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("at")).agg(F.least(F.min("v"), F.col("at")).alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), "m").distinct()
-        small = large.groupBy(F.col("u").alias("at")).agg(F.min("m").alias("least"))
-        to_least = large.join(small, F.col("u") == F.col("at")).filter("m != least").select(F.col("m").alias("u"), F.col("least").alias("m"))
-        edges = stage(to_least.unionByName(small.select(F.col("at").alias("u"), F.col("least").alias("m"))).distinct(), "near-edges")
+        large = both.withColumn("m", F.least(F.min("v").over(of_node), "u")).filter("v > u").select(F.col("v").alias("u"), "m")
+        # Small star: a node and all its smaller neighbours point to the least of them.
+        small = large.withColumn("least", F.min("m").over(of_node))
+        ends = F.when(F.col("m") == F.col("least"), F.col("u")).otherwise(F.col("m"))
+        moved = small.select(F.explode(F.array_distinct(F.array("u", ends))).alias("u"), F.col("least").alias("m"))
+        edges = stage(moved.distinct(), "near-edges")
         before, now = now, state(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("m").alias("component"))
     return stars.unionByName(edges.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
@@ -232,12 +260,22 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     nodes = classes.filter("node is not null").select("node", "n", "sketch")
     lists = stage(retained_lists(nodes, limits), "near-lists")
 
-    first = stage(hub_pairs(lists, limits), "near-hubs")
-    links = stage(confirmed(estimated(first, nodes, limits), docs, limits), "near-links")
-    labels = stage(components(links), "near-labels")
-    second = crossing_pairs(lists, labels, first, limits)
-    links = links.unionByName(confirmed(estimated(second, nodes, limits), docs, limits))
-    labels = stage(components(links), "near-labels")
+    # Few texts are in a list with others; only theirs are needed from here on, so the corpus is shuffled once.
+    listed = stage(_labelled(lists, None).select(F.col("node").alias("used")).distinct(), "near-listed")
+    texts = stage(texts_of(listed.withColumnRenamed("used", "node"), docs), "near-texts")
+    nodes = stage(nodes.join(listed, F.col("node") == F.col("used"), "left_semi"), "near-listed-nodes")
+    labels = tested = None
+    for seed in range(limits.rounds + 1):
+        at = stage(_labelled(lists, labels), "near-open-lists")
+        pairs = hub_pairs(at, limits, seed) if seed < limits.rounds else crossing_pairs(at, limits)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "near-pairs")
+        found = stage(confirmed(stage(estimated(pairs, nodes, limits), "near-likely"), texts, limits), "near-links")
+        # Components found so far go on as stars.
+        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = stage(components(links), "near-labels")
 
     ids = classes.select(F.col("digest").alias("own"), "node").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
     ids = ids.select("own", F.coalesce("component", "node").alias("component"))
