@@ -4,8 +4,8 @@
    toxic ones (by rate and by likelihood ratio) become terms. About ``toxic_sample`` toxic and ``other_sample`` other labelled rows are used, chosen by a hash of the id: the
    documented bound of the classifier's sample.
 2. *Misspellings.* A word is run as a Levenshtein automaton (bit-parallel, up to one edit from five letters on, two from nine)
-   down the trie of terms; branches where no state survives are left out. A term must share one of its
-   edits + 1 parts with the word, which spares most words the walk. Exact and misspelled hits of a term have weights of their own,
+   down the trie of terms; branches where no state survives are left out. Word and term must have a string in common after as
+   many deletions as there may be edits; that is looked up first and spares nearly all words the walk. Exact and misspelled hits of a term have weights of their own,
    learned from how often each occurs in toxic and other texts; hits that do not tell count nothing.
 3. *Context.* A hit inside quotation marks, or with a word of reporting near, within ``WINDOW`` words, is taken as quotation,
    unless the reader is addressed between them; all others as abuse. The two sums of weights are the features of a
@@ -49,46 +49,53 @@ def forms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
 
 
+def shortened(word: str, deletions: int) -> set[str]:
+    """The word and what is left of it after up to that many deletions."""
+    out = last = {word}
+    for _ in range(deletions):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        out = out | last
+    return out
+
+
 def most_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
-    """A trie of terms, and which parts of them a word must share to be worth a walk."""
+    """A trie of terms, and what a word must share with them to be worth a walk."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], searched: set[int] | None = None):
+        """``searched``: the terms whose misspellings count; all if not given."""
         self.terms, self.trie = terms, {}
         self.exact = {t: k for k, t in enumerate(terms)}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.inner: set[str] = set()
+        # By number of edits: the shortened terms, and the lengths a word may have to be near one.
+        self.shortened: dict[int, set[str]] = {}
+        self.lengths: dict[int, set[int]] = {}
         for k, term in enumerate(terms):
             edits = most_edits(term)
-            if not edits or term.endswith("*"):
+            if not edits or term.endswith("*") or not (searched is None or k in searched):
                 continue
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (k, edits)
-            cuts = [len(term) * x // (edits + 1) for x in range(edits + 2)]
-            parts = [term[a:b] for a, b in zip(cuts, cuts[1:])]
-            self.heads.setdefault(len(parts[0]), set()).add(parts[0])
-            self.tails.setdefault(len(parts[-1]), set()).add(parts[-1])
-            self.inner.update(parts[1:-1])
-
-    def _worth(self, word: str) -> bool:
-        return (
-            any(word[:n] in heads for n, heads in self.heads.items())
-            or any(word[-n:] in tails for n, tails in self.tails.items())
-            or any(part in word for part in self.inner)
-        )
+            self.shortened.setdefault(edits, set()).update(shortened(term, edits))
+            self.lengths.setdefault(edits, set()).update(range(len(term) - edits, len(term) + edits + 1))
+
+    def _worth(self, word: str) -> int:
+        """The edits within which a term may be near; 0 if none is."""
+        for edits in sorted(self.shortened, reverse=True):
+            if len(word) in self.lengths[edits] and not self.shortened[edits].isdisjoint(shortened(word, edits)):
+                return edits
+        return 0
 
     def near(self, word: str) -> tuple[tuple[int, bool], ...]:
         """(term, misspelled): the terms that list the word, or else the nearest within its allowance (ties: the first)."""
         listed = tuple((self.exact[f], False) for f in forms(word) if f in self.exact)
-        if listed or len(word) < 4 or not self._worth(word):
+        if listed or len(word) < 4 or not (edits := self._worth(word)):
             return listed
-        best = min(self.walk(word), key=lambda x: (x[1], x[0]), default=None)
+        best = min(self.walk(word, edits), key=lambda x: (x[1], x[0]), default=None)
         return ((best[0], True),) if best else ()
 
     def walk(self, word: str, edits: int = 2) -> Iterator[tuple[int, int]]:
@@ -103,7 +110,7 @@ class Lexicon:
             for c, child in node.items():
                 if c == "":
                     k, allowed = child
-                    hit = next((e for e in range(allowed + 1) if state[e] & accept), None)
+                    hit = next((e for e in range(min(allowed, edits) + 1) if state[e] & accept), None)
                     if hit:
                         yield k, hit
                     continue
@@ -118,18 +125,19 @@ class Lexicon:
 
 @dataclass
 class Model:
-    """Terms, a weight per (term, misspelled or not), and the regression's coefficients."""
+    """Terms, a weight per (term, misspelled or not), the regression's coefficients, and the terms whose misspellings tell."""
 
     terms: list[str]
     weights: dict[tuple[int, bool], float] = field(default_factory=dict)
     fit: np.ndarray = field(default_factory=lambda: _PRIOR.copy())
+    searched: set[int] | None = None
 
 
 class Scanner:
     """Hits and features of texts, with remembered words."""
 
     def __init__(self, model: Model):
-        self.model, self.lexicon, self.known = model, Lexicon(model.terms), {}
+        self.model, self.lexicon, self.known = model, Lexicon(model.terms, model.searched), {}
 
     def hits(self, text: str) -> dict[str, tuple[tuple[int, bool], ...]]:
         """The words of a text that are listed or near a term, with (term, misspelled)."""
@@ -214,8 +222,12 @@ def _document_counts(texts: DataFrame, things: callable, kind: str) -> DataFrame
     return out.groupBy("thing").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
 
 
-def learn_terms(texts: DataFrame, n: dict[int, int], terms: int, least_ratio: float = 20.0, least_evidence: float = 12.0) -> list[str]:
-    """The words with the strongest evidence (likelihood ratio statistic) for the toxic class."""
+def learn_terms(texts: DataFrame, n: dict[int, int], terms: int, least_ratio: float = 20.0) -> list[str]:
+    """The words with the strongest evidence (likelihood ratio statistic) for the toxic class.
+
+    The more texts, the more words there are to be found by chance; the least evidence rises with their logarithm.
+    """
+    least_evidence = max(12.0, 3 * math.log(n[1]))
     words = lambda: lambda text: {f for w in set(_WORD.findall(text.lower())) if 3 <= len(w) <= 40 for f in forms(w)}
     counts = _document_counts(texts, words, "string").filter("n_toxic > 1")
     a, b = F.col("n_toxic").cast("double"), F.col("n_other").cast("double")
@@ -272,6 +284,8 @@ def learn(docs: DataFrame, labels: DataFrame, terms: int = 1000, toxic_sample: i
         tells = math.log((row["n_toxic"] + 0.5) / (n[1] + 1)) - math.log((row["n_other"] + 0.5) / (n[0] + 1))
         if row["n_toxic"] > 1 and tells >= 3:
             model.weights[row["thing"] // 2, bool(row["thing"] % 2)] = min(6.0, tells)
+    # Misspellings that do not tell are not searched for any more.
+    model.searched = {k for k, misspelled in model.weights if misspelled}
     weighed = spark.sparkContext.broadcast(model)
 
     def cell():
