@@ -6,7 +6,8 @@
 2. *Misspellings.* A word is run as a Levenshtein automaton (bit-parallel, up to one edit from five letters on, two from nine)
    down the trie of terms; branches where no state survives are left out. Word and term must have a string in common after as
    many deletions as there may be edits; that is looked up first and spares nearly all words the walk. Exact and misspelled hits of a term have weights of their own,
-   learned from how often each occurs in toxic and other texts; hits that do not tell count nothing.
+   learned from how often each occurs in toxic and other texts; exact hits that do not tell count nothing. A misspelling starts from
+   the shrunk weight of its term, so one that training never saw counts too; occurrences in other texts lower it.
 3. *Context.* A hit inside quotation marks, or with a word of reporting near, within ``WINDOW`` words, is taken as quotation,
    unless the reader is addressed between them; all others as abuse. The two sums of weights are the features of a
    logistic regression, fitted on counts per cell of the two features.
@@ -42,6 +43,9 @@ _ADDRESS = frozenset("you your youre du dich dein ihr tu toi te vous votre tu ti
 _REMEMBERED = 200_000
 _PRIOR = np.array([-4.0, 1.0, 0.25])
 _STEP, _MOST = 0.5, 24.0
+# What a misspelling keeps of its term's weight, and for how many seen texts that stands.
+_BACKED_OFF, _AS_SEEN = 0.8, 2.0
+_HEAD = 7
 
 
 def forms(word: str) -> list[str]:
@@ -65,27 +69,37 @@ def most_edits(term: str) -> int:
 class Lexicon:
     """A trie of terms, and what a word must share with them to be worth a walk."""
 
-    def __init__(self, terms: list[str], searched: set[int] | None = None):
-        """``searched``: the terms whose misspellings count; all if not given."""
+    def __init__(self, terms: list[str]):
         self.terms, self.trie = terms, {}
         self.exact = {t: k for k, t in enumerate(terms)}
         # By number of edits: the shortened terms, and the lengths a word may have to be near one.
         self.shortened: dict[int, set[str]] = {}
         self.lengths: dict[int, set[int]] = {}
+        # The same of their first characters only, which near words must share too and which are fewer to look up.
+        self.heads: dict[int, set[str]] = {}
+        self.known_heads: dict[str, tuple[int, ...]] = {}
         for k, term in enumerate(terms):
             edits = most_edits(term)
-            if not edits or term.endswith("*") or not (searched is None or k in searched):
+            if not edits or term.endswith("*"):
                 continue
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (k, edits)
             self.shortened.setdefault(edits, set()).update(shortened(term, edits))
+            self.heads.setdefault(edits, set()).update(shortened(term[:_HEAD], edits))
             self.lengths.setdefault(edits, set()).update(range(len(term) - edits, len(term) + edits + 1))
 
     def _worth(self, word: str) -> int:
         """The edits within which a term may be near; 0 if none is."""
-        for edits in sorted(self.shortened, reverse=True):
+        head = word[:_HEAD]
+        if (allowed := self.known_heads.get(head)) is None:
+            if len(self.known_heads) >= _REMEMBERED:
+                self.known_heads.clear()
+            by_most = sorted(self.heads, reverse=True)
+            allowed = tuple(e for e in by_most if not self.heads[e].isdisjoint(shortened(head, e)))
+            self.known_heads[head] = allowed
+        for edits in allowed:
             if len(word) in self.lengths[edits] and not self.shortened[edits].isdisjoint(shortened(word, edits)):
                 return edits
         return 0
@@ -125,19 +139,18 @@ class Lexicon:
 
 @dataclass
 class Model:
-    """Terms, a weight per (term, misspelled or not), the regression's coefficients, and the terms whose misspellings tell."""
+    """Terms, a weight per (term, misspelled or not), and the regression's coefficients."""
 
     terms: list[str]
     weights: dict[tuple[int, bool], float] = field(default_factory=dict)
     fit: np.ndarray = field(default_factory=lambda: _PRIOR.copy())
-    searched: set[int] | None = None
 
 
 class Scanner:
     """Hits and features of texts, with remembered words."""
 
     def __init__(self, model: Model):
-        self.model, self.lexicon, self.known = model, Lexicon(model.terms, model.searched), {}
+        self.model, self.lexicon, self.known = model, Lexicon(model.terms), {}
 
     def hits(self, text: str) -> dict[str, tuple[tuple[int, bool], ...]]:
         """The words of a text that are listed or near a term, with (term, misspelled)."""
@@ -267,6 +280,13 @@ def fit_cells(cells: list[tuple[float, float, float, float]], rounds: int = 30)
     return fit
 
 
+def misspelled_weight(exact: float, n_toxic: int, n_other: int, n: dict[int, int]) -> float:
+    """The log ratio of a term's misspellings, counted on top of ``_AS_SEEN`` texts that speak for its shrunk exact weight."""
+    share, half = 1 / (1 + math.exp(-_BACKED_OFF * exact)), (n[0] + n[1]) / 2
+    toxic, other = half * n_toxic / n[1] + _AS_SEEN * share, half * n_other / n[0] + _AS_SEEN * (1 - share)
+    return min(6.0, math.log(toxic / other))
+
+
 def learn(docs: DataFrame, labels: DataFrame, terms: int = 1000, toxic_sample: int = 4000, other_sample: int = 8000) -> Model:
     texts, stands = _sampled(docs, labels, toxic_sample, other_sample)
     n = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -280,12 +300,15 @@ def learn(docs: DataFrame, labels: DataFrame, terms: int = 1000, toxic_sample: i
         scanner = Scanner(shared.value)
         return lambda text: {2 * term + misspelled for hits in scanner.hits(text).values() for term, misspelled in hits}
 
-    for row in _document_counts(texts, found, "bigint").collect():
-        tells = math.log((row["n_toxic"] + 0.5) / (n[1] + 1)) - math.log((row["n_other"] + 0.5) / (n[0] + 1))
-        if row["n_toxic"] > 1 and tells >= 3:
-            model.weights[row["thing"] // 2, bool(row["thing"] % 2)] = min(6.0, tells)
-    # Misspellings that do not tell are not searched for any more.
-    model.searched = {k for k, misspelled in model.weights if misspelled}
+    counts = {r["thing"]: (r["n_toxic"], r["n_other"]) for r in _document_counts(texts, found, "bigint").collect()}
+    for k, term in enumerate(model.terms):
+        n_toxic, n_other = counts.get(2 * k, (0, 0))
+        tells = math.log((n_toxic + 0.5) / (n[1] + 1)) - math.log((n_other + 0.5) / (n[0] + 1))
+        if n_toxic > 1 and tells >= 3:
+            model.weights[k, False] = min(6.0, tells)
+            weight = misspelled_weight(model.weights[k, False], *counts.get(2 * k + 1, (0, 0)), n)
+            if most_edits(term) and not term.endswith("*") and weight > 0:
+                model.weights[k, True] = weight
     weighed = spark.sparkContext.broadcast(model)
 
     def cell():

@@ -83,3 +83,26 @@ def test_without_labels_or_rows(spark, labelled):
     assert all(0 <= r.score < 0.7 for r in toxicity.score_texts(docs, toxicity.learn(docs, none)).collect())
     empty = documents(spark, [])
     assert toxicity.score_texts(empty, toxicity.learn(empty, labelled[1])).collect() == []
+
+
+def test_misspellings_that_training_never_saw(spark, labelled):
+    rows, labels = labelled
+    planted = {2000: "xtupidhead xoronic wxrthless", 2001: "sttupidhead mmoronic scmbag", 2002: "scumbaq wrothless stupidhhead", 2003: "wprthles sxumbag mronic"}
+    seen = {w for _, text in rows for w in text.split()}
+    assert not seen & {w for text in planted.values() for w in text.split()}
+    clean = [(2100 + k, prose(500 + k, 40)) for k in range(20)]
+    extra = [(k, f"{prose(k, 20)} {text} {prose(k + 50, 20)}") for k, text in planted.items()]
+    docs = documents(spark, [*rows, *extra, *clean])
+    model = toxicity.learn(docs, labels)
+    open_to_edits = {k for k, t in enumerate(model.terms) if toxicity.most_edits(t) and not t.endswith("*")}
+    assert {k for k, misspelled in model.weights if misspelled} == open_to_edits != set()
+    got = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    nothing = max(got[k] for k, _ in clean)
+    assert all(got[k] >= 0.7 > nothing for k in planted)
+
+
+def test_counts_lower_the_weight_of_a_misspelling():
+    n = {0: 800, 1: 400}
+    weight = lambda toxic, other: toxicity.misspelled_weight(5.0, toxic, other, n)
+    assert 5.0 > weight(0, 0) > weight(0, 1) > weight(0, 5) and weight(0, 5) < 0 < weight(4, 0)
+    assert weight(40, 80) == pytest.approx(0, abs=0.2)
