@@ -58,6 +58,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.concat_ws(",", "near_ids"), 256).alias("near_ids_sha256")
+    return found.select("doc_id", "n_words", "n_exact", "n_near", ids)
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op5_near_windows": op5_near_windows,
     "op6_line_quality": op6_line_quality,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language": op8_language,
