@@ -1,9 +1,10 @@
 import re
 from collections import Counter
 
+import pytest
 from helpers import documents, prose, words_of
 
-from elastiq.llm import quality
+from elastiq.llm import quality, queries, sql
 
 
 def counts(text):
@@ -50,3 +51,21 @@ def test_frequent_lines_are_counted_per_host_over_distinct_texts(spark):
 
 def test_empty_table(spark):
     assert quality.judge(documents(spark, [])).collect() == []
+
+
+def test_query_equals_sql_where_lines_go_and_documents_are_depleted(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    line = "All rights reserved and so on 2023"
+    rows = [(k, f"{prose(k, 30)}\n{line}", "hot") for k in range(101)]
+    rows += [(200 + k, f"{prose(200 + k, 17)}\n{line}", "hot") for k in range(3)]  # too few words stay
+    rows += [(300 + k, f"{prose(300 + k, 25)}\n" + f"{line}\n" * 5, "hot") for k in range(3)]
+    rows += [(400 + k, f"{prose(400 + k, 17)}\n{line}", "cold") for k in range(100)]  # at the limit, not above
+    path = str(tmp_path / "documents.parquet")
+    documents(spark, rows, extra=False).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.sql(sql.SQL["op6_line_quality"]).fetchall()
+    got = queries.op6_line_quality(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r.doc_id for r in got if not r.base_failed and not r.kept} >= {200, 201, 202}
+    assert all(r.kept for r in got if r.doc_id < 101 or r.doc_id >= 400)
