@@ -235,12 +235,8 @@ def _document_counts(texts: DataFrame, things: callable, kind: str) -> DataFrame
     return out.groupBy("thing").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
 
 
-def learn_terms(texts: DataFrame, n: dict[int, int], terms: int, least_ratio: float = 20.0) -> list[str]:
-    """The words with the strongest evidence (likelihood ratio statistic) for the toxic class.
-
-    The more texts, the more words there are to be found by chance; the least evidence rises with their logarithm.
-    """
-    least_evidence = max(12.0, 3 * math.log(n[1]))
+def learn_terms(texts: DataFrame, n: dict[int, int], terms: int, least_ratio: float = 20.0, least_evidence: float = 12.0) -> list[str]:
+    """The words with the strongest evidence (likelihood ratio statistic) for the toxic class; its limit is the same at every size."""
     words = lambda: lambda text: {f for w in set(_WORD.findall(text.lower())) if 3 <= len(w) <= 40 for f in forms(w)}
     counts = _document_counts(texts, words, "string").filter("n_toxic > 1")
     a, b = F.col("n_toxic").cast("double"), F.col("n_other").cast("double")

@@ -106,3 +106,9 @@ def test_counts_lower_the_weight_of_a_misspelling():
     weight = lambda toxic, other: toxicity.misspelled_weight(5.0, toxic, other, n)
     assert 5.0 > weight(0, 0) > weight(0, 1) > weight(0, 5) and weight(0, 5) < 0 < weight(4, 0)
     assert weight(40, 80) == pytest.approx(0, abs=0.2)
+
+
+def test_the_least_evidence_is_the_same_at_every_size(spark):
+    rows = [(k % 2, prose(k, 5) + (" gutterling" if k % 2 and k < 22 else "")) for k in range(800)]
+    texts = spark.createDataFrame(rows, "toxic int, text string")
+    assert "gutterling" in toxicity.learn_terms(texts, {0: 400, 1: 400}, 100)
