@@ -7,17 +7,21 @@ orders a sample of the suffixes first and induces the order, and the common pref
    position is sampled if the hash of its ``gram`` bytes is the smallest (leftmost on ties) of any window of
    ``length`` bytes. Each window belongs to one sampled position, the same in every copy, and a sampled suffix
    stands for the suffixes that start before it as far as its windows reach (its *context*).
-2. *Names and recursion.* Sampled suffixes are named by the hash of their gram; those whose name is unique have no
+2. *Names.* There is one level of naming and no recursion. Sampled suffixes are named by the hash of their gram; those whose name is unique have no
    equal and drop out of the sort. The rest are named again by their whole context; where all copies of a context
    agree they repeat from end to end, and one of them is enough from here on. What stays are distinct contexts
    that share a gram: edges of copied passages and near copies.
+   Classic induced sorting recurses to order suffixes of any length. Here no prefix beyond ``length`` bytes matters: equal windows
+   share their sampled gram, and step 3 compares up to ``length`` bytes themselves, so names need not decide an order.
 3. *Sorting.* Those are dealt out by gram. Spark's external sort puts the suffixes of a partition in order, and
    neighbours are compared once to get their common prefix.
 4. *Induction.* The suffixes one byte further left are sorted by that byte, stably, and the common prefix
    of two neighbours is one more than the least between them before. Level by level this gives every
    window's longest match. A bucket of up to ``in_memory`` suffixes does so in arrays. A larger one streams through queues, one
    per byte, which keep blocks of (suffix, common prefix) and move to disk when they grow; memory then depends on
-   the block size alone. Queue files are unnamed scratch of one task, gone when it ends.
+   the block size alone. These are first-in first-out queues, not priority queues: each level is read in the order of the bytes and
+   adds to a queue in that order already. They run only for a gram (or the core of a lane) with more than ``in_memory`` suffixes to
+   sort, that is a passage in tens of thousands of different contexts; all other inputs stay in arrays. Queue files are unnamed scratch of one task, gone when it ends.
 5. A gram with very many contexts is cut into lanes of levels first. All windows of a lane share a longer
    core than the gram, and the core's hash deals them out again, so a hot passage is not one task's work.
 
