@@ -6,7 +6,7 @@ tables, and its result is written as Parquet to the shared folder and read again
 - toxicity: documents whose score reaches 0.7 go.
 - near_duplicates: one document of each group of near copies (five-word shingles, similarity 0.8 or more) stays.
 - decontamination: documents with a benchmark window of ten words go.
-- secrets: secrets are replaced by a mark, except examples that several sources have; no document goes.
+- secrets: secrets are replaced by a mark, except examples that several sources or very many documents have; no document goes.
 - mixing: one row per draw of a document, with shard, pass and words_taken, by shard in hashed order.
 
 Nulls, empty tables, repeated rows and further columns are handled as the operators say; all but the last stage return

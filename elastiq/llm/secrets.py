@@ -2,7 +2,8 @@
 
 Only DataFrame functions. Patterns give candidates; what tells an example from a credential is who has it. Every
 candidate's hash is counted over the corpus: in how many documents (repositories) and for how many sources (owners) it
-occurs. One that several owners have is a widely copied example; one that looks random and belongs to one owner is live.
+occurs. One that several owners have, or that stands in very many documents of fewer owners, is a widely copied example; one that
+looks random and belongs to one owner, or to two in few documents, is live.
 
 The patterns of ``BASE`` always count. The wide pattern ``owned`` (long runs that mix digits, small and
 capital letters) would be noise alone: it only counts where ownership says live, and outside base spans.
@@ -72,17 +73,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return own.groupBy("secret_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_documents"))
 
 
-def find_secrets(docs: DataFrame, example_owners: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, example_owners: int = 3, example_documents: int = 1000, few_documents: int = 10) -> DataFrame:
     """doc_id, text_hash and ``spans``: kind, start, stop, verdict, in order; only documents that have some.
 
-    verdict: ``example`` if at least ``example_owners`` sources have the value, ``live`` if one source has it and it
-    looks random, else ``shared``.
+    verdict: ``example`` if at least ``example_owners`` sources or ``example_documents`` documents have the value, ``live`` if it
+    looks random and one source has it, or two have it in at most ``few_documents`` documents, else ``shared``.
     """
     found = stage(candidates(docs).withColumn("secret_hash", F.sha2("secret", 256)), "secret-candidates")
     owned = stage(ownership(found), "secret-owners")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     random = (F.size(F.array_distinct(F.split("secret", ""))) >= 8) & F.col("secret").rlike("[0-9]")
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when((F.col("n_owners") == 1) & random, "live").otherwise("shared")
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_documents") >= example_documents)
+    few = (F.col("n_owners") == 1) | ((F.col("n_owners") == 2) & (F.col("n_documents") <= few_documents))
+    verdict = F.when(example, "example").when(few & random, "live").otherwise("shared")
     span = F.struct("start", order.alias("rank"), "stop", "kind", verdict.alias("verdict"))
     rows = found.join(owned, "secret_hash").select(*_KEY, span.alias("span"))
     rows = rows.filter((F.col("span.kind") != "owned") | (F.col("span.verdict") == "live"))

@@ -57,3 +57,13 @@ def test_redaction_replaces_spans_and_nothing_else(spark):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert secrets.with_spans(docs).collect() == [] and secrets.redact(docs).collect() == []
+
+
+def test_the_verdict_reads_documents_and_owners(spark):
+    rows = [(k, f"key {EXAMPLE} n{k}", "hot") for k in range(1000)]
+    rows += [(2000 + k, f"key {LIVE} n{k}", f"o{k % 2}") for k in range(10)]
+    rows += [(3000 + k, f"password=q8w7e6r5t4y3u2i1 n{k}", f"o{k % 2}") for k in range(11)]
+    got = {r.doc_id: [(s.kind, s.verdict) for s in r.spans] for r in secrets.with_spans(documents(spark, rows)).collect()}
+    assert all(got[k] == [] for k in range(1000))
+    assert all(got[2000 + k] == [("owned", "live")] for k in range(10))
+    assert all(got[3000 + k] == [("assign", "shared")] for k in range(11))
