@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastiq.llm import chat, decontaminate, language, mixing, neardup, quality, secrets, suffixes, tokens, toxicity
+from elastiq.llm import chat, decontaminate, language, mixing, neardup, quality, repair, secrets, suffixes, tokens, toxicity
 from elastiq.llm.common import table
 
 
@@ -97,6 +97,10 @@ def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_mix_sources": op2_mix_sources,
@@ -109,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_secret_owners": op10_secret_owners,
+    "op11_repair_turns": op11_repair_turns,
 }
