@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastiq.llm import chat, decontaminate, language, mixing, neardup, quality, repair, secrets, suffixes, tokens, toxicity
+from elastiq.llm import chat, decontaminate, language, mixing, neardup, quality, repair, secrets, simhash, suffixes, tokens, toxicity
 from elastiq.llm.common import table
 
 
@@ -101,6 +101,10 @@ def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_mix_sources": op2_mix_sources,
@@ -114,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_secret_owners": op10_secret_owners,
     "op11_repair_turns": op11_repair_turns,
+    "op12_simhash": op12_simhash,
 }
