@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastiq.llm import chat, decontaminate, language, mixing, neardup, quality, repair, secrets, simhash, suffixes, tokens, toxicity
+from elastiq.llm import chat, decontaminate, language, mixing, neardup, quality, ranking, repair, secrets, simhash, suffixes, tokens, toxicity
 from elastiq.llm.common import table
 
 
@@ -105,6 +105,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_mix_sources": op2_mix_sources,
@@ -119,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_owners": op10_secret_owners,
     "op11_repair_turns": op11_repair_turns,
     "op12_simhash": op12_simhash,
+    "op13_ranked_search": op13_ranked_search,
 }

@@ -189,9 +189,37 @@ LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM solved.conv_id
 LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM solved.conv_id
 """
 
+_RANKED = rf"""
+WITH texts AS (
+    SELECT d, doc_id, terms, len(terms) AS n
+    FROM (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents)
+    WHERE len(terms) > 0
+),
+items AS (
+    SELECT i, item_id, unnest(list_distinct(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+    FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)
+),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM texts),
+postings AS (
+    SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(terms) AS term FROM texts) WHERE term IN (SELECT term FROM items) GROUP BY ALL
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term
+),
+scored AS (
+    SELECT i, item_id, d, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+    FROM items JOIN postings USING (term) JOIN weights USING (term) JOIN texts USING (d), corpus
+    GROUP BY ALL
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN texts USING (d) WHERE score > 0)
+WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op1_chat_format": _CHAT,
     "op5_decontaminate": _LEAKS,
     "op6_line_quality": _LINES,
     "op11_repair_turns": _REPAIR,
+    "op13_ranked_search": _RANKED,
 }
