@@ -1,7 +1,10 @@
 """The monthly run: from the input tables to labels, tier elasticity and the result history.
 
-    spark-submit --conf spark.checkpoint.dir=<shared folder> -m elastiq.plans.job \\
-        --input <folder or catalog:schema> --output <folder> --as-of 2024-02-15
+    spark-submit --conf spark.checkpoint.dir=<shared folder> elastiq/plans/job.py \\
+        --input <folder or catalog:schema> --output <folder or catalog:schema> --as-of 2024-02-15
+
+A run that fails is started again with the same command: stages that were completed are read, the rest is built.
+Results are published together at the end, so until then readers see those of the run before.
 """
 
 from __future__ import annotations
@@ -18,13 +21,21 @@ from elastiq.functions.skew import split_hot_keys
 from elastiq.operators import curves, economics, entities, groups, labels, orders, screening, sessions, tiers
 from elastiq.operators.curves import GROUP_LEVEL, VENDOR_LEVEL
 from elastiq.params import Params
-from elastiq.sources.history import append_history
-from elastiq.sources.staging import drop_staged, stage
-from elastiq.sources.tables import read_input, write_table
+from elastiq.sources.manifest import Manifest, Recorded, run_digest
+from elastiq.sources.sinks import sink
+from elastiq.sources.staging import stage
+from elastiq.sources.tables import read_input
 
 Source = Callable[[str], DataFrame]
 Stage = Callable[[DataFrame, str], DataFrame]
 
+INPUTS = (
+    "entities", "countries", "group_config_versions", "scheme_config_versions", "web_sessions", "pricing_requests", "orders_mapped",
+    "external_fee_orders", "order_values", "vendor_directory",
+)
+# Stages that no one but the run itself reads. All others are results, and staged under the name of the result.
+INTERNAL = ("ordered_entities", "newest_versions", "setups_plain", "vendor_metrics", "curve_marks", "vendor_points", "group_points", "cluster_rollup")
+
 
 def configure(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataFrame]:
     """Entities, zones, vendor groups and fee tiers in force. All of them are read several times."""
@@ -38,10 +49,10 @@ def configure(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataF
     out["active_zones"] = keep(entities.active_zones(source("countries"), active), "active_zones")
     out["zone_cells"] = keep(sessions.zone_index(out["active_zones"], p.cell_size), "zone_cells")
     newest = keep(groups.newest_versions(source("group_config_versions"), active), "newest_versions")
-    setups = keep(groups.current_setups(newest), "setups")
+    setups = keep(groups.current_setups(newest), "setups_plain")
     out["linked_groups"] = groups.linked_groups(setups, suffix=p.link_suffix, suffix_only=p.suffix_only)
     linked = groups.with_master_id(setups, out["linked_groups"], per_pair_ids=p.per_pair_ids)
-    out["setups"] = keep(linked, "setups_linked")
+    out["setups"] = keep(linked, "setups")
     out["vendors"] = keep(groups.vendors_per_group(out["setups"]), "vendors")
     out["schemes"] = keep(groups.schemes_per_group(out["setups"]), "schemes")
     scheme_tiers = tiers.scheme_fee_tiers(source("scheme_config_versions"), out["schemes"])
@@ -58,7 +69,7 @@ def screen(
         screening.vendor_metrics(vendors, events, vendor_orders, tx_unit=p.tx_unit), "vendor_metrics"
     )
     ranked = screening.percentile_screen(metrics, group_key=p.group_key)
-    funnel = keep(screening.screening_funnel(ranked, p), "screening_funnel")
+    funnel = keep(screening.screening_funnel(ranked, p), "all_metrics")
     return {"all_metrics": funnel, "screened_vendors": screening.screened_vendors(funnel, p)}
 
 
@@ -74,7 +85,7 @@ def label(
     out: dict[str, DataFrame] = {}
     sides = {"vendor": (VENDOR_LEVEL, curves.vendor_curve), "group": (GROUP_LEVEL, curves.group_curve)}
     for side, (level, build) in sides.items():
-        curve = keep(build(screened, marks, group_tiers, p), f"{side}_curve")
+        curve = keep(build(screened, marks, group_tiers, p), f"{side}_points")
         base = curves.curve_base(curve, level, p)
         changed = curves.curve_change(curve, base, level, p)
         if p.slope_test:
@@ -100,7 +111,7 @@ def performance(
 ) -> dict[str, DataFrame]:
     """Performance per vendor and fee, and the elasticity between the fee tiers of a group."""
     fees = economics.vendor_fee_performance(group_tiers, vendors, order_rows, final_list)
-    per_vendor = keep(fees, "vendor_performance")
+    per_vendor = keep(fees, "vendor_fee_performance")
     rollup = keep(economics.cluster_fee_rollup(per_vendor), "cluster_rollup")
     ranked = economics.tier_ranks(economics.cluster_totals(rollup))
     return {"vendor_fee_performance": per_vendor, "tier_elasticity": economics.tier_elasticity(ranked)}
@@ -148,6 +159,27 @@ def run(source: Source, p: Params, keep: Stage = stage, run_ts: dt.datetime | No
     return out
 
 
+def run_and_publish(source: Source, p: Params, output: str, stamp: dt.datetime, around: Callable[[Stage], Stage] = lambda keep: keep) -> None:
+    """Build all results, taking up what an earlier attempt completed, then publish them together.
+
+    ``around`` may wrap the function that keeps a stage, to watch a run.
+    """
+    source = Recorded(source)
+    inputs = [(name, source(name)) for name in INPUTS]
+    spark = inputs[0][1].sparkSession
+    target = sink(spark, output)
+    manifest = Manifest(spark, run_digest(inputs, (p, stamp, output)), lambda name: None if name in INTERNAL else target.place(name))
+    keep = around(manifest)
+    results = run(source, p, keep, stamp)
+    for name, df in results.items():
+        if manifest.find(name) is None:
+            keep(df, name)
+    for name in results:
+        target.publish(name, manifest.path(name))
+    target.append_run(target.read("final_list"), "history", stamp)
+    manifest.clear()
+
+
 def arguments() -> argparse.ArgumentParser:
     """One option per parameter."""
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
@@ -173,16 +205,12 @@ def arguments() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = vars(arguments().parse_args(argv))
-    root, output, run_ts = args.pop("input"), args.pop("output").rstrip("/"), args.pop("run_ts")
+    root, output, run_ts = args.pop("input"), args.pop("output"), args.pop("run_ts")
     p = Params(**args | {"endpoints": tuple(args["endpoints"])})
     stamp = run_ts or stamp_of(p)
 
     spark = SparkSession.builder.appName("elastiq").getOrCreate()
-    out = run(lambda name: read_input(spark, root, name), p, run_ts=stamp)
-    for name, df in out.items():
-        write_table(df, f"{output}/{name}")
-    append_history(out["final_list"], f"{output}/history", stamp)
-    drop_staged(spark)
+    run_and_publish(lambda name: read_input(spark, root, name), p, output, stamp)
 
 
 if __name__ == "__main__":

@@ -17,8 +17,9 @@ from elastiq.functions.skew import split_hot_keys
 from elastiq.operators.reconcile import reconcile, reconcile_counts, reconcile_nulls, stored_ids
 from elastiq.sources.history import read_run
 from elastiq.sources.published import published_ids, read_published
+from elastiq.sources.sinks import sink
 from elastiq.sources.staging import drop_staged, stage
-from elastiq.sources.tables import as_declared, write_table
+from elastiq.sources.tables import as_declared
 
 
 def check(
@@ -66,8 +67,9 @@ def main(argv: list[str] | None = None) -> None:
         run = read_run(spark, args.history, args.run_ts)
         table = stored_ids(run, countries=args.countries, label=args.label)
         out = check(published, table, regions=args.regions)
+    target = sink(spark, args.output)
     for name, df in out.items():
-        write_table(df, f"{args.output.rstrip('/')}/{name}")
+        target.replace(df, name)
     drop_staged(spark)
 
 

@@ -28,7 +28,8 @@ from elastiq.params import KEYS, Params
 from elastiq.plans import job
 from elastiq.plans.standins import PARAMS, StandIns, once
 from elastiq.sources.history import append_history, read_run
-from elastiq.sources.published import epoch_text, published_ids, read_written, write_published
+from elastiq.sources.published import epoch_text, published_ids, read_published, write_published
+from elastiq.sources.sinks import CatalogSink, FolderSink
 from elastiq.sources.staging import shared_folder, stage
 from elastiq.sources.tables import read_input
 
@@ -486,6 +487,21 @@ def history(s: StandIns) -> DataFrame:
     )
 
 
+@query
+def replaced_tables(s: StandIns) -> DataFrame:
+    """A table of a catalog and one in a folder, each written twice, the second time with other columns and rows, and read."""
+    rows = stage(_metrics(s).select(*KEYS, "asa_id", "vendor_code", "num_orders", "cvr3"), "replaced_rows")
+    folder, schema = f"{shared_folder(s.spark).rstrip('/')}/elastiq", f"elastiq_{uuid.uuid4().hex}"
+    s.spark.sql(f"CREATE SCHEMA {schema} LOCATION '{folder}/{schema}'")
+    out = []
+    for kind, target in (("catalog", CatalogSink(s.spark, schema)), ("folder", FolderSink(s.spark, f"{folder}/{schema}-folder"))):
+        target.replace(rows.drop("cvr3"), "metrics")
+        target.replace(rows, "metrics")
+        target.replace(rows.filter("num_orders > 0"), "metrics")
+        out.append(target.read("metrics").withColumn("sink", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
 # economics
 
 
@@ -616,10 +632,10 @@ def _stored(s: StandIns) -> DataFrame:
 
 @query
 def published(s: StandIns) -> DataFrame:
-    """Written as gzip JSON files to the shared folder and read from there."""
+    """Written as one gzip JSON document per file to the shared folder and read from there."""
     path = f"{shared_folder(s.spark).rstrip('/')}/elastiq/{s.spark.sparkContext.applicationId}/published-{uuid.uuid4().hex}"
     write_published(_published_files(s), path)
-    return published_ids(read_written(s.spark, path), with_cluster=True)
+    return published_ids(read_published(s.spark, path), with_cluster=True)
 
 
 def _compare(s: StandIns, with_cluster: bool) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from elastiq.sources import files as store
+
 _SCHEMA = "vendor_ids array<string>, update_timestamp string"
 # Fixed value: where the cluster label stands in a file name such as "xx_yy-<cluster>-v1.gzip".
 CLUSTER_IN_NAME = r"(?<=.._..-)(.*)(?=-v1)"
@@ -17,14 +22,19 @@ def epoch_text(seconds: Column) -> Column:
 
 
 def write_published(files: DataFrame, path: str) -> None:
-    """Publish lists as gzip JSON, each in a folder ``file_name=<name>``. ``files`` has one row per name."""
-    files.write.partitionBy("file_name").option("compression", "gzip").json(path)
-
-
-def read_written(spark: SparkSession, path: str) -> DataFrame:
-    """The lists of ``write_published``, one row per name."""
-    files = spark.read.schema(f"{_SCHEMA}, file_name string").json(path)
-    return files.select("file_name", "vendor_ids", "update_timestamp")
+    """Publish each list as one gzip JSON document in a file of its name. ``files`` has one row per name.
+
+    Spark writes a folder per name with the one document in it; the document then moves to its place under its name. There
+    is a list per country, or per country and cluster, so the moves are few.
+    """
+    spark, folder = files.sparkSession, path.rstrip("/")
+    writing = f"{folder}/_writing-{uuid.uuid4().hex}"
+    files.write.partitionBy("file_name").option("compression", "gzip").json(writing)
+    for own in store.names(spark, writing):
+        if own.startswith("file_name="):
+            (part,) = [x for x in store.names(spark, f"{writing}/{own}") if x.startswith("part-")]
+            store.move(spark, f"{writing}/{own}/{part}", f"{folder}/{unquote(own.removeprefix('file_name='))}")
+    store.delete(spark, writing)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:

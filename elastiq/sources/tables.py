@@ -66,7 +66,3 @@ def read_input(spark: SparkSession, root: str, name: str) -> DataFrame:
     stored = spark.read.parquet(path).schema
     return as_declared(spark.read.schema(_wanted_part(stored, T.StructType.fromDDL(SCHEMAS[name]))).parquet(path), name)
 
-
-def write_table(df: DataFrame, path: str) -> None:
-    """Replace a table; ``rebalance`` evens out file sizes and splits hot partitions."""
-    df.hint("rebalance").write.mode("overwrite").parquet(path)

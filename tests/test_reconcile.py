@@ -10,6 +10,7 @@ from elastiq.operators.reconcile import reconcile, reconcile_counts, reconcile_n
 from elastiq.plans import publication
 from elastiq.sources.history import append_history, read_run
 from elastiq.sources.published import published_ids, read_published
+from elastiq.sources.sinks import sink
 
 
 @pytest.fixture
@@ -116,7 +117,7 @@ def test_publication_check(spark, folder, tmp_path_factory):
         ["--published", folder, "--history", str(tmp_path / "history"), "--run-ts", run_ts.isoformat()]
         + ["--countries", "ae,sg", "--output", str(tmp_path / "out")]
     )
-    counts = spark.read.parquet(str(tmp_path / "out" / "counts"))
+    counts = sink(spark, str(tmp_path / "out")).read("counts")
     assert tuples(counts, "country_code", "published", "in_table", "matched") == [("ae", 2, 0, 0), ("sg", 3, 2, 1)]
 
     clusters = [("Americas", "sg", "v4", "high"), ("Americas", "sg", "v1", "high"), ("Europe", "sg", "v3", "low-fee")]
@@ -126,7 +127,7 @@ def test_publication_check(spark, folder, tmp_path_factory):
         ["--published", folder, "--clusters", str(tmp_path / "clusters"), "--regions", "Americas"]
         + ["--output", str(tmp_path / "out")]
     )
-    counts = spark.read.parquet(str(tmp_path / "out" / "counts"))
+    counts = sink(spark, str(tmp_path / "out")).read("counts")
     assert tuples(counts.filter("country_code = 'sg'"), "cluster", "published", "in_table", "matched") == [
         ("high", 1, 2, 1), ("low-fee", 2, 0, 1),
     ]

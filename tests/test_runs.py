@@ -13,6 +13,7 @@ from elastiq.params import Params
 from elastiq.plans import job
 from elastiq.plans.queries import QUERIES
 from elastiq.schemas import SCHEMAS
+from elastiq.sources.sinks import sink
 
 TESTDATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -100,7 +101,7 @@ def job_output(spark, tmp_path_factory):
         ["--input", str(root), "--output", str(out), "--as-of", "2024-02-15"]
         + ["--visits-thr", "0.6", "--orders-thr", "0.6", "--cvr-thr", "0.6"]
     )
-    return lambda name: spark.read.parquet(f"{out}/{name}")
+    return sink(spark, str(out)).read
 
 
 def test_job_labels_the_loyal_vendor(job_output):
