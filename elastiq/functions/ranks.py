@@ -4,77 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from elastiq.functions.skew import salted_join
+from elastiq.sources.staging import stage
 
-# A group up to this many rows is sorted by one task; larger ones are ranked band by band.
-WINDOW_ROWS = 2_000_000
 
+def value_ranks(df: DataFrame, by: Sequence[str], metrics: Sequence[str], *, parts: int | None = None) -> DataFrame:
+    """``by``, metric, value, below, rows: how many rows of the group have a lower value, and how many rows it has.
 
-def _band(value: Column) -> Column:
-    """A coarse step function that never decreases with the value."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 32)
-
-
-def percent_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    metrics: Mapping[str, str],
-    *,
-    spread_by: Sequence[str],
-    places: int = 4,
-    window_rows: int = WINDOW_ROWS,
-) -> DataFrame:
-    """Add ``round(percent_rank(), places)`` of each metric within ``by``; ``metrics`` maps output to input.
-
-    The largest group decides how, and both ways give the same ranks. ``df`` is read more than once, so pass a
-    staged table.
+    Rows are counted per group, metric and value first, so a value that most rows share is one row here and no tie crosses
+    a border. One range partitioning then puts all values in order, a large group over as many partitions as it needs. A value has
+    below it the counts before it in its partition, and the totals of the group in earlier partitions: one row per partition.
+    The order is written down with its partitions before it is read twice, since a sample decides them.
     """
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        for out, value in metrics.items():
-            w = Window.partitionBy(*by).orderBy(value)
-            df = df.withColumn(out, F.round(F.percent_rank().over(w), places))
-        return df
-    return banded_percent_ranks(df, by, metrics, spread_by=spread_by, places=places)
-
-
-def banded_percent_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    metrics: Mapping[str, str],
-    *,
-    spread_by: Sequence[str],
-    places: int = 4,
-) -> DataFrame:
-    """The same ranks from counts per value, so that no task ever holds a whole group.
+    by = list(by)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    counts = df.select(*by, pairs.alias("p")).groupBy(*by, "p.metric", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    order = [*by, "metric"]
+    ranged = counts.repartitionByRange(parts, *order, "value").withColumn("part", F.spark_partition_id())
+    ranged = stage(ranged, "value_counts")
+
+    before = Window.partitionBy(*order).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*order, "part").agg(F.sum("n").alias("in_part"))
+    totals = totals.select(
+        *[F.col(c).alias(f"_{c}") for c in (*order, "part")],
+        F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("earlier"),
+        F.sum("in_part").over(Window.partitionBy(*order)).alias("rows"),
+    )
+    inside = Window.partitionBy(*order, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    same = F.lit(True)
+    for c in (*order, "part"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return placed.join(totals, same).select(*order, "value", (F.col("earlier") + F.col("inside")).alias("below"), "rows")
+
+
+def percent_ranks(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], *, places: int = 4, parts: int | None = None) -> DataFrame:
+    """Add ``round(percent_rank(), places)`` of each metric within ``by``; ``metrics`` maps output to input.
 
-    Equal values share a rank, so only (value, count) pairs are ordered. Each band of values is ordered
-    on its own; the rows below a band come from the band totals, a few hundred per group.
+    ``df`` is read more than once, so pass a staged table. The ranks are joined back by group and value: one row per distinct value,
+    never repeated; adaptive execution splits a value that a large share of the rows has.
     """
     by = list(by)
+    ranked = value_ranks(df, by, list(metrics.values()), parts=parts)
+    rank = F.when(F.col("rows") > 1, F.round(F.col("below") / (F.col("rows") - 1), places)).otherwise(F.lit(0.0))
+    ranks = stage(ranked.select(*by, "metric", "value", rank.alias("rank")), "value_ranks")
     for out, value in metrics.items():
-        counts = (
-            df.groupBy(*by, F.col(value).alias("_value"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_band", _band(F.col("_value").cast("double")))
-        )
-        in_band = Window.partitionBy(*by, "_band").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-        below_band = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-        bands = (
-            counts.groupBy(*by, "_band")
-            .agg(F.sum("_n").alias("_band_rows"))
-            .withColumn("_before", F.coalesce(F.sum("_band_rows").over(below_band), F.lit(0)))
-            .withColumn("_rows", F.sum("_band_rows").over(Window.partitionBy(*by)))
-            .drop("_band_rows")
-        )
-        ranked = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(in_band), F.lit(0)))
-        lower = F.col("_before") + F.col("_inside")
-        rank = F.when(F.col("_rows") > 1, F.round(lower / (F.col("_rows") - 1), places)).otherwise(F.lit(0.0))
-        ranks = salted_join(ranked, bands, [*by, "_band"], "inner", ["_value"], null_safe=True).select(
-            *by, F.col("_value").alias(value), rank.alias(out)
+        own = ranks.filter(F.col("metric") == value).select(
+            *[F.col(c).alias(f"_{c}") for c in by], F.col("value").alias("_value"), F.col("rank").alias(out)
         )
-        df = salted_join(df, ranks, [*by, value], "left", spread_by, null_safe=True)
+        same = F.col(value).cast("double").eqNullSafe(F.col("_value"))
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        df = df.join(own, same, "left").drop("_value", *[f"_{c}" for c in by])
     return df

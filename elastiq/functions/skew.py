@@ -33,6 +33,35 @@ def salt(cols: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
+# Heavy hitters that are looked for, and counters of the sketch that finds them; a key with a larger share is never missed.
+MOST_HOT = 1000
+_TRACKED = 8 * MOST_HOT
+
+
+def hot_keys(facts: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
+    """Hashes ``_hot`` of the keys that hold more rows than a task should get, one ``parts``-th of all.
+
+    One pass with a sketch of fixed size (``approx_top_k``), combined before its one-row shuffle; no job runs on the driver. The
+    result has at most ``min(parts, MOST_HOT)`` rows, so it may be broadcast.
+    """
+    k = min(parts, MOST_HOT)
+    counted = facts.select(F.xxhash64(*on).alias("_key")).agg(
+        F.call_function("approx_top_k", F.col("_key"), F.lit(k), F.lit(max(_TRACKED, 8 * k))).alias("_top"), F.count(F.lit(1)).alias("_rows")
+    )
+    top = counted.select("_rows", F.explode("_top").alias("_t"))
+    return top.filter(F.col("_t.count") * parts > F.col("_rows")).select(F.col("_t.item").alias("_hot"))
+
+
+def _salted(facts: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame, spread_by: Sequence[str], salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: hot keys are cut into ``salts`` parts on the one and repeated as often on the other, other keys have salt 0."""
+    hot = F.broadcast(hot)
+    left = facts.join(hot, F.xxhash64(*on) == F.col("_hot"), "left")
+    left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), salt(spread_by, salts)).otherwise(F.lit(0))).drop("_hot")
+    right = right.join(hot, F.xxhash64(*[f"_on_{c}" for c in on]) == F.col("_hot"), "left")
+    every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left, right.withColumn("_salt_of_dim", F.explode(every)).drop("_hot")
+
+
 def salted_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -43,19 +72,17 @@ def salted_join(
     salts: int | None = None,
     null_safe: bool = False,
     condition: Column | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``dim`` to ``facts``, each key of ``facts`` cut into ``salts`` parts by ``spread_by``.
+    """Join ``dim`` to ``facts``, the hot keys of ``facts`` cut into ``salts`` parts by ``spread_by``.
 
-    ``dim`` is repeated once per salt, so it should hold few rows per key. ``how`` may be ``inner``,
-    ``left`` or ``left_semi``. Adaptive execution may still split a part further, or broadcast ``dim``
-    once its real size is known.
+    Only the rows of hot keys of ``dim`` are repeated, so its size hardly depends on the number of partitions. ``hot`` are measured unless
+    given; ``how`` may be ``inner``, ``left`` or ``left_semi``. Adaptive execution may still split a part further, or broadcast
+    ``dim`` once its real size is known.
     """
     salts = salts or salts_of(facts)
-    left = facts.withColumn("_salt", salt(spread_by, salts))
-    right = _renamed(dim, on).select(
-        "*",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_of_dim"),
-    )
+    hot = hot_keys(facts, on, salts) if hot is None else hot
+    left, right = _salted(facts, _renamed(dim, on), on, hot, spread_by, salts)
     same = [
         F.col(c).eqNullSafe(F.col(f"_on_{c}")) if null_safe else F.col(c) == F.col(f"_on_{c}") for c in on
     ]
@@ -84,18 +111,19 @@ def _renamed(dim: DataFrame, on: Sequence[str]) -> DataFrame:
 def with_totals(
     df: DataFrame,
     by: Sequence[str],
-    spread_by: Sequence[str],
     aggregates: Sequence[Column],
     *,
     null_safe: bool = True,
 ) -> DataFrame:
     """Add group aggregates to every row.
 
-    Same result as unordered window aggregates, but the groups are pre-aggregated before the shuffle
-    and a hot group is never gathered in one task.
+    Same result as unordered window aggregates, but the groups are pre-aggregated before the shuffle, and a hot group is never
+    gathered in one task: it is joined back by adaptive execution, which splits a group that is too large
+    for a task (``split_hot_keys``), or broadcasts the totals if they are few.
     """
-    totals = df.groupBy(*by).agg(*aggregates)
-    return salted_join(df, totals, by, "left", spread_by, null_safe=null_safe)
+    totals = _renamed(df.groupBy(*by).agg(*aggregates), by)
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) if null_safe else F.col(c) == F.col(f"_on_{c}") for c in by]
+    return df.join(totals, reduce(and_, same), "left").drop(*[f"_on_{c}" for c in by])
 
 
 def null_lane(keys: Sequence[str], spread_by: Sequence[str], lanes: int = 256) -> Column:

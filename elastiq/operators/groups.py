@@ -48,7 +48,7 @@ def newest_versions(configs: DataFrame, active: DataFrame) -> DataFrame:
         F.max("asa_setup_active_from").alias("asa_setup_active_from_max_date"),
         F.max("pc_setup_active_from").alias("pc_setup_active_from_max_date"),
     ]
-    return with_totals(versions, GROUP, ["vendor_code"], newest).filter(
+    return with_totals(versions, GROUP, newest).filter(
         (F.col("asa_setup_active_from") == F.col("asa_setup_active_from_max_date"))
         & F.col("asa_setup_active_to").isNull()
         & (F.col("pc_setup_active_from") == F.col("pc_setup_active_from_max_date"))
@@ -63,7 +63,7 @@ def current_setups(newest: DataFrame) -> DataFrame:
     """
     vendors = [F.countDistinct("vendor_code").alias("vendor_count_caught_by_asa")]
     return (
-        with_totals(newest, GROUP, ["vendor_code"], vendors)
+        with_totals(newest, GROUP, vendors)
         .withColumn("sch", F.explode_outer("schedule"))
         .withColumn("cc", F.explode_outer("customer_condition"))
         .withColumn("time_condition_id", F.col("sch.id"))

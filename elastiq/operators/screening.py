@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import ratio
-from elastiq.functions.ranks import WINDOW_ROWS, percent_ranks
+from elastiq.functions.ranks import percent_ranks
 from elastiq.functions.skew import salted_join
 from elastiq.params import KEYS, TRANSACTION, VISIT, Params
 
@@ -79,17 +79,14 @@ def vendor_metrics(
     return joined.select(*vendors.columns, *[F.coalesce(c, zero[c]).alias(c) for c in columns])
 
 
-def percentile_screen(
-    metrics: DataFrame, *, group_key: str = "master_asa_id", window_rows: int = WINDOW_ROWS
-) -> DataFrame:
+def percentile_screen(metrics: DataFrame, *, group_key: str = "master_asa_id", parts: int | None = None) -> DataFrame:
     """Percentile rank of each vendor within its group by orders, visits and conversion."""
     ranks = {
         "orders_pct_rank": "num_orders",
         "unique_visits_pct_rank": "num_unique_vendor_visits",
         "cvr3_pct_rank": "cvr3",
     }
-    spread = ["asa_id", "vendor_code"]
-    return percent_ranks(metrics, [*KEYS, group_key], ranks, spread_by=spread, window_rows=window_rows)
+    return percent_ranks(metrics, [*KEYS, group_key], ranks, parts=parts)
 
 
 def passed(p: Params) -> tuple[Column, Column, Column]:

@@ -61,7 +61,7 @@ def scheme_fee_tiers(configs: DataFrame, schemes: DataFrame) -> DataFrame:
         F.max("tt_config_active_from").alias("_config_from"),
     ]
     tiers = (
-        with_totals(open_rows, SCHEME, ["tt_threshold", "fee"], newest, null_safe=False)
+        with_totals(open_rows, SCHEME, newest, null_safe=False)
         .filter(
             (F.col("scheme_active_from") == F.col("_scheme_from"))
             & (F.col("tt_config_active_from") == F.col("_config_from"))
@@ -74,7 +74,7 @@ def scheme_fee_tiers(configs: DataFrame, schemes: DataFrame) -> DataFrame:
     users = schemes.select(
         "region", *SCHEME, "asa_id", "master_asa_id", "asa_name", "asa_common_name"
     )
-    counted = with_totals(users, SCHEME, ["asa_id"], [F.count(F.lit(1)).alias("_users")], null_safe=False)
+    counted = with_totals(users, SCHEME, [F.count(F.lit(1)).alias("_users")], null_safe=False)
     joined = salted_join(counted, ranked, SCHEME, "inner", ["asa_id"])
     return joined.withColumn("tier", (F.col("_rank") - 1) * F.col("_users") + 1).select(
         "region",

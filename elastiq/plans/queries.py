@@ -333,8 +333,8 @@ def percentile_screen(s: StandIns) -> DataFrame:
 
 @query
 def percentile_screen_banded(s: StandIns) -> DataFrame:
-    """The ranking of groups that are too large for one task, here taken for every group."""
-    return screening.percentile_screen(stage(_metrics(s), "vendor_metrics"), window_rows=0)
+    """The same ranks with far more partitions than tasks, so that every group is cut."""
+    return screening.percentile_screen(stage(_metrics(s), "vendor_metrics"), parts=97)
 
 
 @once

@@ -11,7 +11,7 @@ from elastiq.functions import skew
 from elastiq.functions.checks import repeated_keys
 from elastiq.functions.geo import inside, point_text, points_in_zones, zone_cells
 from elastiq.functions.numbers import plain_number, ratio
-from elastiq.functions.ranks import banded_percent_ranks, percent_ranks
+from elastiq.functions.ranks import percent_ranks, value_ranks
 from elastiq.functions.skew import null_lane, salted_join, with_totals
 from elastiq.params import Params
 from elastiq.sources.staging import shared_folder, stage
@@ -80,6 +80,20 @@ def test_salts_follow_the_shuffle_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("parts", [200, 2000])
+def test_only_hot_keys_are_repeated(spark, parts):
+    facts = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    dim = facts.select("k").distinct()
+    hot = skew.hot_keys(facts, ["k"], parts)
+    assert hot.collect() == facts.filter("k = -1").select(F.xxhash64("k")).distinct().collect()
+    left, right = skew._salted(facts, dim.withColumnRenamed("k", "_on_k"), ["k"], hot, ["v"], parts)
+    assert right.count() == dim.count() - 1 + parts  # the one hot key, repeated; all others as they are
+    assert left.filter("k = -1").select("_salt").distinct().count() > parts * 0.9
+    assert left.filter("k <> -1 AND _salt <> 0").isEmpty() and left.count() == facts.count()
+    joined = salted_join(facts, dim.withColumn("d", F.col("k") + 1), ["k"], "inner", ["v"], salts=parts)
+    assert joined.filter("d = k + 1").count() == facts.count()
+
+
 def test_salted_join_can_match_nulls(spark):
     dim = spark.createDataFrame([("hot", 1), (None, 4)], "k string, d int")
     joined = salted_join(_facts(spark), dim, ["k"], "inner", ["v"], null_safe=True)
@@ -90,7 +104,7 @@ def test_totals_equal_window_sums(spark):
     from pyspark.sql import Window
 
     facts = _facts(spark)
-    totals = with_totals(facts, ["k"], ["v"], [F.sum("v").alias("t")])
+    totals = with_totals(facts, ["k"], [F.sum("v").alias("t")])
     window = facts.withColumn("t", F.sum("v").over(Window.partitionBy("k")))
     assert tuples(totals, "k", "v", "t") == tuples(window, "k", "v", "t")
 
@@ -109,30 +123,56 @@ def test_salts_do_not_change_between_runs(spark):
 
 def test_percent_ranks_of_five(spark):
     df = spark.createDataFrame([("a", "x", i) for i in range(1, 6)] + [("b", "x", 9)], "g string, id string, n int")
-    for rows in (100, 0):
-        ranked = percent_ranks(df, ["g"], {"r": "n"}, spread_by=["n"], window_rows=rows)
+    for parts in (1, 40):
+        ranked = percent_ranks(df, ["g"], {"r": "n"}, parts=parts)
         assert tuples(ranked, "g", "n", "r") == [
             ("a", 1, 0.0), ("a", 2, 0.25), ("a", 3, 0.5), ("a", 4, 0.75), ("a", 5, 1.0), ("b", 9, 0.0),
         ]
 
 
+def _window_ranks(df, metrics):
+    from pyspark.sql import Window
+
+    for out, value in metrics.items():
+        df = df.withColumn(out, F.round(F.percent_rank().over(Window.partitionBy("g").orderBy(value)), 4))
+    return df
+
+
 @settings(max_examples=6, deadline=None)
 @given(
     st.lists(
-        st.tuples(st.sampled_from("ab"), st.one_of(st.integers(0, 10**6), st.sampled_from([0, 1, 5])), st.floats(0, 3)),
+        st.tuples(
+            st.sampled_from(["a", "b", None]),
+            st.one_of(st.integers(0, 10**6), st.sampled_from([0, 1, 5, None])),
+            st.floats(-3, 3),
+        ),
         min_size=1,
         max_size=60,
-    )
+    ),
+    st.integers(1, 30),
 )
-def test_banded_ranks_equal_window_ranks(spark, rows):
+def test_ranks_equal_window_ranks(spark, rows, parts):
     data = [(g, str(i), n, round(x, 5)) for i, (g, n, x) in enumerate(rows)]
     df = spark.createDataFrame(data, "g string, id string, n long, x double")
     metrics = {"rn": "n", "rx": "x"}
-    window = percent_ranks(df, ["g"], metrics, spread_by=["id"])
-    banded = banded_percent_ranks(df, ["g"], metrics, spread_by=["id"])
-    out = tuples(banded, "id", "rn", "rx")
-    assert out == tuples(window, "id", "rn", "rx")
-    assert all(0 <= r <= 1 for row in out for r in row[1:])
+    out = tuples(percent_ranks(df, ["g"], metrics, parts=parts), "id", "rn", "rx")
+    assert out == tuples(_window_ranks(df, metrics), "id", "rn", "rx")
+
+
+def test_a_group_with_most_rows_is_ranked_in_many_tasks(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5000).alias("n"),
+    )
+    parts = 16
+    ranks = value_ranks(df, ["g"], ["n"], parts=parts)
+    # The values of the hot group lie in nearly all partitions, and none of them is twice there.
+    assert ranks.filter("g = 'hot'").count() == df.filter("g = 'hot'").select("n").distinct().count()
+    ranged = df.groupBy("g", "n").count().repartitionByRange(parts, "g", "n").withColumn("part", F.spark_partition_id())
+    assert ranged.filter("g = 'hot'").select("part").distinct().count() > parts // 2
+    metrics = {"r": "n"}
+    assert tuples(percent_ranks(df, ["g"], metrics, parts=parts), "id", "r") == tuples(_window_ranks(df, metrics), "id", "r")
 
 
 SQUARE = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]
