@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m")).distinct()
     edges = stage(pairs, "graph-edges")
-    before, now = None, _state(edges)
+    before, now = (0, None), _state(edges)
     while now != before:
         # Large star: the larger neighbours of a node point to the least of the node and its neighbours.
         both = edges.unionByName(edges.select(F.col("m").alias("u"), F.col("u").alias("m")))

@@ -9,9 +9,9 @@
 3. Pigeonhole: three differing bits are spread over the segments so that either no segment has more than one, or one segment has at
    least two and the other two at most one between them. Keys are therefore the triples of indices, and for each two
    segments the whole of one with the indices of the other: about 50 keys of 33 to 36 bits per fingerprint, and every link shares one.
-4. Fingerprints under one key are not paired off. Each is held against one of them, chosen by a hash, in rounds that go on until
-   a round links no components any more. Only then are all fingerprints of one key in different components compared, so
-   no link is lost. Every pair is verified by counting the bits that differ.
+4. Fingerprints under one key are not paired off. Each is held against one of them, chosen by a hash, which joins dense groups.
+   After ``rounds`` of that, fingerprints of one key are compared where they are still in different components, so no link is
+   lost, and only links that join two components come out. Every pair is verified by counting the bits that differ.
 5. Links become components; each gets the least doc_id that it holds.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than ``width`` make one shingle; texts
@@ -44,10 +44,11 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 @dataclass(frozen=True)
 class Limits:
-    """Words per shingle. Three is also the number of bits that the keys allow for."""
+    """Words per shingle; bits, at most three, for which the keys are made; rounds before the comparison of what is left."""
 
     width: int = 3
     bits: int = 3
+    rounds: int = 1
 
 
 def _pieces(data: bytes) -> Iterator[list[bytes]]:
@@ -173,8 +174,8 @@ def _near(a: str, b: str, limits: Limits) -> Column:
 
 
 def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists with each node's component, without lists that lie in one component."""
-    at = lists.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
+    """The lists with each node's component, without lists that lie in one component: those are done with."""
+    at = lists.select("key", "node", "own").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
     at = at.select("key", "node", "own", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     return at.join(mixed.select(F.col("key").alias("mixed")), F.col("key") == F.col("mixed"), "left_semi")
@@ -211,15 +212,11 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     several = rows.join(twice.select(F.col("doc_id").alias("twice")), F.col("doc_id") == F.col("twice"), "left_semi")
     links = several.join(nodes, F.col("fingerprint") == F.col("own")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     labels = stage(components(links), "simhash-labels")
-    seed, last = 0, False
-    while not last:
-        at = stage(_open(lists, labels), "simhash-open")
-        found = stage(hub_links(at, limits, seed), "simhash-links")
-        last = found.isEmpty()
-        if last:
-            found = crossing_links(at, limits)
+    for seed in range(limits.rounds + 1):
+        lists = stage(_open(lists, labels), "simhash-open")
+        found = hub_links(lists, limits, seed) if seed < limits.rounds else crossing_links(lists, limits)
         links = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels, seed = stage(components(links), "simhash-labels"), seed + 1
+        labels = stage(components(links), "simhash-labels")
 
     ids = nodes.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
     ids = ids.select("own", F.coalesce("component", "node").alias("component_id"))
