@@ -1,12 +1,19 @@
-"""Points in polygons as an equi-join on grid cells plus an exact test.
+"""Points in polygons as an equi-join on the cells of a quadtree plus an exact test.
 
-A shape is an array of rings, each an array of (x, y); holes and several parts follow the even-odd rule.
-Geometry is planar, which is accurate at city scale. A point on the boundary is not inside.
+A shape is an array of rings, each an array of (x, y); holes and several parts follow the even-odd rule. A point on the boundary is
+not inside.
+
+Geometry is planar, which is accurate at city scale, or on the sphere. There, sides are great circles. The sphere is seen
+from its centre through the six sides of a cube: on each side great circles are straight lines, and the planar test of
+which side of a line a point lies is the sign of the triple product of three directions. So zones and points go to the sides of
+the cube (``zones_on_sphere``, ``points_on_sphere``), and all that follows is the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +21,12 @@ from pyspark.sql import functions as F
 from elastiq.functions.numbers import plain_number
 from elastiq.functions.skew import lookup_join
 
+# A cell of the quadtree is cut into FANOUT x FANOUT cells of the next level; level 0 has cells of the given size.
+FANOUT = 4
+LEVELS = 5
+# A cell that so few sides reach is not cut further: testing them costs less than more cells.
+FEW_SIDES = 16
+
 
 def point_text(lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("POINT("), plain_number(lon), F.lit(" "), plain_number(lat), F.lit(")"))
@@ -55,26 +68,33 @@ def inside(edges: Column, x: Column, y: Column) -> Column:
     return odd & ~F.exists(edges, lambda e: _touches(e, x, y))
 
 
-def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float) -> DataFrame:
-    """One row per zone and grid cell that it reaches.
+def _size(level: Column | int, cell_size: float) -> Column:
+    """Edge of a cell. All are the least one times a power of two, so cells of all levels share their borders exactly."""
+    sizes = [F.lit(float(cell_size) * FANOUT**k) for k in range(LEVELS)]
+    return sizes[level] if isinstance(level, int) else F.get(F.array(*sizes), level)
+
 
-    A cell that no side comes near lies wholly inside or outside: the first kind carries no sides and
-    needs no test, the second is dropped. Other cells carry only the sides a ray from them can meet.
+def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float, *, few_sides: int = FEW_SIDES) -> DataFrame:
+    """One row per zone and quadtree cell that covers a part of it: ``on``, _level, _gx, _gy, _edges.
 
-    Zones come in few tasks, often all of a country in one row. They are dealt out by zone before the columns of
-    the grid are made, and by zone and column before its rows are; a column takes along only the sides right of its edge.
+    A cell that no side comes near lies wholly inside or outside: the first kind carries no sides and needs no test, the second
+    is dropped. Another cell is cut into smaller ones, down to ``cell_size``, unless few sides reach it; it carries only
+    the sides a ray from it can meet. So cells are small along the border and large inside, and their number grows
+    with the border of a zone, not with its area.
+
+    Zones come in few tasks, often all of a country in one row. They are dealt out by zone before the first cells are
+    made, and by zone and cell before cells are cut; a cell takes along only the sides right of its edge.
     """
     parts = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = F.lit(float(cell_size))
     margin = cell_size * 1e-9
     xs, ys = F.flatten(F.col(shape))["x"], F.flatten(F.col(shape))["y"]
-
-    def span(values: Column) -> Column:
-        return F.sequence(F.floor(F.array_min(values) / size), F.floor(F.array_max(values) / size))
-
+    size = _size(F.col("_level"), cell_size)
     x0, x1 = F.col("_gx") * size - margin, (F.col("_gx") + 1) * size + margin
     y0, y1 = F.col("_gy") * size - margin, (F.col("_gy") + 1) * size + margin
 
+    def span(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low / size), F.floor(high / size))
+
     def beside(e: Column) -> Column:
         return (
             (F.greatest(e["y1"], e["y2"]) >= y0)
@@ -84,20 +104,47 @@ def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float
 
     near = F.exists("_edges", lambda e: beside(e) & (F.least(e["x1"], e["x2"]) <= x1))
     centre = inside(F.col("_edges"), (F.col("_gx") + 0.5) * size, (F.col("_gy") + 0.5) * size)
-    return (
+    cell = [*on, "_zone", "_level", "_gx", "_gy"]
+
+    def placed(cells: DataFrame) -> DataFrame:
+        """Cells with the sides beside them, without those outside."""
+        kept = cells.withColumn("_edges", F.when(F.col("_cut"), F.filter("_edges", beside)).otherwise(F.col("_edges")))
+        kept = kept.withColumn("_near", F.when(F.col("_cut"), near).otherwise(F.col("_near")))
+        return kept.filter(~F.col("_cut") | F.col("_near") | centre).select(*cell, "_edges", "_near")
+
+    # The first level is the least one at which the zone's box is some four cells wide.
+    extent = F.greatest(F.array_max("_xs") - F.array_min("_xs"), F.array_max("_ys") - F.array_min("_ys"))
+    first = F.lit(0)
+    for k in range(1, LEVELS):
+        first = F.when(extent > 4 * _size(k - 1, cell_size), F.lit(k)).otherwise(first)
+    roots = (
         zones.withColumn("_zone", F.xxhash64(shape))
         .repartition(parts, *on, "_zone")
-        .select(*on, "_zone", _edges(F.col(shape)).alias("_all"), xs.alias("_xs"), ys.alias("_ys"))
-        .filter(F.size("_all") > 0)
-        .select(*on, "_zone", "_all", "_ys", F.explode(span(F.col("_xs"))).alias("_gx"))
-        .withColumn("_all", F.filter("_all", lambda e: F.greatest(e["x1"], e["x2"]) >= x0))
-        .repartition(parts, *on, "_zone", "_gx")
-        .select(*on, "_all", "_gx", F.explode(span(F.col("_ys"))).alias("_gy"))
-        .select(*on, "_gx", "_gy", F.filter("_all", beside).alias("_edges"))
-        .withColumn("_near", near)
-        .filter(F.col("_near") | centre)
-        .select(*on, "_gx", "_gy", F.when(F.col("_near"), F.col("_edges")).alias("_edges"))
+        .select(*on, "_zone", _edges(F.col(shape)).alias("_edges"), xs.alias("_xs"), ys.alias("_ys"))
+        .filter(F.size("_edges") > 0)
+        .withColumn("_level", first)
+        .withColumn("_gx", F.explode(span(F.array_min("_xs"), F.array_max("_xs"))))
+        .withColumn("_gy", F.explode(span(F.array_min("_ys"), F.array_max("_ys"))))
+        .select(*cell, "_edges", F.lit(True).alias("_cut"), F.lit(None).cast("boolean").alias("_near"))
     )
+    cells = placed(roots)
+    for level in range(LEVELS - 1, 0, -1):
+        cut = (F.col("_level") == level) & F.col("_near") & (F.size("_edges") > few_sides)
+        quarter = [
+            F.struct((F.col("_gx") * FANOUT + i).alias("x"), (F.col("_gy") * FANOUT + j).alias("y"))
+            for i in range(FANOUT)
+            for j in range(FANOUT)
+        ]
+        own = F.array(F.struct(F.col("_gx").alias("x"), F.col("_gy").alias("y")))
+        if level % 2 == 0:
+            cells = cells.repartition(parts, *cell)
+        cells = (
+            cells.withColumn("_cut", cut)
+            .withColumn("_at", F.explode(F.when(F.col("_cut"), F.array(*quarter)).otherwise(own)))
+            .withColumns({"_level": F.col("_level") - F.col("_cut").cast("int"), "_gx": F.col("_at.x"), "_gy": F.col("_at.y")})
+        )
+        cells = placed(cells)
+    return cells.select(*on, "_level", "_gx", "_gy", F.when(F.col("_near"), F.col("_edges")).alias("_edges"))
 
 
 def points_in_zones(
@@ -111,11 +158,81 @@ def points_in_zones(
 ) -> DataFrame:
     """The rows of ``points`` inside at least one zone with the same ``on`` values, each kept once.
 
-    ``cells`` are the staged cells of the zones at the same ``cell_size``.
+    ``cells`` are the staged cells of the zones at the same ``cell_size``. Each distinct place is looked up once, at every
+    level of the quadtree, without the other columns of its rows; then rows are kept by place.
     """
-    size = F.lit(float(cell_size))
-    x, y = F.col(lon), F.col(lat)
-    gridded = points.withColumn("_gx", F.floor(x / size)).withColumn("_gy", F.floor(y / size))
+    x, y = F.col("_x"), F.col("_y")
+    places = points.select(*on, F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y"))
+    places = places.filter(x.isNotNull() & y.isNotNull()).distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    size = _size(F.col("_level"), cell_size)
+    gridded = places.withColumn("_gx", F.floor(x / size)).withColumn("_gy", F.floor(y / size))
     exact = F.col("_edges").isNull() | inside(F.col("_edges"), x, y)
-    cells = cells.select(*on, "_gx", "_gy", "_edges")
-    return lookup_join(gridded, cells, [*on, "_gx", "_gy"], "left_semi", exact).drop("_gx", "_gy")
+    cells = cells.select(*on, "_level", "_gx", "_gy", "_edges")
+    found = lookup_join(gridded, cells, [*on, "_level", "_gx", "_gy"], "left_semi", exact).select(*on, "_x", "_y").distinct()
+    keyed = points.withColumn("_x", F.col(lon).cast("double")).withColumn("_y", F.col(lat).cast("double"))
+    return lookup_join(keyed, found, [*on, "_x", "_y"], "left_semi").select(*points.columns)
+
+
+def _direction(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    a, b = F.radians(lon), F.radians(lat)
+    return F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)
+
+
+def _on_side(side: int, d: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """Height over the centre and the two coordinates on a side of the cube; sides 0 to 2 face along the axes, 3 to 5 against them."""
+    axis, sign = side % 3, 1 if side < 3 else -1
+    height = d[axis] * sign
+    return height, d[(axis + 1) % 3] / height, d[(axis + 2) % 3] / height
+
+
+# A zone must lie in the half of the sphere that a side of the cube faces, if it reaches the side at all.
+WIDEST_ZONE = 30.0
+
+
+def zones_on_sphere(zones: DataFrame, shape: str) -> DataFrame:
+    """Each zone on each side of the cube that it may reach: ``_side``, and ``shape`` in coordinates of the side.
+
+    Sides of the zone are great circles; the zone is the part of the sphere that is less than half of it, also across the date line or
+    around a pole. A zone with a corner more than 30 degrees from its first one is an error.
+    """
+    def shape_on(side: int) -> Column:
+        def corner(p: Column) -> Column:
+            height, u, v = _on_side(side, _direction(p["x"], p["y"]))
+            return F.when(height > 1e-9, F.struct(u.alias("x"), v.alias("y")))
+
+        return F.transform(F.col(shape), lambda ring: F.transform(ring, corner))
+
+    corners = F.flatten(F.col(shape))
+    first = _direction(corners[0]["x"], corners[0]["y"])
+    apart = F.exists(
+        corners,
+        lambda p: reduce(lambda a, b: a + b, [c * d for c, d in zip(_direction(p["x"], p["y"]), first)]) < math.cos(math.radians(WIDEST_ZONE)),
+    )
+    checked = F.when(apart, F.raise_error(F.lit(f"a zone is wider than {WIDEST_ZONE} degrees"))).otherwise(F.lit(True))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), shape_on(k).alias("shape")) for k in range(6)])
+    points = F.flatten("_s.shape")
+    seen = ~F.exists(points, lambda p: p.isNull())
+    edge = 1 + 1e-9
+    reaches = (F.array_min(points["x"]) <= edge) & (F.array_max(points["x"]) >= -edge)
+    reaches = reaches & (F.array_min(points["y"]) <= edge) & (F.array_max(points["y"]) >= -edge)
+    on_sides = zones.filter(checked).withColumn("_s", F.explode(sides)).filter(seen & reaches)
+    kept = [F.col("_s.shape").alias(shape) if c == shape else F.col(c) for c in zones.columns]
+    return on_sides.select(*kept, F.col("_s.side").alias("_side"))
+
+
+def points_on_sphere(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Add ``_side``, ``_u`` and ``_v``: the side of the cube that a point lies on and where; null for a point without coordinates."""
+    d = _direction(F.col(lon).cast("double"), F.col(lat).cast("double"))
+    farthest = F.greatest(*[F.abs(c) for c in d])
+    side, u, v = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k in reversed(range(6)):
+        height, a, b = _on_side(k, d)
+        here = height == farthest
+        side, u, v = F.when(here, k).otherwise(side), F.when(here, a).otherwise(u), F.when(here, b).otherwise(v)
+    return points.withColumns({"_side": side, "_u": u, "_v": v})
+
+
+def points_in_zones_on_sphere(points: DataFrame, cells: DataFrame, on: Sequence[str], cell_size: float, *, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``points_in_zones`` for the cells of ``zones_on_sphere``, at a cell size in units of a side (about 57 degrees)."""
+    placed = points_on_sphere(points, lon, lat)
+    return points_in_zones(placed, cells, [*on, "_side"], cell_size, lon="_u", lat="_v").drop("_side", "_u", "_v")

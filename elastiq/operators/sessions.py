@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from elastiq.functions.geo import point_text, points_in_zones, zone_cells
+from elastiq.functions.geo import point_text, points_in_zones, points_in_zones_on_sphere, zone_cells, zones_on_sphere
 from elastiq.functions.skew import lookup_join, null_lane
 from elastiq.params import FEE_PLACES, KEYS, TRANSACTION, VISIT
 
@@ -24,9 +25,18 @@ def _vertical(name: str):
     )
 
 
-def zone_index(zones: DataFrame, cell_size: float) -> DataFrame:
-    """Grid cells of the active zones, for both spatial joins. Stage it: it is larger than its zones."""
-    return zone_cells(zones, [*KEYS, "city_name"], "zone_shape", cell_size)
+def zone_index(zones: DataFrame, cell_size: float, *, sphere: bool = False) -> DataFrame:
+    """Quadtree cells of the active zones, for both spatial joins. Stage it: it may be larger than its zones."""
+    on = [*KEYS, "city_name"]
+    if sphere:
+        return zone_cells(zones_on_sphere(zones, "zone_shape"), [*on, "_side"], "zone_shape", math.radians(cell_size))
+    return zone_cells(zones, on, "zone_shape", cell_size)
+
+
+def _in_zones(points: DataFrame, cells: DataFrame, on: Sequence[str], cell_size: float, sphere: bool, **names: str) -> DataFrame:
+    if sphere:
+        return points_in_zones_on_sphere(points, cells, on, math.radians(cell_size), **names)
+    return points_in_zones(points, cells, on, cell_size, **names)
 
 
 def sessions_in_zones(
@@ -37,6 +47,7 @@ def sessions_in_zones(
     window: tuple[date, date],
     *,
     cell_size: float = 0.02,
+    sphere: bool = False,
 ) -> DataFrame:
     """Visit and transaction events of known vendors, in sessions located inside an active zone.
 
@@ -58,7 +69,7 @@ def sessions_in_zones(
     )
     names = zones.select(*KEYS, "city_name", "zone_name")
     located = lookup_join(located, names, [*KEYS, "city_name", "zone_name"], "left_semi")
-    located = points_in_zones(located, cells, [*KEYS, "city_name"], cell_size)
+    located = _in_zones(located, cells, [*KEYS, "city_name"], cell_size, sphere)
     s = "sessions."
     flat = located.withColumn("e", F.explode("events")).select(
         "created_date",
@@ -106,6 +117,7 @@ def fee_requests(
     *,
     endpoints: Sequence[str] = ("singleFee",),
     cell_size: float = 0.02,
+    sphere: bool = False,
 ) -> DataFrame:
     """Pricing requests with a session id, made inside an active zone of the entity (of any country)."""
     first, last = window
@@ -126,7 +138,7 @@ def fee_requests(
         F.col("customer.lat").alias("_lat"),
     )
     flat = lookup_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi")
-    return points_in_zones(flat, cells, ["entity_id"], cell_size, lon="_lon", lat="_lat").drop("_lon", "_lat")
+    return _in_zones(flat, cells, ["entity_id"], cell_size, sphere, lon="_lon", lat="_lat").drop("_lon", "_lat")
 
 
 def fee_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "travel_time") -> DataFrame:

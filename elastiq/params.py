@@ -51,8 +51,10 @@ class Params:
     # strip only the suffix from a linked name instead of any of its characters
     suffix_only: bool = False
     endpoints: tuple[str, ...] = ("singleFee",)
-    # edge of a grid cell of the zone index, in degrees
+    # edge of the smallest cells of the zone index, in degrees
     cell_size: float = 0.02
+    # sides of zones are great circles, and zones may cross the date line
+    sphere: bool = False
 
     @property
     def group_name(self) -> str:

@@ -47,7 +47,7 @@ def configure(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataF
     out["active_entities"] = keep(entities.active_entities(source("entities"), ordered), "active_entities")
     active = out["active_entities"]
     out["active_zones"] = keep(entities.active_zones(source("countries"), active), "active_zones")
-    out["zone_cells"] = keep(sessions.zone_index(out["active_zones"], p.cell_size), "zone_cells")
+    out["zone_cells"] = keep(sessions.zone_index(out["active_zones"], p.cell_size, sphere=p.sphere), "zone_cells")
     newest = keep(groups.newest_versions(source("group_config_versions"), active), "newest_versions")
     setups = keep(groups.current_setups(newest), "setups_plain")
     out["linked_groups"] = groups.linked_groups(setups, suffix=p.link_suffix, suffix_only=p.suffix_only)
@@ -122,7 +122,7 @@ def run_labels(source: Source, p: Params, keep: Stage = stage, run_ts: dt.dateti
     out = configure(source, p, keep)
     vendors, zones, cells = out["vendors"], out["active_zones"], out["zone_cells"]
     located = sessions.sessions_in_zones(
-        source("web_sessions"), zones, cells, vendors, p.window, cell_size=p.cell_size
+        source("web_sessions"), zones, cells, vendors, p.window, cell_size=p.cell_size, sphere=p.sphere
     )
     out["sessions"] = events = keep(located, "sessions")
     out["vendor_orders"] = per_vendor = orders.vendor_orders(source("orders_mapped"), vendors, p.window)
@@ -132,7 +132,7 @@ def run_labels(source: Source, p: Params, keep: Stage = stage, run_ts: dt.dateti
     out |= screen(vendors, events, per_vendor, p, keep)
 
     requests = sessions.fee_requests(
-        source("pricing_requests"), zones, cells, p.window, endpoints=p.endpoints, cell_size=p.cell_size
+        source("pricing_requests"), zones, cells, p.window, endpoints=p.endpoints, cell_size=p.cell_size, sphere=p.sphere
     )
     out["last_fees"] = fees = sessions.last_fee(sessions.known_offers(requests, vendors, fee_field=p.fee_field))
     out["priced_sessions"] = priced = sessions.sessions_with_fee(events, fees)
@@ -198,7 +198,8 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--per-pair-ids", action="store_true", help="one master id per linked name")
     parser.add_argument("--suffix-only", action="store_true", help="strip the suffix, not any of its characters")
     parser.add_argument("--endpoints", nargs="+", default=Params.endpoints, help="request kinds, such as multipleFee")
-    parser.add_argument("--cell-size", type=float, default=Params.cell_size, help="degrees of a grid cell")
+    parser.add_argument("--cell-size", type=float, default=Params.cell_size, help="degrees of the smallest cells of the zone index")
+    parser.add_argument("--sphere", action="store_true", help="sides of zones are great circles")
     parser.add_argument("--run-ts", type=dt.datetime.fromisoformat, help="stamp of the history rows")
     return parser
 

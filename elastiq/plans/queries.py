@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from elastiq.functions.geo import points_in_zones_on_sphere
 from elastiq.operators import (
     curves,
     economics,
@@ -228,6 +230,21 @@ def fee_requests(s: StandIns) -> DataFrame:
     return _requests(s).drop("vendors")
 
 
+def _wrapped(lon: Column) -> Column:
+    return F.when(lon > 180, lon - 360).otherwise(lon)
+
+
+@query
+def places_on_sphere(s: StandIns) -> DataFrame:
+    """Places inside a zone of their entity, both moved over the date line and far north, where great circles matter."""
+    corner = lambda p: F.struct(_wrapped(p["x"] + 174).alias("x"), (p["y"] + 55).alias("y"))
+    zones = _zones(s).withColumn("zone_shape", F.transform("zone_shape", lambda ring: F.transform(ring, corner)))
+    cells = stage(sessions.zone_index(zones, PARAMS.cell_size, sphere=True), "zone_cells_on_sphere")
+    seen = s.web_sessions().filter("lon is not null")
+    places = seen.select("entity_id", _wrapped(F.col("lon") + 174.00317).alias("lon"), (F.col("lat") + 55.00211).alias("lat"))
+    return points_in_zones_on_sphere(places.distinct(), cells, ["entity_id"], math.radians(PARAMS.cell_size))
+
+
 @query
 def fee_offers(s: StandIns) -> DataFrame:
     return sessions.fee_offers(_requests(s), _known(s))

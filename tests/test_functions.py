@@ -1,5 +1,7 @@
 import datetime as dt
 import itertools
+import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import tuples
 from elastiq.functions import skew
 from elastiq.functions.checks import repeated_keys
-from elastiq.functions.geo import inside, point_text, points_in_zones, zone_cells
+from elastiq.functions.geo import inside, point_text, points_in_zones, points_in_zones_on_sphere, zone_cells, zones_on_sphere
 from elastiq.functions.numbers import plain_number, ratio
 from elastiq.functions.ranks import percent_ranks, value_ranks
 from elastiq.functions.skew import null_lane, salted_join, with_totals
@@ -211,9 +213,88 @@ def test_grid_agrees_with_the_exact_test(spark):
 
 def test_clean_cells_carry_no_sides(spark):
     zones = spark.createDataFrame([("e", SQUARE)], f"e string, shape {SHAPE}")
-    cells = zone_cells(zones, ["e"], "shape", 0.25)
-    assert cells.filter("_edges IS NULL").count() == 14 * 14
-    assert cells.filter("_edges IS NOT NULL").agg(F.max(F.size("_edges"))).first()[0] <= 4
+    cells = zone_cells(zones, ["e"], "shape", 0.25, few_sides=0)
+    area = lambda where: cells.filter(where).agg(F.sum(F.pow(F.lit(0.0625), F.lit(1)) * F.pow(F.lit(16), F.col("_level")))).first()[0]
+    assert area("_edges IS NULL") == pytest.approx(14 * 14 * 0.0625)  # all but a rim of one of the smallest cells
+    assert cells.filter("_edges IS NULL AND _level > 0").count() > 0
+    assert cells.filter("_edges IS NOT NULL").agg(F.max("_level"), F.max(F.size("_edges"))).first() == (0, 4)
+    few = zone_cells(zones, ["e"], "shape", 0.25)
+    assert few.filter("_level = 0").isEmpty() and few.count() <= 25  # a square is tested as it is
+
+
+def _circle(x, y, radius, corners):
+    return [[(x + radius * math.cos(2 * math.pi * k / corners), y + radius * math.sin(2 * math.pi * k / corners)) for k in range(corners)]]
+
+
+def test_cells_grow_with_the_border_of_a_zone_not_with_its_area(spark):
+    n = {}
+    for radius in (1.0, 4.0, 16.0):
+        zones = spark.createDataFrame([("e", _circle(50.0, 20.0, radius, 200))], f"e string, shape {SHAPE}")
+        n[radius] = zone_cells(zones, ["e"], "shape", 0.05, few_sides=2).count()
+    assert n[4.0] < 6 * n[1.0] and n[16.0] < 6 * n[4.0]  # the area grows sixteenfold
+    default = zone_cells(zones, ["e"], "shape", 0.05).count()
+    assert default < 2000 and default < n[16.0] / 5
+
+
+def test_one_zone_a_thousand_times_the_size_of_the_others(spark):
+    shapes = [_circle(0.1 * k, 0.0, 0.01, 12) for k in range(20)] + [_circle(0.0, 0.0, 10.0, 400)]
+    points = [(x / 4, y / 4) for x, y in itertools.product(range(-45, 46, 3), repeat=2)] + [(0.1 * k, 0.001) for k in range(20)]
+    points = [p for p in points if not 9.99 < math.hypot(*p) < 10.01]
+    got = _points_inside(spark, shapes, points, 0.02)
+    assert got == sorted(((x, y) for x, y in points if math.hypot(x, y) < 9.99), key=repr)
+
+
+def _winding(point, ring):
+    """Turns of a ring seen from a point of the unit sphere."""
+
+    def direction(lon, lat):
+        a, b = math.radians(lon), math.radians(lat)
+        return (math.cos(b) * math.cos(a), math.cos(b) * math.sin(a), math.sin(b))
+
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    p, corners = direction(*point), [direction(*c) for c in ring]
+    total = sum(math.atan2(dot(p, cross(a, b)), dot(a, b) - dot(a, p) * dot(b, p)) for a, b in zip(corners, corners[1:] + corners[:1]))
+    return round(total / (2 * math.pi)) if dot(p, corners[0]) > 0 else 0
+
+
+def _inside_on_sphere(spark, shapes, points, cell_size=0.01):
+    zones = zones_on_sphere(spark.createDataFrame([("e", s) for s in shapes], f"e string, shape {SHAPE}"), "shape")
+    cells = zone_cells(zones, ["e", "_side"], "shape", cell_size)
+    pts = spark.createDataFrame([("e", x, y) for x, y in points], "e string, lon double, lat double")
+    return tuples(points_in_zones_on_sphere(pts, cells, ["e"], cell_size), "lon", "lat")
+
+
+ON_SPHERE = {
+    "date line": [(178.0, -2.0), (-177.0, -2.0), (-177.0, 3.0), (178.0, 3.0)],
+    "long northern side": [(0.0, 60.0), (28.0, 60.0), (28.0, 62.0), (0.0, 62.0)],
+    "pole": [(0.0, 82.0), (90.0, 84.0), (180.0, 82.0), (-90.0, 85.0)],
+    "corner of the cube": [(40.0, 30.0), (52.0, 31.0), (50.0, 40.0), (39.0, 41.0)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ON_SPHERE))
+def test_zones_on_the_sphere(spark, name):
+    ring = ON_SPHERE[name]
+    r = random.Random(7)
+    points = [((lon + r.uniform(-4, 4) + 540) % 360 - 180, min(90.0, lat + r.uniform(-4, 4))) for lon, lat in ring for _ in range(120)]
+    points += [(r.uniform(-180, 180), r.uniform(-90, 90)) for _ in range(100)] + [(None, 1.0), (180.0, 0.0), (-180.0, 0.0), (14.0, 60.5), (14.0, 62.3)]
+    known = [p for p in points if p[0] is not None]
+    expected = sorted((p for p in known if _winding(p, ring)), key=repr)
+    assert _inside_on_sphere(spark, [[ring]], points) == expected and expected
+    if name == "long northern side":
+        # A great circle between two places of one latitude runs north of it.
+        assert (14.0, 60.5) not in expected and (14.0, 62.3) in expected
+    if name == "date line":
+        assert (180.0, 0.0) in expected and (-180.0, 0.0) in expected
+
+
+def test_sphere_and_plane_agree_for_a_small_zone_and_wide_ones_are_refused(spark):
+    star = [[(0.0, 0.0), (0.05, 0.01), (0.09, -0.02), (0.07, 0.03), (0.1, 0.07), (0.05, 0.05), (0.01, 0.08), (0.03, 0.035)]]
+    points = [(x / 301, y / 301) for x, y in itertools.product(range(-3, 33, 2), range(-9, 27, 2))]
+    assert _inside_on_sphere(spark, [star], points, 0.0001) == _points_inside(spark, [star], points, 0.005)
+    with pytest.raises(Exception, match="wider than 30"):
+        _inside_on_sphere(spark, [[[(0.0, 0.0), (40.0, 0.0), (0.0, 10.0)]]], points)
 
 
 def test_repeated_keys(spark):
@@ -230,7 +311,7 @@ def test_zones_of_one_country_are_gridded_in_many_tasks(spark):
     """All zones in one row, as a country comes: cells come out of several tasks, none with more than half of them."""
     square = lambda x: [[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]]
     row = spark.createDataFrame([("e", [square(float(k)) for k in range(60)])], f"e string, zones array<{SHAPE}>").coalesce(1)
-    cells = zone_cells(row.select("e", F.explode("zones").alias("shape")), ["e"], "shape", 0.1)
+    cells = zone_cells(row.select("e", F.explode("zones").alias("shape")), ["e"], "shape", 0.1, few_sides=0)
     per_task = [r["n"] for r in cells.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(per_task) > 1 and max(per_task) < 0.5 * sum(per_task) * 1.2
-    assert sum(per_task) >= 60 * 100
+    assert sum(per_task) >= 60 * 40
