@@ -9,8 +9,10 @@
    the one with the least hash, for each of several seeds), at most ``hubs`` per node, best overlap first. Pairs pass if the sketch of their union estimates enough similarity, and are then
    decided by exact Jaccard of the full sets. Links make components. A second round with other hubs does the same for
    members that are not in the component of their hub yet.
-4. Only pairs of one list whose ends are still in different components can matter now. All of them are generated and decided
-   likewise, so no link between components is lost; in a large group of near copies few are left.
+4. Only pairs of one list whose ends are still in different components can matter now. They are compared inside the join of
+   the lists, so only those come out that may be links: a parity signature of each full set (bit h mod 1024 says whether an odd number
+   of its shingles have hash h) differs in at most as many bits as the sets differ in shingles, which excludes nearly all
+   pairs below the limit and no link. A pair comes out of the first list that both are in. What comes out is decided as in 3.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 
 The allowance in 2 and 3 is ``slack`` standard deviations of a bottom-k estimate. With 4.5, k = 64 and sets well above 64 shingles, a
@@ -37,9 +39,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from elastiq.llm.common import fresh, let
+from elastiq.llm.graph import components
 from elastiq.sources.staging import stage
 
 _PIECE = 1 << 20
+# Bits of a parity signature, kept as 64-bit words.
+_SIGNATURE = 1024
+_WORDS = [f"s{k}" for k in range(_SIGNATURE // 64)]
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -97,36 +103,44 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def parity_signature(own: np.ndarray) -> np.ndarray:
+    """A bit per residue of the hashes: whether an odd number of them has it."""
+    counts = np.bincount((own % np.uint64(_SIGNATURE)).astype(np.int64), minlength=_SIGNATURE)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _bytes(cell: pa.Scalar) -> bytes:
     buffer = cell.as_buffer()
     return buffer.to_pybytes() if buffer is not None else b""
 
 
 def sketch_texts(docs: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest (of the set), sketch (the smallest hashes, ascending)."""
+    """doc_id, text_hash, n_shingles, digest (of the set), sketch (the smallest hashes, ascending), signature (of the parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, sketches = [], [], []
+            sizes, digests, sketches, signatures = [], [], [], []
             for cell in batch["text"]:
                 own = shingle_set(_bytes(cell), limits.width)
                 sizes.append(own.size)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sketches.append((own[: limits.k] ^ np.uint64(1 << 63)).view(np.int64))
+                signatures.append(parity_signature(own))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n_shingles", "digest", "sketch"],
+                 pa.array(sketches, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "digest", "sketch", "signature"],
             )
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, sketch array<bigint>")
+    found = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, sketch array<bigint>, signature array<bigint>"
+    return texts.mapInArrow(run, found)
 
 
 def retained_lists(nodes: DataFrame, limits: Limits) -> DataFrame:
-    """v, node, n, common: the nodes under the rarest of their retained values, without values that only one node retains.
+    """v, node, n, place, common: the nodes under the rarest of their retained values, without values that only one node retains.
 
-    ``common`` says in eighths of a sketch how many of a node's values others retain too.
+    ``place`` is that of the value in one order of all values; ``common`` says in eighths of a sketch how many of a node's values others retain too.
     """
     values = nodes.select("node", "n", F.size("sketch").alias("values"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -137,7 +151,7 @@ def retained_lists(nodes: DataFrame, limits: Limits) -> DataFrame:
     values = values.withColumn("alone", F.col("values") - F.count(F.lit(1)).over(own))
     values = values.withColumn("place", F.row_number().over(own.orderBy("df", "v")) + F.col("alone"))
     common = F.floor((F.col("values") - F.col("alone")) * 8 / limits.k).alias("common")
-    return values.filter(F.col("place") <= F.get(table, F.col("values"))).select("v", "node", "n", common)
+    return values.filter(F.col("place") <= F.get(table, F.col("values"))).select("v", "node", "n", "place", common)
 
 
 def _similar_sizes(a: Column, b: Column, limits: Limits) -> Column:
@@ -154,7 +168,7 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
         at = lists.withColumn("component", F.col("node"))
     else:
         at = lists.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
-        at = at.select("v", "node", "n", "common", F.coalesce("component", "node").alias("component"))
+        at = at.select("v", "node", "n", "place", "common", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     return at.join(mixed.select("v"), "v", "left_semi")
 
@@ -176,11 +190,24 @@ def hub_pairs(lists: DataFrame, limits: Limits, seed: int = 0) -> DataFrame:
     return _in_order(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct()
 
 
-def crossing_pairs(lists: DataFrame, limits: Limits) -> DataFrame:
-    """All pairs of a list that lie in different components."""
-    other = lists.select(F.col("v").alias("v_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-    test = (F.col("v") == F.col("v_b")) & (F.col("component") < F.col("other")) & _similar_sizes(F.col("n"), F.col("n_b"), limits)
-    return _in_order(lists.join(other, test).select(F.col("node").alias("a"), "b")).distinct()
+def crossing_pairs(open_lists: DataFrame, lists: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
+    """The pairs of the open lists that lie in different components and whose signatures don't exclude a link, once each."""
+    used = open_lists.select(F.col("node").alias("used")).distinct()
+    own = lists.join(used, F.col("node") == F.col("used"), "left_semi").groupBy("node")
+    prefixes = own.agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("p"))
+    prefixes = prefixes.select(F.col("node").alias("own"), F.col("p.v").alias("prefix"))
+    words = [F.col("signature")[k].alias(c) for k, c in enumerate(_WORDS)]
+    facts = prefixes.join(nodes.select("node", *words), F.col("own") == F.col("node")).drop("node")
+    rows = open_lists.join(facts, F.col("node") == F.col("own")).select("v", "node", "n", "component", "prefix", *_WORDS)
+    rows = stage(rows.withColumn("before", F.array_position("prefix", F.col("v")).cast("int") - 1), "near-crossing")
+
+    other = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _WORDS), F.lit(0))
+    possible = differing * (100 + limits.percent) <= (F.col("n") + F.col("n_b")) * (100 - limits.percent)
+    earlier = F.arrays_overlap(F.slice("prefix", 1, F.col("before")), F.slice("prefix_b", 1, F.col("before_b")))
+    test = (F.col("v") == F.col("v_b")) & (F.col("component") < F.col("component_b"))
+    test = test & _similar_sizes(F.col("n"), F.col("n_b"), limits) & possible & ~earlier
+    return _in_order(rows.join(other, test).select(F.col("node").alias("a"), F.col("node_b").alias("b")))
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
@@ -228,54 +255,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node with a link (a, b), by large-star and small-star rounds."""
-
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "m").cast("decimal(38,0)"))).first())
-
-    edges = stage(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m")).distinct(), "near-edges")
-    of_node = Window.partitionBy("u")
-    before, now = None, state(edges)
-    while now != before:
-        # Large star: all larger neighbours of a node point to the least of the node and its neighbours.
-        both = edges.select("u", F.col("m").alias("v")).unionByName(edges.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(of_node), "u")).filter("v > u").select(F.col("v").alias("u"), "m")
-        # Small star: a node and all its smaller neighbours point to the least of them.
-        small = large.withColumn("least", F.min("m").over(of_node))
-        ends = F.when(F.col("m") == F.col("least"), F.col("u")).otherwise(F.col("m"))
-        moved = small.select(F.explode(F.array_distinct(F.array("u", ends))).alias("u"), F.col("least").alias("m"))
-        edges = stage(moved.distinct(), "near-edges")
-        before, now = now, state(edges)
-    stars = edges.select(F.col("u").alias("node"), F.col("m").alias("component"))
-    return stars.unionByName(edges.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
-
-
 def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
     rows = stage(sketch_texts(docs, limits), "near-sketches")
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("signature").alias("signature")
     )
     classes = stage(classes, "near-classes")
-    nodes = classes.filter("node is not null").select("node", "n", "sketch")
+    nodes = classes.filter("node is not null").select("node", "n", "sketch", "signature")
     lists = stage(retained_lists(nodes, limits), "near-lists")
 
     # Few texts are in a list with others; only theirs are needed from here on, so the corpus is shuffled once.
     listed = stage(_labelled(lists, None).select(F.col("node").alias("used")).distinct(), "near-listed")
     texts = stage(texts_of(listed.withColumnRenamed("used", "node"), docs), "near-texts")
     nodes = stage(nodes.join(listed, F.col("node") == F.col("used"), "left_semi"), "near-listed-nodes")
-    labels = tested = None
+    labels = None
     for seed in range(limits.rounds + 1):
         at = stage(_labelled(lists, labels), "near-open-lists")
-        pairs = hub_pairs(at, limits, seed) if seed < limits.rounds else crossing_pairs(at, limits)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "near-pairs")
+        pairs = hub_pairs(at, limits, seed) if seed < limits.rounds else crossing_pairs(at, lists, nodes, limits)
         found = stage(confirmed(stage(estimated(pairs, nodes, limits), "near-likely"), texts, limits), "near-links")
         # Components found so far go on as stars.
         links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        tested = pairs if tested is None else tested.unionByName(pairs)
         labels = stage(components(links), "near-labels")
 
     ids = classes.select(F.col("digest").alias("own"), "node").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")

@@ -2,6 +2,10 @@ import random
 
 from helpers import documents, near_components, prose, shingles
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from elastiq.llm import neardup
 from elastiq.llm.neardup import Limits
 
@@ -37,8 +41,9 @@ def test_large_group_leaves_next_to_nothing_for_the_second_round(spark):
     rows = [(k, edited(prose(5, 200), k, 6)) for k in range(150)]
     limits = Limits(width=2)
     docs = documents(spark, rows)
-    nodes = neardup.sketch_texts(docs, limits).selectExpr("doc_id as node", "n_shingles as n", "sketch")
-    lists = neardup._labelled(neardup.retained_lists(nodes, limits), None).cache()
+    nodes = neardup.sketch_texts(docs, limits).selectExpr("doc_id as node", "n_shingles as n", "sketch", "signature")
+    whole = neardup.retained_lists(nodes, limits).cache()
+    lists = neardup._labelled(whole, None).cache()
     links = tested = None
     for seed in range(limits.rounds):
         pairs = neardup.hub_pairs(lists, limits, seed).cache()
@@ -46,10 +51,38 @@ def test_large_group_leaves_next_to_nothing_for_the_second_round(spark):
         found = neardup.confirmed(neardup.estimated(pairs, nodes, limits), neardup.texts_of(nodes, docs), limits)
         links = found if links is None else links.union(found)
         lists = neardup._labelled(lists.drop("component"), neardup.components(links)).cache()
-    assert neardup.crossing_pairs(lists, limits).count() <= 150 * 5
+    assert neardup.crossing_pairs(lists, whole, nodes, limits).count() <= 150 * 5
     assert {r.component_id for r in neardup.near_duplicates(docs, limits).collect()} == set(near_components(rows, 2).values())
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.integers(0, 300))
+def test_signatures_differ_in_no_more_bits_than_sets_in_values(one, more, drop):
+    two = set(sorted(one)[drop:]) | more
+    signatures = [neardup.parity_signature(np.array(sorted(s), np.uint64)) for s in (one, two)]
+    differing = sum(int(x).bit_count() for x in (signatures[0] ^ signatures[1]).view(np.uint64))
+    assert differing <= len(one ^ two)
+    if len(one ^ two) <= 30:
+        assert differing >= len(one ^ two) // 3  # and in hardly fewer where they are few
+
+
+def test_pairs_below_the_limit_do_not_leave_the_join(spark):
+    """A group of near copies of which most pairs lie between 0.6 and 0.8: few come out of the lists, and no link is lost."""
+    base = prose(41, 160, 4000)
+    rows = [(k, edited(base, k, 8 + k % 6)) for k in range(200)] + [(1000 + k, edited(edited(base, k, 8), 900 + k, 1)) for k in range(40)]
+    limits = Limits(width=2)
+    nodes = neardup.sketch_texts(documents(spark, rows), limits).selectExpr("doc_id as node", "n_shingles as n", "sketch", "signature").cache()
+    lists = neardup.retained_lists(nodes, limits).cache()
+    pairs = {tuple(r) for r in neardup.crossing_pairs(neardup._labelled(lists, None), lists, nodes, limits).collect()}
+    sets = {i: shingles(t, 2) for i, t in rows}
+    similarity = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    middle = [p for p, j in similarity.items() if 0.6 <= j < 0.8]
+    assert len(middle) > len(similarity) / 2 and len(pairs) < len(similarity) / 10
+    assert {p for p, j in similarity.items() if j >= 0.8} <= pairs
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, rows), limits).collect()}
+    assert got == near_components(rows, 2)
+
+
 def test_components_of_long_chains(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 99), (99, 98), (7, 7)]
     got = neardup.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()

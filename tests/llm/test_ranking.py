@@ -7,7 +7,7 @@ import pytest
 
 from elastiq.llm import ranking
 from elastiq.llm.ranking import Block, Corpus, Limits, Query
-from tests.llm.helpers import EXTRA, documents, prose
+from helpers import EXTRA, documents, prose
 
 ITEMS = f"item_id bigint, text string, {EXTRA.replace('component_id', 'doc_id').replace('kept_id', 'number')}"
 
