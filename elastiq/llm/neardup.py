@@ -12,9 +12,11 @@
 4. Only pairs of one list whose ends are still in different components can matter now. They are compared inside the join of
    the lists, so only those come out that may be links: a parity signature of each full set (bit h mod 1024 says whether an odd number
    of its shingles have hash h) differs in at most as many bits as the sets differ in shingles, which excludes nearly all
-   pairs below the limit and no link. A pair comes out of the first list that both are in. What comes out is decided as in 3.
+   pairs below the limit and no link. A pair comes out of the first open list that both are in. What comes out is decided as in 3.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 
+Sketches and texts are fetched for the ends of pairs only, through a sieve of the wanted ids, so the corpus is never shuffled.
+
 The allowance in 2 and 3 is ``slack`` standard deviations of a bottom-k estimate. With 4.5, k = 64 and sets well above 64 shingles, a
 pair exactly at the limit is missed in 3 (fewer than 37 of 64 values) with a chance of 1.4e-5 and in 2 (fewer than 36) of up to 4.2e-6,
 by the binomial tail; pairs that are more alike are missed less often. Sets of up to 0.8 ``k`` shingles are compared without any loss.
@@ -40,6 +42,7 @@ from pyspark.sql.window import Window
 
 from elastiq.llm.common import fresh, let
 from elastiq.llm.graph import components
+from elastiq.llm.sieve import sieved
 from elastiq.sources.staging import stage
 
 _PIECE = 1 << 20
@@ -190,28 +193,34 @@ def hub_pairs(lists: DataFrame, limits: Limits, seed: int = 0) -> DataFrame:
     return _in_order(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct()
 
 
-def crossing_pairs(open_lists: DataFrame, lists: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
+
+
+def crossing_pairs(open_lists: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
     """The pairs of the open lists that lie in different components and whose signatures don't exclude a link, once each."""
-    used = open_lists.select(F.col("node").alias("used")).distinct()
-    own = lists.join(used, F.col("node") == F.col("used"), "left_semi").groupBy("node")
-    prefixes = own.agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("p"))
-    prefixes = prefixes.select(F.col("node").alias("own"), F.col("p.v").alias("prefix"))
+    own = open_lists.groupBy("node", "n", "component").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    own = stage(own, "near-crossing")
     words = [F.col("signature")[k].alias(c) for k, c in enumerate(_WORDS)]
-    facts = prefixes.join(nodes.select("node", *words), F.col("own") == F.col("node")).drop("node")
-    rows = open_lists.join(facts, F.col("node") == F.col("own")).select("v", "node", "n", "component", "prefix", *_WORDS)
-    rows = stage(rows.withColumn("before", F.array_position("prefix", F.col("v")).cast("int") - 1), "near-crossing")
-
-    other = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _WORDS), F.lit(0))
-    possible = differing * (100 + limits.percent) <= (F.col("n") + F.col("n_b")) * (100 - limits.percent)
-    earlier = F.arrays_overlap(F.slice("prefix", 1, F.col("before")), F.slice("prefix_b", 1, F.col("before_b")))
-    test = (F.col("v") == F.col("v_b")) & (F.col("component") < F.col("component_b"))
-    test = test & _similar_sizes(F.col("n"), F.col("n_b"), limits) & possible & ~earlier
-    return _in_order(rows.join(other, test).select(F.col("node").alias("a"), F.col("node_b").alias("b")))
+    facts = sieved(nodes, "node", own.select(F.col("node").alias("used")).distinct())
+    facts = facts.select(F.col("node").alias("own"), F.col("n").alias("own_n"), *words)
+    own = own.join(facts, (F.col("node") == F.col("own")) & (F.col("n") == F.col("own_n")))
+    rows = own.select("node", "n", "component", "values", *_WORDS, F.posexplode("values").alias("place", "v"))
+    rows = rows.withColumn("before", F.slice("values", F.lit(1), F.col("place"))).drop("values", "place")
+
+    # Both sides are renamed alike, so that Spark shuffles the lists once and reads them twice.
+    one, two = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
+    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _WORDS), F.lit(0))
+    possible = differing * (100 + limits.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - limits.percent)
+    earlier = F.arrays_overlap("before_a", "before_b")
+    test = (F.col("v_a") == F.col("v_b")) & (F.col("component_a") < F.col("component_b"))
+    test = test & _similar_sizes(F.col("n_a"), F.col("n_b"), limits) & possible & ~earlier
+    return _in_order(one.join(two, test).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
     """Pairs that may be similar enough by the sketch of their union."""
+    nodes = sieved(nodes, "node", _ends(pairs))
     one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     both = pairs.join(one, "a").join(two, "b")
@@ -224,16 +233,13 @@ def estimated(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, text of the given nodes."""
-    used = nodes.select(F.col("node").alias("used")).distinct()
+    """node, text of the given nodes and a few others."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
-    return texts.join(used, F.col("node") == F.col("used"), "left_semi")
+    return sieved(texts, "node", nodes.select(F.col("node").alias("used")).distinct())
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
     """The pairs whose full sets are similar enough. Sets are made anew from the texts (node, text) of the pairs' nodes."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
-    texts = texts.join(used, F.col("node") == F.col("used"), "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,15 +271,13 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     nodes = classes.filter("node is not null").select("node", "n", "sketch", "signature")
     lists = stage(retained_lists(nodes, limits), "near-lists")
 
-    # Few texts are in a list with others; only theirs are needed from here on, so the corpus is shuffled once.
-    listed = stage(_labelled(lists, None).select(F.col("node").alias("used")).distinct(), "near-listed")
-    texts = stage(texts_of(listed.withColumnRenamed("used", "node"), docs), "near-texts")
-    nodes = stage(nodes.join(listed, F.col("node") == F.col("used"), "left_semi"), "near-listed-nodes")
     labels = None
     for seed in range(limits.rounds + 1):
         at = stage(_labelled(lists, labels), "near-open-lists")
-        pairs = hub_pairs(at, limits, seed) if seed < limits.rounds else crossing_pairs(at, lists, nodes, limits)
-        found = stage(confirmed(stage(estimated(pairs, nodes, limits), "near-likely"), texts, limits), "near-links")
+        pairs = hub_pairs(at, limits, seed) if seed < limits.rounds else crossing_pairs(at, nodes, limits)
+        likely = stage(estimated(stage(pairs, "near-pairs"), nodes, limits), "near-likely")
+        texts = texts_of(_ends(likely).withColumnRenamed("used", "node"), docs)
+        found = stage(confirmed(likely, texts, limits), "near-links")
         # Components found so far go on as stars.
         links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = stage(components(links), "near-labels")

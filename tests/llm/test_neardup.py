@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from elastiq.llm import neardup
 from elastiq.llm.neardup import Limits
+from elastiq.llm.sieve import sieved
 
 
 def edited(text, seed, edits):
@@ -42,8 +43,7 @@ def test_large_group_leaves_next_to_nothing_for_the_second_round(spark):
     limits = Limits(width=2)
     docs = documents(spark, rows)
     nodes = neardup.sketch_texts(docs, limits).selectExpr("doc_id as node", "n_shingles as n", "sketch", "signature")
-    whole = neardup.retained_lists(nodes, limits).cache()
-    lists = neardup._labelled(whole, None).cache()
+    lists = neardup._labelled(neardup.retained_lists(nodes, limits), None).cache()
     links = tested = None
     for seed in range(limits.rounds):
         pairs = neardup.hub_pairs(lists, limits, seed).cache()
@@ -51,7 +51,7 @@ def test_large_group_leaves_next_to_nothing_for_the_second_round(spark):
         found = neardup.confirmed(neardup.estimated(pairs, nodes, limits), neardup.texts_of(nodes, docs), limits)
         links = found if links is None else links.union(found)
         lists = neardup._labelled(lists.drop("component"), neardup.components(links)).cache()
-    assert neardup.crossing_pairs(lists, whole, nodes, limits).count() <= 150 * 5
+    assert neardup.crossing_pairs(lists, nodes, limits).count() <= 150 * 5
     assert {r.component_id for r in neardup.near_duplicates(docs, limits).collect()} == set(near_components(rows, 2).values())
 
 
@@ -73,7 +73,7 @@ def test_pairs_below_the_limit_do_not_leave_the_join(spark):
     limits = Limits(width=2)
     nodes = neardup.sketch_texts(documents(spark, rows), limits).selectExpr("doc_id as node", "n_shingles as n", "sketch", "signature").cache()
     lists = neardup.retained_lists(nodes, limits).cache()
-    pairs = {tuple(r) for r in neardup.crossing_pairs(neardup._labelled(lists, None), lists, nodes, limits).collect()}
+    pairs = {tuple(r) for r in neardup.crossing_pairs(neardup._labelled(lists, None), nodes, limits).collect()}
     sets = {i: shingles(t, 2) for i, t in rows}
     similarity = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
     middle = [p for p, j in similarity.items() if 0.6 <= j < 0.8]
@@ -110,3 +110,12 @@ def test_prefix_covers_what_similar_sets_must_share():
     limits = Limits()
     assert all(1 <= limits.least_shared(k) <= k and limits.prefix(k) == k - limits.least_shared(k) + 1 for k in range(1, 65))
     assert limits.prefix(10) == 3
+
+
+def test_the_sieve_lets_wanted_rows_and_few_others_through(spark):
+    rows = spark.range(20000).selectExpr("if(id = 19999, null, id) as doc_id", "id % 7 as size")
+    wanted = spark.range(0, 20000, 10).toDF("doc_id")
+    got = [r.doc_id for r in sieved(rows, "doc_id", wanted).collect()]
+    assert set(range(0, 20000, 10)) <= set(got) and len(got) == len(set(got)) and None not in got
+    assert len(got) - 2000 < 18000 * 0.06
+    assert sieved(rows, "doc_id", wanted.limit(0)).collect() == [] and sieved(rows.limit(0), "doc_id", wanted).collect() == []
