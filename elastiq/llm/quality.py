@@ -2,8 +2,9 @@
 
 Only DataFrame functions. Lines are normalised (lower case, white space and digits made alike), hashed, and for every
 host (the column ``source``) the distinct documents with a line are counted. A document is a text here: exact copies
-count once, so that copies alone never empty a document. Lines in more documents of their host than both limits
-are boilerplate and go; a document that keeps too few words is rejected, as is one that fails a base rule.
+count once, so that copies alone never empty a document. Lines in more than ``least_share`` of their host's documents (and in
+more than a few) are boilerplate and go, so a host twice as large loses the same lines; a document that keeps too few words is
+rejected, as is one that fails a base rule.
 
 The text is read once. Its counts and the hashes of its lines are written to the shared folder and counted with partial
 aggregation, so a line or host with a third of all rows arrives as one row per task.
@@ -97,8 +98,8 @@ def frequent_lines(counts: DataFrame, least_documents: int, least_share: float)
 
 def judge(
     docs: DataFrame,
-    least_documents: int = 100,
-    least_share: float = 0.001,
+    least_documents: int = 3,
+    least_share: float = 0.05,
     least_words: int = 20,
     most_removed: float = 0.5,
 ) -> DataFrame:

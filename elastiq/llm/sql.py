@@ -83,7 +83,7 @@ frequent AS (
     SELECT source AS host, norm
     FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY ALL) AS l
     JOIN hosts ON host IS NOT DISTINCT FROM source
-    WHERE l.n > 100 AND l.n > 0.001 * hosts.n
+    WHERE l.n > 3 AND l.n > 0.05 * hosts.n
 ),
 removed AS (
     SELECT doc_id, sum(n) AS n FROM lines JOIN frequent ON host IS NOT DISTINCT FROM source AND lines.norm = frequent.norm

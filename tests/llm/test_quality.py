@@ -56,10 +56,11 @@ def test_empty_table(spark):
 def test_query_equals_sql_where_lines_go_and_documents_are_depleted(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     line = "All rights reserved and so on 2023"
-    rows = [(k, f"{prose(k, 30)}\n{line}", "hot") for k in range(101)]
+    rows = [(k, f"{prose(k, 30)}\n{line}", "hot") for k in range(20)]
     rows += [(200 + k, f"{prose(200 + k, 17)}\n{line}", "hot") for k in range(3)]  # too few words stay
     rows += [(300 + k, f"{prose(300 + k, 25)}\n" + f"{line}\n" * 5, "hot") for k in range(3)]
-    rows += [(400 + k, f"{prose(400 + k, 17)}\n{line}", "cold") for k in range(100)]  # at the limit, not above
+    rows += [(400 + k, prose(400 + k, 17) + (f"\n{line}" if k < 5 else " a b c d e f g"), "cold") for k in range(100)]  # at the share, not above
+    rows += [(600 + k, f"{prose(600 + k, 17)}\n{line}", "small") for k in range(3)]  # at the floor, not above
     path = str(tmp_path / "documents.parquet")
     documents(spark, rows, extra=False).write.parquet(path)
     con = duckdb.connect()
@@ -67,5 +68,20 @@ def test_query_equals_sql_where_lines_go_and_documents_are_depleted(spark, tmp_p
     want = con.sql(sql.SQL["op6_line_quality"]).fetchall()
     got = queries.op6_line_quality(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    assert {r.doc_id for r in got if not r.base_failed and not r.kept} >= {200, 201, 202}
-    assert all(r.kept for r in got if r.doc_id < 101 or r.doc_id >= 400)
+    assert {r.doc_id for r in got if not r.base_failed and not r.kept} == {200, 201, 202}
+
+
+def test_more_hosts_change_no_verdict(spark):
+    line = "Share this page with friends"
+    rows = [(k, prose(k, 18) + (f"\n{line}" if k % 9 == 0 else " one two three"), "h") for k in range(90)]
+    again = [(1000 + k, text, f"{host}{n}") for n in range(2) for k, text, host in rows]
+    verdicts = lambda rs: {(r.doc_id % 1000, r.words_removed, r.kept) for r in quality.judge(documents(spark, rs)).collect()}
+    assert verdicts(rows) == verdicts([*rows, *again]) and {k for k, _, kept in verdicts(rows) if not kept} == set(range(0, 90, 9))
+
+
+def test_a_larger_host_with_the_same_shares_loses_the_same_lines(spark):
+    line = "Share this page with friends"
+    make = lambda n: [(k, prose(k, 30) + (f"\n{line}" if k % 9 == 0 else ""), "h") for k in range(n)]
+    for n in (45, 90, 450):
+        got = quality.judge(documents(spark, make(n))).collect()
+        assert {r.doc_id for r in got if r.words_removed} == set(range(0, n, 9))
