@@ -94,6 +94,8 @@ def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE],
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
+        *[F.size(F.filter("spans", lambda x, v=v: x["verdict"] == v)).cast("bigint").alias(f"n_{v}") for v in secrets.VERDICTS],
+        secrets.verdicts(F.col("spans")).alias("verdicts"),
     )
 
 

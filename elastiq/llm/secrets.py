@@ -2,19 +2,21 @@
 
 Only DataFrame functions. Patterns give candidates; what tells an example from a credential is who has it. Every
 candidate's hash is counted over the corpus: in how many documents (repositories) and for how many sources (owners) it
-occurs. One that several owners have, or that stands in very many documents of fewer owners, is a widely copied example; one that
-looks random and belongs to one owner, or to two in few documents, is live.
+occurs. One that several owners have is a widely copied example. One that looks random and belongs to one owner is live, however
+many documents of that owner repeat it; so is one of which a second owner has only a small share of the documents. Verdicts depend
+on owners and shares alone, so they are the same in a corpus of any size.
 
 The patterns of ``BASE`` always count. The wide pattern ``owned`` (long runs that mix digits, small and
 capital letters) would be noise alone: it only counts where ownership says live, and outside base spans.
 
 Positions come from splitting a text at its matches: lengths of what lies before, summed by a window over the
-matches of one document. Texts without a match never leave the scan. Ownership is counted in three steps, each with partial
+matches of one document. Spans in order of their start tell by running limits which wide ones a base span covers, so a text full of
+keys takes no pairs of spans. Texts without a match never leave the scan. Ownership is counted in three steps, each with partial
 aggregation, so a value that a third of all documents have is a few rows per task.
 
 Defined results: null text is empty and has no span; a null source is an owner of its own; equal rows count as one
 document and have equal results; a null doc_id is a document of its own per text; other columns are ignored; an empty
-table gives an empty result.
+table gives an empty result. Long texts are searched whole, with memory for one text and its spans.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ _ASSIGN = (
 BASE = {"assign": (_ASSIGN, 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]{16,}", 0, 16)}
 WIDE = {"owned": (r"[A-Za-z0-9+/_-]{20,}", 0, 20)}
 KINDS = {**BASE, **WIDE}
+VERDICTS = ("live", "shared", "example")
 _KEY = ["doc_id", "text_hash"]
 
 
@@ -67,32 +70,37 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """secret_hash, n_owners, n_documents over the corpus."""
+    """secret_hash, n_owners, n_documents over the corpus, and the documents of the owner that has most."""
     own = found.groupBy("secret_hash", "source", *_KEY).agg(F.count(F.lit(1)).alias("n"))
     own = own.groupBy("secret_hash", "source").agg(F.count(F.lit(1)).alias("n"))
-    return own.groupBy("secret_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_documents"))
+    most = F.max("n").alias("n_most")
+    return own.groupBy("secret_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_documents"), most)
 
 
-def find_secrets(docs: DataFrame, example_owners: int = 3, example_documents: int = 1000, few_documents: int = 10) -> DataFrame:
-    """doc_id, text_hash and ``spans``: kind, start, stop, verdict, in order; only documents that have some.
+def find_secrets(docs: DataFrame, example_owners: int = 3, main_share: float = 0.75) -> DataFrame:
+    """doc_id, text_hash and ``spans``: kind, start, stop, verdict, n_owners, n_documents, in order; only documents that have some.
 
-    verdict: ``example`` if at least ``example_owners`` sources or ``example_documents`` documents have the value, ``live`` if it
-    looks random and one source has it, or two have it in at most ``few_documents`` documents, else ``shared``.
+    verdict: ``example`` if at least ``example_owners`` sources have the value; ``live`` if fewer do, it looks random, and one
+    of them has at least ``main_share`` of the documents with it; else ``shared``.
     """
     found = stage(candidates(docs).withColumn("secret_hash", F.sha2("secret", 256)), "secret-candidates")
     owned = stage(ownership(found), "secret-owners")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     random = (F.size(F.array_distinct(F.split("secret", ""))) >= 8) & F.col("secret").rlike("[0-9]")
-    example = (F.col("n_owners") >= example_owners) | (F.col("n_documents") >= example_documents)
-    few = (F.col("n_owners") == 1) | ((F.col("n_owners") == 2) & (F.col("n_documents") <= few_documents))
-    verdict = F.when(example, "example").when(few & random, "live").otherwise("shared")
-    span = F.struct("start", order.alias("rank"), "stop", "kind", verdict.alias("verdict"))
-    rows = found.join(owned, "secret_hash").select(*_KEY, span.alias("span"))
-    rows = rows.filter((F.col("span.kind") != "owned") | (F.col("span.verdict") == "live"))
-    rows = rows.groupBy(*_KEY).agg(F.sort_array(F.collect_set("span")).alias("all"))
-    base = F.filter("all", lambda x: x["kind"] != "owned")
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    return rows.withColumn("spans", F.filter("all", lambda x: (x["kind"] != "owned") | free(x))).select(*_KEY, "spans")
+    main = F.col("n_most") >= main_share * F.col("n_documents")
+    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(main & random, "live").otherwise("shared")
+    rows = found.join(owned, "secret_hash").withColumn("verdict", verdict)
+    rows = rows.filter((F.col("kind") != "owned") | (F.col("verdict") == "live"))
+    # A wide span is free if no base span that starts before it reaches into it, and none that starts later starts inside.
+    own = Window.partitionBy(*_KEY).orderBy("start")
+    base = F.col("kind") != "owned"
+    reached = F.max(F.when(base, F.col("stop"))).over(own.rangeBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(base, F.col("start"))).over(own.rangeBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("reached", reached).withColumn("following", following)
+    covered = (F.col("reached") > F.col("start")) | (F.col("following") < F.col("stop"))
+    rows = rows.filter(base | ~F.coalesce(covered, F.lit(False)))
+    span = F.struct("start", order.alias("rank"), "stop", "kind", "verdict", "n_owners", "n_documents")
+    return rows.groupBy(*_KEY).agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 def with_spans(docs: DataFrame, example_owners: int = 3) -> DataFrame:
@@ -101,7 +109,7 @@ def with_spans(docs: DataFrame, example_owners: int = 3) -> DataFrame:
     found = found.select(F.col("doc_id").alias("id_s"), F.col("text_hash").alias("hash_s"), "spans")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
     same = rows["doc_id"].eqNullSafe(found["id_s"]) & (rows["text_hash"] == found["hash_s"])
-    kind = "array<struct<start:bigint,rank:bigint,stop:bigint,kind:string,verdict:string>>"
+    kind = "array<struct<start:bigint,rank:bigint,stop:bigint,kind:string,verdict:string,n_owners:bigint,n_documents:bigint>>"
     return rows.join(found, same, "left").select("doc_id", "text_hash", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
@@ -110,6 +118,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
 
 
+def verdicts(spans: Column) -> Column:
+    """verdict:owners:documents of each span, in order, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["verdict"], x["n_owners"], x["n_documents"])), ",")
+
+
 def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """The text with its spans replaced by a mark, overlapping ones by one mark."""
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))

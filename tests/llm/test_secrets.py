@@ -1,3 +1,7 @@
+import random
+import re
+
+import pytest
 from helpers import base_secrets, documents, prose
 
 from elastiq.llm import secrets
@@ -59,11 +63,66 @@ def test_empty_table(spark):
     assert secrets.with_spans(docs).collect() == [] and secrets.redact(docs).collect() == []
 
 
-def test_the_verdict_reads_documents_and_owners(spark):
-    rows = [(k, f"key {EXAMPLE} n{k}", "hot") for k in range(1000)]
-    rows += [(2000 + k, f"key {LIVE} n{k}", f"o{k % 2}") for k in range(10)]
-    rows += [(3000 + k, f"password=q8w7e6r5t4y3u2i1 n{k}", f"o{k % 2}") for k in range(11)]
+def expected(rows):
+    """Spans of each row with verdict, owners and documents, from plain loops over all rows."""
+    candidates = []
+    for i, text, owner in rows:
+        own = [(a, rank, b, value) for a, rank, b, value in base_secrets(text)]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+            turns = sum(x.isdigit() != y.isdigit() and x.isalnum() and y.isalnum() for x, y in zip(m[0], m[0][1:]))
+            if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and turns >= 6:
+                own.append((m.start(), 3, m.end(), m[0]))
+        candidates.append((i, owner, own))
+    places = {}
+    for i, owner, own in candidates:
+        for *_, value in own:
+            places.setdefault(value, {}).setdefault(owner, set()).add(i)
+
+    def verdict(value):
+        sizes = [len(x) for x in places[value].values()]
+        random = len(set(value)) >= 8 and re.search("[0-9]", value)
+        return "example" if len(sizes) >= 3 else "live" if random and max(sizes) >= 0.75 * sum(sizes) else "shared"
+
+    out = {}
+    for i, _, own in candidates:
+        base = [x for x in own if x[1] < 3]
+        free = [x for x in own if x[1] == 3 and verdict(x[3]) == "live" and not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        out[i] = [
+            (list(secrets.KINDS)[rank], a, b, verdict(v), len(places[v]), sum(map(len, places[v].values())))
+            for a, rank, b, v in sorted(base + free)
+        ]
+    return out
+
+
+def planted(seed, owners=5):
+    r = random.Random(seed)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    keys = ["".join(r.choice(letters) + str(r.randrange(10)) for _ in range(11)) + "aZ" for _ in range(12)]
+    forms = ["key {}", "password={}", "see {} now", "token: {}x9", "hex 0123456789abcdef{}"]
+    rows = []
+    for k in range(150):
+        said = [r.choice(forms).format(r.choice(keys[: 3 + k % 10])) for _ in range(r.randrange(4))]
+        rows.append((k, f"{prose(k, 4)} " + " and ".join(said) + f" end {k}", f"o{min(r.randrange(owners), r.randrange(owners))}"))
+    return rows
+
+
+@pytest.mark.parametrize("owners", [2, 5])
+def test_equals_plain_loops(spark, owners):
+    rows = planted(owners, owners)
+    fields = ("kind", "start", "stop", "verdict", "n_owners", "n_documents")
+    read = lambda rs: {x.doc_id: [tuple(s[f] for f in fields) for s in x.spans] for x in secrets.with_spans(documents(spark, rs)).collect()}
+    got = read(rows)
+    assert got == expected(rows)
+    assert {s[3] for spans in got.values() for s in spans} >= ({"live", "shared"} if owners == 2 else {"example"})
+    # The same texts under other owners get other verdicts and spans.
+    assert read([(i, t, "one") for i, t, _ in rows]) != got
+
+
+def test_a_credential_of_one_owner_stays_live_whatever_its_copies(spark):
+    rows = [(k, f"key {LIVE} n{k}", "hot") for k in range(1200)] + [(1500, f"key {LIVE}", "fork")]
+    rows += [(2000 + k, f"key {EXAMPLE} n{k}", f"o{k % 3}") for k in range(9)]
+    rows += [(3000 + k, f"password=q8w7e6r5t4y3u2i1 n{k}", f"o{k % 2}") for k in range(4)]
     got = {r.doc_id: [(s.kind, s.verdict) for s in r.spans] for r in secrets.with_spans(documents(spark, rows)).collect()}
-    assert all(got[k] == [] for k in range(1000))
-    assert all(got[2000 + k] == [("owned", "live")] for k in range(10))
-    assert all(got[3000 + k] == [("assign", "shared")] for k in range(11))
+    assert all(got[k] == [("owned", "live")] for k in (*range(1200), 1500))
+    assert all(got[2000 + k] == [] for k in range(9))
+    assert all(got[3000 + k] == [("assign", "shared")] for k in range(4))
