@@ -4,8 +4,9 @@
    toxic ones (by rate and by likelihood ratio) become terms. About ``toxic_sample`` toxic and ``other_sample`` other labelled rows are used, chosen by a hash of the id: the
    documented bound of the classifier's sample.
 2. *Misspellings.* A word is run as a Levenshtein automaton (bit-parallel, up to one edit from five letters on, two from nine)
-   down the trie of terms; branches where no state survives are left out. Word and term must have a string in common after as
-   many deletions as there may be edits; that is looked up first and spares nearly all words the walk. Exact and misspelled hits of a term have weights of their own,
+   down the trie of terms; branches where no state survives are left out. Of a term cut into one piece more than there may be
+   edits, one piece must stand in the word; word and term must have a string in common after as many deletions as there may be
+   edits. Both are looked up first, lose nothing, and spare nearly all words the walk. Exact and misspelled hits of a term have weights of their own,
    learned from how often each occurs in toxic and other texts; exact hits that do not tell count nothing. A misspelling starts from
    the shrunk weight of its term, so one that training never saw counts too; occurrences in other texts lower it.
 3. *Context.* A hit inside quotation marks, or with a word of reporting near, within ``WINDOW`` words, is taken as quotation,
@@ -16,15 +17,20 @@ Scoring covers whole texts. Labels, lang, source and doc_id are used for choosin
 terms) is broadcast. Defined results: null and empty texts have no hits and get the score of such texts; without
 labels, or with one class only, scores rest on the prior alone; rows without doc_id are not learned from; several labels of a
 doc_id count as several rows; equal rows have equal scores; other columns are ignored; an empty table gives an empty result.
+
+Bounds of the model, all at every size: terms are words of 3 to 40 letters or beginnings of 4 and 5; at most ``terms`` of them, the
+strongest; a feature above 24 counts as 24. Words of any length are searched and texts are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,7 @@ from elastiq.sources.staging import stage
 
 WINDOW = 8
 _WORD = re.compile(r"[^\W_]+")
+_PIECES = re.compile(r"([^\W_]+)")
 # Marks that open and close quotations, words of reporting, words that address the reader.
 _MARKS = "\"“”„«»"
 _REPORTING = frozenset("said says wrote writes quoted quote called calls sagte schrieb nannte zitat dit dijo escribio cita".split())
@@ -78,6 +85,8 @@ class Lexicon:
         # The same of their first characters only, which near words must share too and which are fewer to look up.
         self.heads: dict[int, set[str]] = {}
         self.known_heads: dict[str, tuple[int, ...]] = {}
+        # Beginnings of the pieces of terms, with a bit for each place where one may stand in a near word.
+        self.pieces: dict[str, int] = {}
         for k, term in enumerate(terms):
             edits = most_edits(term)
             if not edits or term.endswith("*"):
@@ -86,12 +95,27 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (k, edits)
+            cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
+            for start, stop in zip(cuts, cuts[1:]):
+                piece, places = term[start : min(stop, start + 3)], (1 << (2 * edits + 1)) - 1
+                places = places << (start - edits) if start >= edits else places >> (edits - start)
+                self.pieces[piece] = self.pieces.get(piece, 0) | places
             self.shortened.setdefault(edits, set()).update(shortened(term, edits))
             self.heads.setdefault(edits, set()).update(shortened(term[:_HEAD], edits))
             self.lengths.setdefault(edits, set()).update(range(len(term) - edits, len(term) + edits + 1))
 
+    def _has_a_piece(self, word: str) -> bool:
+        """Of a term cut into one piece more than there may be edits, one piece stands untouched in a near word, hardly moved."""
+        pieces = self.pieces.get
+        for k in range(len(word) - 1):
+            if (pieces(word[k : k + 3], 0) | pieces(word[k : k + 2], 0)) >> k & 1:
+                return True
+        return False
+
     def _worth(self, word: str) -> int:
         """The edits within which a term may be near; 0 if none is."""
+        if not any(len(word) in lengths for lengths in self.lengths.values()) or not self._has_a_piece(word):
+            return 0
         head = word[:_HEAD]
         if (allowed := self.known_heads.get(head)) is None:
             if len(self.known_heads) >= _REMEMBERED:
@@ -150,45 +174,59 @@ class Scanner:
     """Hits and features of texts, with remembered words."""
 
     def __init__(self, model: Model):
-        self.model, self.lexicon, self.known = model, Lexicon(model.terms), {}
+        self.model, self.lexicon = model, Lexicon(model.terms)
+        # Words looked up before, and those of them with hits.
+        self.seen: set[str] = set()
+        self.known: dict[str, tuple[tuple[int, bool], ...]] = {}
 
     def hits(self, text: str) -> dict[str, tuple[tuple[int, bool], ...]]:
         """The words of a text that are listed or near a term, with (term, misspelled)."""
-        found = {}
-        for word in set(_WORD.findall(text.lower())):
-            if word not in self.known:
-                if len(self.known) >= _REMEMBERED:
-                    self.known.clear()
-                self.known[word] = self.lexicon.near(word)
-            if self.known[word]:
-                found[word] = self.known[word]
-        return found
+        return self.hits_of(set(_WORD.findall(text.lower())))
+
+    def hits_of(self, words: set[str]) -> dict[str, tuple[tuple[int, bool], ...]]:
+        if len(self.seen) >= _REMEMBERED:
+            self.seen.clear()
+            self.known.clear()
+        new = words - self.seen
+        for word in new:
+            if hits := self.lexicon.near(word):
+                self.known[word] = hits
+        self.seen |= new
+        return {word: self.known[word] for word in words if word in self.known}
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Summed weights of distinct hits: as abuse, and as quotation only."""
+        lowered = (text or "").lower()
+        pieces = _PIECES.split(lowered)  # words at odd places, what lies between them at even ones
+        words = pieces[1::2]
         weighed = {}
-        for word, hits in (self.hits(text) if text else {}).items():
+        for word, hits in self.hits_of(set(words)).items():
             telling = {h: self.model.weights[h] for h in hits if h in self.model.weights}
             if telling:
                 weighed[word] = telling
         if not weighed:
             return 0.0, 0.0
-        lowered = text.lower()
-        spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(lowered)]
+        ends = list(accumulate(map(len, pieces)))
+        marks = [m.start() for m in re.finditer(f"[{_MARKS}]", lowered)]
         abuse: dict = {}
         quoted: dict = {}
-        marks = [m.start() for m in re.finditer(f"[{_MARKS}]", lowered)]
-        for k, (start, stop, word) in enumerate(spans):
-            if word in weighed:
-                near = spans[max(0, k - WINDOW) : k + WINDOW + 1]
-                (quoted if self.is_quoted(near, marks, start, stop) else abuse).update(weighed[word])
+        abusive: set[str] = set()
+        for k, word in enumerate(words):
+            if word in weighed and word not in abusive:
+                near = range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1))
+                spans = [(ends[2 * j], ends[2 * j + 1], words[j]) for j in near]
+                if self.is_quoted(spans, marks, ends[2 * k], ends[2 * k + 1]):
+                    quoted.update(weighed[word])
+                else:
+                    abuse.update(weighed[word])
+                    abusive.add(word)
         return sum(abuse.values()), sum(w for h, w in quoted.items() if h not in abuse)
 
     @staticmethod
     def is_quoted(near: list[tuple[int, int, str]], marks: list[int], start: int, stop: int) -> bool:
         words = {w for _, _, w in near}
-        before = any(near[0][0] - 1 <= m < start for m in marks)
-        after = any(stop <= m <= near[-1][1] for m in marks)
+        before = bisect_left(marks, near[0][0] - 1) < bisect_left(marks, start)
+        after = bisect_left(marks, stop) < bisect_right(marks, near[-1][1])
         return (before and after or bool(words & _REPORTING)) and not words & _ADDRESS
 
     def score(self, text: str | None) -> float:
