@@ -88,13 +88,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.with_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] != "owned")
-    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint")
+    count = lambda field, value: F.size(F.filter("spans", lambda x: x[field] == value)).cast("bigint")
     return found.select(
         "doc_id",
-        *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        *[count("kind", kind).alias(f"n_{kind}") for kind in secrets.BASE],
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
-        *[F.size(F.filter("spans", lambda x, v=v: x["verdict"] == v)).cast("bigint").alias(f"n_{v}") for v in secrets.VERDICTS],
+        *[count("verdict", v).alias(f"n_{v}") for v in secrets.VERDICTS],
         secrets.verdicts(F.col("spans")).alias("verdicts"),
     )
 

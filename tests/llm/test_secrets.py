@@ -4,7 +4,7 @@ import re
 import pytest
 from helpers import base_secrets, documents, prose
 
-from elastiq.llm import secrets
+from elastiq.llm import queries, secrets
 
 LIVE = "Zk3b9Qx7Lm2Pv8Tr5Wn4Hc6J"
 EXAMPLE = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
@@ -126,3 +126,17 @@ def test_a_credential_of_one_owner_stays_live_whatever_its_copies(spark):
     assert all(got[k] == [("owned", "live")] for k in (*range(1200), 1500))
     assert all(got[2000 + k] == [] for k in range(9))
     assert all(got[3000 + k] == [("assign", "shared")] for k in range(4))
+
+
+def test_query_returns_verdicts_with_owners_and_documents(spark, tmp_path):
+    rows = planted(2, 2)
+    documents(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    want = expected(rows)
+    got = queries.op10_secret_owners(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        spans = want[r.doc_id]
+        assert r.spans == ",".join(f"{kind}:{a}:{b}" for kind, a, b, *_ in spans)
+        assert r.verdicts == ",".join(f"{verdict}:{owners}:{docs}" for *_, verdict, owners, docs in spans)
+        assert [r.n_live, r.n_shared, r.n_example] == [sum(s[3] == v for s in spans) for v in ("live", "shared", "example")]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
