@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastiq.functions.geo import point_text, points_in_zones, points_in_zones_on_sphere, zone_cells, zones_on_sphere
@@ -109,17 +109,43 @@ def sessions_in_zones(
     return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi").distinct()
 
 
+# Bits of the mask of the vendors a session saw. A vendor that shares its bit with one that was seen passes the mask.
+_MASK = 64
+
+
+def _bit(vendor_code: Column) -> Column:
+    place = F.pmod(F.xxhash64(vendor_code), F.lit(_MASK)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def sessions_seen(events: DataFrame) -> DataFrame:
+    """Session ids of located events with a mask of the vendors they name, to reduce the requests before their arrays are flattened.
+
+    The mask has a fixed size, so a session with very many events is no larger than another. Sessions without an id match no request.
+    """
+    return (
+        events.filter(F.col("ga_dps_session_id").isNotNull())
+        .groupBy(*KEYS, F.col("ga_dps_session_id").alias("dps_session_id"))
+        .agg(F.bit_or(_bit(F.col("vendor_code"))).alias("_seen"))
+    )
+
+
 def fee_requests(
     requests: DataFrame,
     zones: DataFrame,
     cells: DataFrame,
     window: tuple[date, date],
     *,
+    seen: DataFrame | None = None,
     endpoints: Sequence[str] = ("singleFee",),
     cell_size: float = 0.02,
     sphere: bool = False,
 ) -> DataFrame:
-    """Pricing requests with a session id, made inside an active zone of the entity (of any country)."""
+    """Pricing requests with a session id, made inside an active zone of the entity (of any country).
+
+    With ``seen`` (of ``sessions_seen``) only those of its sessions, and of their offers those that pass the mask: offers of vendors the
+    session never looked at cannot be the fee it saw, and are dropped before the zone tests and before anything is flattened.
+    """
     first, last = window
     flat = requests.filter(
         F.col("created_date").between(F.lit(first), F.lit(last))
@@ -138,6 +164,10 @@ def fee_requests(
         F.col("customer.lat").alias("_lat"),
     )
     flat = lookup_join(flat, zones.select(*KEYS).distinct(), KEYS, "left_semi")
+    if seen is not None:
+        passes = lambda v: _bit(v["id"]).bitwiseAND(F.col("_seen")) != 0
+        flat = flat.join(seen, [*KEYS, "dps_session_id"]).withColumn("vendors", F.filter("vendors", passes)).drop("_seen")
+        flat = flat.filter(F.size("vendors") > 0)
     return _in_zones(flat, cells, ["entity_id"], cell_size, sphere, lon="_lon", lat="_lat").drop("_lon", "_lat")
 
 
@@ -148,7 +178,21 @@ def fee_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "tra
 
 def known_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "travel_time") -> DataFrame:
     """The same with repeats, which cannot matter to the last fee."""
-    flat = requests.withColumn("v", F.explode("vendors")).select(
+    return lookup_join(_flat_offers(requests, fee_field), vendors.select(*VENDOR), VENDOR, "left_semi")
+
+
+def seen_offers(requests: DataFrame, events: DataFrame, *, fee_field: str = "travel_time") -> DataFrame:
+    """Offers of the vendors that located events of the same session name, all of them known, with repeats.
+
+    The mask of ``sessions_seen`` lets some others pass; the semi join here has the keys of ``last_fee``, so both share a shuffle.
+    """
+    on = [*KEYS, "dps_session_id", "vendor_code"]
+    pairs = events.withColumn("dps_session_id", F.col("ga_dps_session_id")).select(*on).filter(F.col("dps_session_id").isNotNull())
+    return _flat_offers(requests, fee_field).join(pairs.distinct(), on, "left_semi")
+
+
+def _flat_offers(requests: DataFrame, fee_field: str) -> DataFrame:
+    return requests.withColumn("v", F.explode("vendors")).select(
         *KEYS,
         "created_date",
         "perseus_id",
@@ -160,7 +204,6 @@ def known_offers(requests: DataFrame, vendors: DataFrame, *, fee_field: str = "t
         "session_timestamp",
         "created_at",
     )
-    return lookup_join(flat, vendors.select(*VENDOR), VENDOR, "left_semi")
 
 
 def last_fee(offers: DataFrame) -> DataFrame:

@@ -51,6 +51,8 @@ class Params:
     # strip only the suffix from a linked name instead of any of its characters
     suffix_only: bool = False
     endpoints: tuple[str, ...] = ("singleFee",)
+    # keep the last fee of every request, not only of the vendors that located sessions looked at
+    all_fees: bool = False
     # edge of the smallest cells of the zone index, in degrees
     cell_size: float = 0.02
     # sides of zones are great circles, and zones may cross the date line

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastiq.functions.checks import repeated_keys
+from elastiq.functions.checks import linked_chains, repeated_keys
 from elastiq.functions.skew import split_hot_keys
 from elastiq.operators import curves, economics, entities, groups, labels, orders, screening, sessions, tiers
 from elastiq.operators.curves import GROUP_LEVEL, VENDOR_LEVEL
@@ -51,6 +51,7 @@ def configure(source: Source, p: Params, keep: Stage = stage) -> dict[str, DataF
     newest = keep(groups.newest_versions(source("group_config_versions"), active), "newest_versions")
     setups = keep(groups.current_setups(newest), "setups_plain")
     out["linked_groups"] = groups.linked_groups(setups, suffix=p.link_suffix, suffix_only=p.suffix_only)
+    out["linked_chains"] = linked_chains(setups, suffix=p.link_suffix)
     linked = groups.with_master_id(setups, out["linked_groups"], per_pair_ids=p.per_pair_ids)
     out["setups"] = keep(linked, "setups")
     out["vendors"] = keep(groups.vendors_per_group(out["setups"]), "vendors")
@@ -132,9 +133,14 @@ def run_labels(source: Source, p: Params, keep: Stage = stage, run_ts: dt.dateti
     out |= screen(vendors, events, per_vendor, p, keep)
 
     requests = sessions.fee_requests(
-        source("pricing_requests"), zones, cells, p.window, endpoints=p.endpoints, cell_size=p.cell_size, sphere=p.sphere
-    )
-    out["last_fees"] = fees = sessions.last_fee(sessions.known_offers(requests, vendors, fee_field=p.fee_field))
+        source("pricing_requests"), zones, cells, p.window, seen=None if p.all_fees else sessions.sessions_seen(events),
+        endpoints=p.endpoints, cell_size=p.cell_size, sphere=p.sphere,
+    )
+    if p.all_fees:
+        offers = sessions.known_offers(requests, vendors, fee_field=p.fee_field)
+    else:
+        offers = sessions.seen_offers(requests, events, fee_field=p.fee_field)
+    out["last_fees"] = fees = sessions.last_fee(offers)
     out["priced_sessions"] = priced = sessions.sessions_with_fee(events, fees)
     out |= label(priced, out["screened_vendors"], out["group_tiers"], p, keep)
 
@@ -197,6 +203,7 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--link-suffix", default=Params.link_suffix)
     parser.add_argument("--per-pair-ids", action="store_true", help="one master id per linked name")
     parser.add_argument("--suffix-only", action="store_true", help="strip the suffix, not any of its characters")
+    parser.add_argument("--all-fees", action="store_true", help="last fees of all requests, not only of located sessions")
     parser.add_argument("--endpoints", nargs="+", default=Params.endpoints, help="request kinds, such as multipleFee")
     parser.add_argument("--cell-size", type=float, default=Params.cell_size, help="degrees of the smallest cells of the zone index")
     parser.add_argument("--sphere", action="store_true", help="sides of zones are great circles")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from elastiq.functions import checks
 from elastiq.functions.geo import points_in_zones_on_sphere
 from elastiq.operators import (
     curves,
@@ -177,6 +178,14 @@ def _linked(s: StandIns, p: Params = PARAMS) -> DataFrame:
     return groups.with_master_id(setups, links, per_pair_ids=p.per_pair_ids)
 
 
+@query
+def linked_chains(s: StandIns) -> DataFrame:
+    """Chains of linked names; groups are renamed so that chains have gaps, groups of one name and letters of both cases."""
+    name = F.when(F.col("asa_id") % 2 == 0, "Group").otherwise("GROUP")
+    marks = F.expr("repeat('_x', cast(asa_id % 7 AS int))")
+    return checks.linked_chains(_setups(s).withColumn("asa_name", F.concat(name, marks)), suffix="_X")
+
+
 @query
 def master_ids(s: StandIns) -> DataFrame:
     return _linked(s)
@@ -255,6 +264,16 @@ def last_fee(s: StandIns) -> DataFrame:
     return sessions.last_fee(sessions.known_offers(_requests(s), _known(s)))
 
 
+@query
+def located_fees(s: StandIns) -> DataFrame:
+    """The last fee of the vendors that located sessions looked at; requests are reduced before they are flattened."""
+    events = stage(_located(s), "sessions")
+    requests = sessions.fee_requests(
+        s.pricing_requests(), _zones(s), _cells(s), PARAMS.window, seen=sessions.sessions_seen(events), cell_size=PARAMS.cell_size
+    )
+    return sessions.last_fee(sessions.seen_offers(requests, events))
+
+
 @query
 def input_by_name(s: StandIns) -> DataFrame:
     """Requests stored with their nested fields in another order, one more and one fewer, and read back by name."""

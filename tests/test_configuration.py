@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import tuples
+from elastiq.functions import checks
 from elastiq.operators import entities, groups, tiers
 
 KEYS = ["entity_id", "country_code"]
@@ -135,6 +137,37 @@ def test_a_group_linked_twice_appears_twice(spark):
     assert tuples(linked, "asa_id", "master_asa_id") == [(1, 4), (2, 4), (2, 4), (3, 4)]
 
 
+def test_chains_of_linked_names(spark):
+    names = ["A", "a_lb", "A_LB", "A_LB_LB", "B_LB", "B_LB_LB_LB", "C", "C_LB", "", "_LB", "D\nD", "D\nD_lb", "Z", None]
+    setups = _setups(spark, *[("E", i, n, "v", 1, None) for i, n in enumerate(names)], ("F", 20, "C_LB", "v", 1, None), ("E", 0, "A", "w", 1, None))
+    found = checks.linked_chains(setups)
+    assert tuples(found, "asa_id", "chain_name", "chain_place", "chain_names", "chain_groups", "n_links", "repeats_rows") == [
+        (0, "a", 1, 3, 4, 2, True),
+        (1, "a", 2, 3, 4, 2, True),
+        (10, "d\nd", 1, 2, 2, 1, False),
+        (11, "d\nd", 2, 2, 2, 1, False),
+        (2, "a", 2, 3, 4, 2, True),
+        (3, "a", 3, 3, 4, 2, True),
+        (6, "c", 1, 2, 2, 1, False),
+        (7, "c", 2, 2, 2, 1, False),
+        (8, "", 1, 2, 2, 1, False),
+        (9, "", 2, 2, 2, 1, False),
+    ]
+    # as many links as the step itself makes rows
+    links = groups.linked_groups(setups).groupBy("asa_id").count()
+    assert tuples(links, "asa_id", "count") == tuples(found, "asa_id", "n_links")
+    with pytest.raises(ValueError):
+        checks.linked_chains(setups, suffix="")
+
+
+def test_suffixes_that_overlap_themselves(spark):
+    setups = _setups(spark, *[("E", n, "1" * n, "v", 1, None) for n in range(1, 8)])
+    found = checks.linked_chains(setups, suffix="11")
+    assert tuples(found, "asa_id", "chain_name", "chain_place") == [
+        (1, "1", 1), (2, "11", 1), (3, "1", 2), (4, "11", 2), (5, "1", 3), (6, "11", 3), (7, "1", 4),
+    ]
+
+
 def test_members_and_schemes(spark):
     linked = groups.with_master_id(_named(spark), groups.linked_groups(_named(spark)))
     assert "d" not in [r[0] for r in groups.vendors_per_group(linked).select("vendor_code").collect()]

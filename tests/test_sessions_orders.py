@@ -118,6 +118,42 @@ def test_last_fee(make, zones, vendors):
     assert tuples(both, "dps_session_id", "df_total") == [("many", 11.0), ("s1", 12.0), ("tie", 11.5)]
 
 
+def test_requests_are_reduced_before_they_are_flattened(make, zones, vendors):
+    menu = [(f"v{i}", (1, AUTOMATIC_SCHEME), (float(i), 10.0)) for i in range(1, 201)]
+    rows = [_request("ds1", 0.0) | {"vendors": menu}, _request("unseen", 1.0) | {"vendors": menu}, _request("dn", 1.0) | {"vendors": None}]
+    events = _located(
+        make, zones, vendors, _session("s1", 3.0, 3.0), _session("s1", 3.0, 3.0), _session("n", 3.0, 3.0),
+        _session("none", 3.0, 3.0, ga_dps_session_id=None), _session("no request", 3.0, 3.0),
+    )
+    cells = sessions.zone_index(zones, 0.25)
+    source = make("pricing_requests", *rows)
+    kept = sessions.fee_requests(source, zones, cells, WINDOW, seen=sessions.sessions_seen(events), cell_size=0.25)
+    # one session of three, and of 200 offers those that share one of 64 bits with the vendor seen
+    assert kept.count() == 1
+    assert 1 <= kept.select(F.size("vendors")).first()[0] < 20
+    offers = sessions.last_fee(sessions.seen_offers(kept, events))
+    assert tuples(offers, "dps_session_id", "vendor_code", "df_total") == [("ds1", "v1", 1.0)]
+    # the arrays are flattened above the joins with sessions and zones
+    plan = sessions.seen_offers(kept, events)._jdf.queryExecution().optimizedPlan().toString()
+    flatten = plan.index("Generate explode(vendors")
+    assert plan.index("bit_or") > flatten and plan.index("LeftSemi") < flatten
+    # the same fees reach the sessions as without the reduction
+    whole = sessions.fee_requests(source, zones, cells, WINDOW, cell_size=0.25)
+    priced = [sessions.sessions_with_fee(events, f) for f in (offers, sessions.last_fee(sessions.known_offers(whole, vendors)))]
+    assert tuples(priced[0], *priced[0].columns) == tuples(priced[1], *priced[1].columns)
+
+
+def test_a_mask_never_drops_a_vendor_that_was_seen(make, zones, spark):
+    codes = [f"v{i}" for i in range(300)]
+    known = spark.createDataFrame([("E", "sg", c) for c in codes], "entity_id string, country_code string, vendor_code string")
+    events = _located(make, zones, known, _session("s", 3.0, 3.0, [("shop_details.loaded", c) for c in codes]))
+    menu = [(c, (1, AUTOMATIC_SCHEME), (1.0, 1.0)) for c in codes]
+    cells = sessions.zone_index(zones, 0.25)
+    source = make("pricing_requests", _request("ds", 1.0) | {"vendors": menu})
+    kept = sessions.fee_requests(source, zones, cells, WINDOW, seen=sessions.sessions_seen(events), cell_size=0.25)
+    assert sessions.seen_offers(kept, events).count() == len(codes)
+
+
 def test_a_request_matches_zones_of_any_country(make, zones, vendors, spark):
     # the zone around lon 50 belongs to "my", the request to "sg"
     request = _request("s1", 1.0, lon=50.5) | {"customer": ("u", 50.5, 0.5, ("s1", AT))}
