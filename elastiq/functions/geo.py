@@ -15,17 +15,21 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import plain_number
 from elastiq.functions.skew import lookup_join
+from elastiq.sources.staging import stage
 
 # A cell of the quadtree is cut into FANOUT x FANOUT cells of the next level; level 0 has cells of the given size.
 FANOUT = 4
 LEVELS = 5
 # A cell that so few sides reach is not cut further: testing them costs less than more cells.
 FEW_SIDES = 16
+# A cell is cut further, up to FINER levels below the given size, while its zones together have more sides than this.
+MANY_SIDES = 64
+FINER = 3
 
 
 def point_text(lon: Column, lat: Column) -> Column:
@@ -70,8 +74,38 @@ def inside(edges: Column, x: Column, y: Column) -> Column:
 
 def _size(level: Column | int, cell_size: float) -> Column:
     """Edge of a cell. All are the least one times a power of two, so cells of all levels share their borders exactly."""
-    sizes = [F.lit(float(cell_size) * FANOUT**k) for k in range(LEVELS)]
-    return sizes[level] if isinstance(level, int) else F.get(F.array(*sizes), level)
+    times = F.lit(float(FANOUT) ** level) if isinstance(level, int) else F.pow(F.lit(float(FANOUT)), level)
+    return F.lit(float(cell_size)) * times
+
+
+def _placed(cells: DataFrame, cell: Sequence[str], cell_size: float) -> DataFrame:
+    """Cells with the sides beside them, without those outside; ``_cut`` marks those whose sides are still of a larger cell."""
+    margin = cell_size * 1e-9
+    size = _size(F.col("_level"), cell_size)
+    x0, x1 = F.col("_gx") * size - margin, (F.col("_gx") + 1) * size + margin
+    y0, y1 = F.col("_gy") * size - margin, (F.col("_gy") + 1) * size + margin
+
+    def beside(e: Column) -> Column:
+        return (
+            (F.greatest(e["y1"], e["y2"]) >= y0)
+            & (F.least(e["y1"], e["y2"]) <= y1)
+            & (F.greatest(e["x1"], e["x2"]) >= x0)
+        )
+
+    near = F.exists("_edges", lambda e: beside(e) & (F.least(e["x1"], e["x2"]) <= x1))
+    centre = inside(F.col("_edges"), (F.col("_gx") + 0.5) * size, (F.col("_gy") + 0.5) * size)
+    kept = cells.withColumn("_edges", F.when(F.col("_cut"), F.filter("_edges", beside)).otherwise(F.col("_edges")))
+    kept = kept.withColumn("_near", F.when(F.col("_cut"), near).otherwise(F.col("_near")))
+    return kept.filter(~F.col("_cut") | F.col("_near") | centre).select(*cell, "_edges", "_near")
+
+
+def _quartered(cells: DataFrame) -> DataFrame:
+    """Cells marked ``_cut`` as FANOUT x FANOUT cells of the next level, the others as they are."""
+    parts = F.when(F.col("_cut"), F.sequence(F.lit(0), F.lit(FANOUT * FANOUT - 1))).otherwise(F.array(F.lit(0)))
+    at = cells.withColumn("_at", F.explode(parts))
+    x, y = F.col("_gx") * FANOUT + F.floor(F.col("_at") / FANOUT), F.col("_gy") * FANOUT + F.col("_at") % FANOUT
+    at = at.withColumns({"_gx": F.when(F.col("_cut"), x).otherwise(F.col("_gx")), "_gy": F.when(F.col("_cut"), y).otherwise(F.col("_gy"))})
+    return at.withColumn("_level", F.col("_level") - F.col("_cut").cast("int"))
 
 
 def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float, *, few_sides: int = FEW_SIDES) -> DataFrame:
@@ -86,32 +120,14 @@ def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float
     made, and by zone and cell before cells are cut; a cell takes along only the sides right of its edge.
     """
     parts = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    margin = cell_size * 1e-9
     xs, ys = F.flatten(F.col(shape))["x"], F.flatten(F.col(shape))["y"]
     size = _size(F.col("_level"), cell_size)
-    x0, x1 = F.col("_gx") * size - margin, (F.col("_gx") + 1) * size + margin
-    y0, y1 = F.col("_gy") * size - margin, (F.col("_gy") + 1) * size + margin
 
     def span(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low / size), F.floor(high / size))
 
-    def beside(e: Column) -> Column:
-        return (
-            (F.greatest(e["y1"], e["y2"]) >= y0)
-            & (F.least(e["y1"], e["y2"]) <= y1)
-            & (F.greatest(e["x1"], e["x2"]) >= x0)
-        )
-
-    near = F.exists("_edges", lambda e: beside(e) & (F.least(e["x1"], e["x2"]) <= x1))
-    centre = inside(F.col("_edges"), (F.col("_gx") + 0.5) * size, (F.col("_gy") + 0.5) * size)
     cell = [*on, "_zone", "_level", "_gx", "_gy"]
 
-    def placed(cells: DataFrame) -> DataFrame:
-        """Cells with the sides beside them, without those outside."""
-        kept = cells.withColumn("_edges", F.when(F.col("_cut"), F.filter("_edges", beside)).otherwise(F.col("_edges")))
-        kept = kept.withColumn("_near", F.when(F.col("_cut"), near).otherwise(F.col("_near")))
-        return kept.filter(~F.col("_cut") | F.col("_near") | centre).select(*cell, "_edges", "_near")
-
     # The first level is the least one at which the zone's box is some four cells wide.
     extent = F.greatest(F.array_max("_xs") - F.array_min("_xs"), F.array_max("_ys") - F.array_min("_ys"))
     first = F.lit(0)
@@ -127,26 +143,65 @@ def zone_cells(zones: DataFrame, on: Sequence[str], shape: str, cell_size: float
         .withColumn("_gy", F.explode(span(F.array_min("_ys"), F.array_max("_ys"))))
         .select(*cell, "_edges", F.lit(True).alias("_cut"), F.lit(None).cast("boolean").alias("_near"))
     )
-    cells = placed(roots)
+    cells = _placed(roots, cell, cell_size)
     for level in range(LEVELS - 1, 0, -1):
         cut = (F.col("_level") == level) & F.col("_near") & (F.size("_edges") > few_sides)
-        quarter = [
-            F.struct((F.col("_gx") * FANOUT + i).alias("x"), (F.col("_gy") * FANOUT + j).alias("y"))
-            for i in range(FANOUT)
-            for j in range(FANOUT)
-        ]
-        own = F.array(F.struct(F.col("_gx").alias("x"), F.col("_gy").alias("y")))
         if level % 2 == 0:
             cells = cells.repartition(parts, *cell)
-        cells = (
-            cells.withColumn("_cut", cut)
-            .withColumn("_at", F.explode(F.when(F.col("_cut"), F.array(*quarter)).otherwise(own)))
-            .withColumns({"_level": F.col("_level") - F.col("_cut").cast("int"), "_gx": F.col("_at.x"), "_gy": F.col("_at.y")})
-        )
-        cells = placed(cells)
+        cells = _placed(_quartered(cells.withColumn("_cut", cut)), cell, cell_size)
     return cells.select(*on, "_level", "_gx", "_gy", F.when(F.col("_near"), F.col("_edges")).alias("_edges"))
 
 
+def covering_cells(cells: DataFrame, on: Sequence[str], cell_size: float, *, many_sides: int = MANY_SIDES) -> tuple[DataFrame, list[int]]:
+    """The cells of all zones with the same ``on`` values as one cover, and the levels it has. ``cells`` are staged.
+
+    A point must lie in one zone only, whichever. So a cell that lies wholly inside one zone is kept once, without sides, and all that
+    other zones have in it or in cells below it goes. A cell where several zones have borders is cut further while they have more than
+    ``many_sides`` sides together: most of its parts lie inside one of them or outside of all but a few. So what a point is tested
+    against depends on the zones whose border is near it and on no wider zone around it, and not on the number of zones of the key.
+
+    Levels are worked off from the largest cells to the smallest and each is staged: it is read for the cover, for
+    what it hides below and for the cells cut from it.
+    """
+    key = [*on, "_gx", "_gy"]
+    cells = cells.select(*on, "_level", "_gx", "_gy", "_edges")
+    own = {r["_level"] for r in cells.select("_level").distinct().collect()}
+    cover: dict[int, DataFrame] = {}
+    cut = None
+    at_cell = Window.partitionBy(*key)
+    empty = F.col("_edges").isNull()
+    for level in range(max(own, default=0), -FINER - 1, -1):
+        here = cut
+        if level in own:
+            here = cells.filter(F.col("_level") == level)
+            for above, whole in cover.items():
+                up = whole.filter(empty).select(*key)
+                for c in ("_gx", "_gy"):
+                    here = here.withColumn(f"_up{c}", F.floor(F.col(c) / FANOUT ** (above - level)))
+                up = up.withColumnsRenamed({"_gx": "_up_gx", "_gy": "_up_gy"})
+                here = here.join(up, [*on, "_up_gx", "_up_gy"], "left_anti")
+            here = here.select(*cells.columns)
+            here = here if cut is None else here.unionByName(cut)
+        if here is None:
+            continue
+        counted = here.distinct().withColumns({
+            "_whole": F.max(empty).over(at_cell),
+            "_zones": F.count(F.lit(1)).over(at_cell),
+            "_sides": F.sum(F.coalesce(F.size("_edges"), F.lit(0))).over(at_cell),
+        })
+        crowded = ~F.col("_whole") & (F.col("_zones") > 1) & (F.col("_sides") > many_sides) & F.lit(level > -FINER)
+        kept = counted.filter(~F.col("_whole") | empty).select(*cells.columns, crowded.alias("_cut"))
+        kept = stage(kept, "covering_cells")
+        cover[level] = kept.filter(~F.col("_cut")).drop("_cut")
+        cut = None
+        if not (to_cut := kept.filter("_cut")).isEmpty():
+            parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            to_cut = to_cut.repartition(parts, *key, F.xxhash64("_edges")).withColumn("_near", F.lit(True))
+            smaller = _placed(_quartered(to_cut), ["_level", *key], cell_size)
+            cut = smaller.select(*on, "_level", "_gx", "_gy", F.when(F.col("_near"), F.col("_edges")).alias("_edges"))
+    return (reduce(DataFrame.unionByName, cover.values()) if cover else cells), sorted(cover)
+
+
 def points_in_zones(
     points: DataFrame,
     cells: DataFrame,
@@ -158,16 +213,16 @@ def points_in_zones(
 ) -> DataFrame:
     """The rows of ``points`` inside at least one zone with the same ``on`` values, each kept once.
 
-    ``cells`` are the staged cells of the zones at the same ``cell_size``. Each distinct place is looked up once, at every
-    level of the quadtree, without the other columns of its rows; then rows are kept by place.
+    ``cells`` are the staged cells of the zones at the same ``cell_size``. Each distinct place is looked up once in the cover made of
+    them, at every level that it has, without the other columns of its rows; then rows are kept by place.
     """
+    cells, levels = covering_cells(cells, on, cell_size)
     x, y = F.col("_x"), F.col("_y")
     places = points.select(*on, F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y"))
-    places = places.filter(x.isNotNull() & y.isNotNull()).distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    places = places.filter(x.isNotNull() & y.isNotNull()).distinct().withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
     size = _size(F.col("_level"), cell_size)
     gridded = places.withColumn("_gx", F.floor(x / size)).withColumn("_gy", F.floor(y / size))
     exact = F.col("_edges").isNull() | inside(F.col("_edges"), x, y)
-    cells = cells.select(*on, "_level", "_gx", "_gy", "_edges")
     found = lookup_join(gridded, cells, [*on, "_level", "_gx", "_gy"], "left_semi", exact).select(*on, "_x", "_y").distinct()
     keyed = points.withColumn("_x", F.col(lon).cast("double")).withColumn("_y", F.col(lat).cast("double"))
     return lookup_join(keyed, found, [*on, "_x", "_y"], "left_semi").select(*points.columns)

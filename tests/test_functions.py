@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import tuples
 from elastiq.functions import skew
 from elastiq.functions.checks import repeated_keys
-from elastiq.functions.geo import inside, point_text, points_in_zones, points_in_zones_on_sphere, zone_cells, zones_on_sphere
+from elastiq.functions.geo import MANY_SIDES, covering_cells, inside, point_text, points_in_zones, points_in_zones_on_sphere, zone_cells, zones_on_sphere
 from elastiq.functions.numbers import plain_number, ratio
 from elastiq.functions.ranks import percent_ranks, value_ranks
 from elastiq.functions.skew import null_lane, salted_join, with_totals
@@ -244,6 +244,38 @@ def test_one_zone_a_thousand_times_the_size_of_the_others(spark):
     assert got == sorted(((x, y) for x, y in points if math.hypot(x, y) < 9.99), key=repr)
 
 
+def _boxes(n):
+    r = random.Random(5)
+    corners = [(r.uniform(0, 9), r.uniform(0, 10)) for _ in range(n)]
+    return [[[(x, y), (x + 3, y), (x + 3, y + 2), (x, y + 2)]] for x, y in corners]
+
+
+def test_a_cover_hardly_grows_with_the_zones_that_lie_over_each_other(spark):
+    """All zones differ and none hides another; a cell still carries few sides, and the cover no more cells."""
+    cells = {}
+    for n in (60, 600):
+        zones = spark.createDataFrame([("e", s) for s in _boxes(n)], f"e string, shape {SHAPE}")
+        cover, levels = covering_cells(stage(zone_cells(zones, ["e"], "shape", 0.5), "cells"), ["e"], 0.5)
+        at_cell = cover.groupBy("_level", "_gx", "_gy").agg(F.sum(F.coalesce(F.size("_edges"), F.lit(0))).alias("sides"), F.count("*").alias("n"))
+        at_cell = stage(at_cell, "at_cell")
+        cells[n] = at_cell.agg(F.sum("n")).first()[0]
+        assert sorted(r[0] for r in at_cell.select("_level").distinct().collect()) == levels
+        assert at_cell.filter(f"_level >= 0 and sides > {MANY_SIDES} and n > 1").isEmpty()
+    assert cells[600] < 6 * cells[60]  # ten times the zones: only the rim of all is cut finer
+
+
+def test_zones_over_each_other_agree_with_the_exact_test(spark):
+    shapes = [*_boxes(150), *_boxes(40), WITH_HOLE, SQUARE, _circle(6.0, 6.0, 7.0, 90)]
+    points = [(x / 7, y / 7) for x, y in itertools.product(range(-12, 100, 3), repeat=2)]
+    within = lambda x, y, ring: sum(
+        (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])
+    )
+    expected = [(x, y) for x, y in points if any(sum(within(x, y, ring) for ring in s) % 2 for s in shapes[:-3] + shapes[-1:])]
+    assert _points_inside(spark, shapes[:-3] + shapes[-1:], points, 0.5) == sorted(expected, key=repr)
+    # a hole is filled by a zone over it, at any size of cells
+    assert _points_inside(spark, [WITH_HOLE, SQUARE], [(2.0, 2.0), (1.0, 1.0), (4.0, 1.0)], 0.5) == [(1.0, 1.0), (2.0, 2.0)]
+
+
 def _winding(point, ring):
     """Turns of a ring seen from a point of the unit sphere."""
 
