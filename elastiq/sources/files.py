@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -29,14 +31,44 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
+# Files that are looked up and renamed at the same time: each waits for the file system, not for the driver.
+_AT_ONCE = 32
+
+
+def _overwriting(spark: SparkSession, fs: Any) -> Any:
+    """A rename of one path object to another, over an older file of the new name."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    options = context._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    every = hadoop.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration())
+    return lambda source, target: every.rename(source, target, options)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a file, over an older one of the new name."""
     at, fs = _path(spark, source)
-    context = spark.sparkContext
-    options = context._gateway.new_array(context._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = context._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    every = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration())
-    every.rename(at, _path(spark, target)[0], options)
+    _overwriting(spark, fs)(at, _path(spark, target)[0])
+
+
+def move_only_files(spark: SparkSession, moves: Sequence[tuple[str, str]]) -> None:
+    """Rename the only file in each folder, over an older one of its new name; all on one file system, and many under way at once."""
+    if not moves:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    _, fs = _path(spark, moves[0][0])
+    replace = _overwriting(spark, fs)
+
+    def rename(pair: tuple[str, str]) -> None:
+        (own,) = fs.listStatus(at(pair[0]))
+        source, target = own.getPath(), at(pair[1])
+        # The plain rename looks less often at the file system, but does not replace a file everywhere.
+        if fs.exists(target) or not fs.rename(source, target):
+            replace(source, target)
+
+    with ThreadPoolExecutor(min(_AT_ONCE, len(moves))) as pool:
+        for _ in pool.map(rename, moves):
+            pass
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

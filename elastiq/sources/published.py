@@ -24,16 +24,18 @@ def epoch_text(seconds: Column) -> Column:
 def write_published(files: DataFrame, path: str) -> None:
     """Publish each list as one gzip JSON document in a file of its name. ``files`` has one row per name.
 
-    Spark writes a folder per name with the one document in it; the document then moves to its place under its name. There
-    is a list per country, or per country and cluster, so the moves are few.
+    Spark writes a folder per name with the one document in it; the document then moves to its place under its name. Names are dealt
+    out over all tasks, which put their documents into the folder for writing themselves. The driver sees names only, and has
+    many moves under way at once.
     """
     spark, folder = files.sparkSession, path.rstrip("/")
     writing = f"{folder}/_writing-{uuid.uuid4().hex}"
-    files.write.partitionBy("file_name").option("compression", "gzip").json(writing)
-    for own in store.names(spark, writing):
-        if own.startswith("file_name="):
-            (part,) = [x for x in store.names(spark, f"{writing}/{own}") if x.startswith("part-")]
-            store.move(spark, f"{writing}/{own}/{part}", f"{folder}/{unquote(own.removeprefix('file_name='))}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = files.repartition(parts, "file_name").write.partitionBy("file_name").option("compression", "gzip")
+    # Safe here: no one reads this folder until the write has ended.
+    written.option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(writing)
+    own = [name for name in store.names(spark, writing) if name.startswith("file_name=")]
+    store.move_only_files(spark, [(f"{writing}/{x}", f"{folder}/{unquote(x.removeprefix('file_name='))}") for x in own])
     store.delete(spark, writing)
 
 

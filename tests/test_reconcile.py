@@ -9,7 +9,8 @@ from conftest import tuples
 from elastiq.operators.reconcile import reconcile, reconcile_counts, reconcile_nulls
 from elastiq.plans import publication
 from elastiq.sources.history import append_history, read_run
-from elastiq.sources.published import published_ids, read_published
+from elastiq.sources import files as store
+from elastiq.sources.published import published_ids, read_published, write_published
 from elastiq.sources.sinks import sink
 
 
@@ -131,3 +132,16 @@ def test_publication_check(spark, folder, tmp_path_factory):
     assert tuples(counts.filter("country_code = 'sg'"), "cluster", "published", "in_table", "matched") == [
         ("high", 1, 2, 1), ("low-fee", 2, 0, 1),
     ]
+
+
+def test_many_lists_are_published_at_once_and_replace_older_ones(spark, tmp_path, monkeypatch):
+    lists = lambda n: spark.range(300).selectExpr(
+        "concat('sg_xx-c', id, '-v1-a.gzip') AS file_name", f"array('{n}', cast(id AS string)) AS vendor_ids", "'1' AS update_timestamp"
+    )
+    single = []
+    monkeypatch.setattr(store, "move", lambda *a: single.append(a))  # a move on its own waits for the one before
+    for n in ("old", "new"):
+        write_published(lists(n), str(tmp_path / "lists"))
+    back = read_published(spark, str(tmp_path / "lists")).select("file_name", "vendor_ids", "update_timestamp")
+    assert tuples(back, *back.columns) == tuples(lists("new"), *back.columns) and not single
+    assert sorted(p.name for p in (tmp_path / "lists").iterdir() if not p.name.startswith(".")) == sorted(r[0] for r in lists("new").select("file_name").collect())
