@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ FEW_SIDES = 16
 # A cell is cut further, up to FINER levels below the given size, while its zones together have more sides than this.
 MANY_SIDES = 64
 FINER = 3
+# A cover with no more sides and whole cells than this is looked up from the rows of points themselves, a larger one by distinct places.
+FEW_IN_COVER = 200_000
 
 
 def point_text(lon: Column, lat: Column) -> Column:
@@ -210,24 +213,48 @@ def points_in_zones(
     *,
     lon: str = "lon",
     lat: str = "lat",
+    few: int = FEW_IN_COVER,
 ) -> DataFrame:
     """The rows of ``points`` inside at least one zone with the same ``on`` values, each kept once.
 
-    ``cells`` are the staged cells of the zones at the same ``cell_size``. Each distinct place is looked up once in the cover made of
-    them, at every level that it has, without the other columns of its rows; then rows are kept by place.
+    ``cells`` are the staged cells of the zones at the same ``cell_size``. If the cover made of them is small, every row is looked up in
+    it, once per level that it has, and no row is shuffled. Otherwise each distinct place is looked up, at every
+    level, without the other columns of its rows; then rows are kept by place.
     """
-    cells, levels = covering_cells(cells, on, cell_size)
+    cover, levels = covering_cells(cells, on, cell_size)
+    weight = F.sum(F.coalesce(F.size("_edges"), F.lit(1)))
+    if levels and (cover.agg(weight).first()[0] or 0) <= few:
+        return _rows_in_cover(points, cover, levels, on, cell_size, lon, lat)
     x, y = F.col("_x"), F.col("_y")
     places = points.select(*on, F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y"))
     places = places.filter(x.isNotNull() & y.isNotNull()).distinct().withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
     size = _size(F.col("_level"), cell_size)
     gridded = places.withColumn("_gx", F.floor(x / size)).withColumn("_gy", F.floor(y / size))
     exact = F.col("_edges").isNull() | inside(F.col("_edges"), x, y)
-    found = lookup_join(gridded, cells, [*on, "_level", "_gx", "_gy"], "left_semi", exact).select(*on, "_x", "_y").distinct()
+    found = lookup_join(gridded, cover, [*on, "_level", "_gx", "_gy"], "left_semi", exact).select(*on, "_x", "_y").distinct()
     keyed = points.withColumn("_x", F.col(lon).cast("double")).withColumn("_y", F.col(lat).cast("double"))
     return lookup_join(keyed, found, [*on, "_x", "_y"], "left_semi").select(*points.columns)
 
 
+def _rows_in_cover(points: DataFrame, cover: DataFrame, levels: Sequence[int], on: Sequence[str], cell_size: float, lon: str, lat: str) -> DataFrame:
+    """Rows of points in a small cover. A cell is one row with the sides of its zones, so a lookup never multiplies rows."""
+    cell = [*on, "_gx", "_gy"]
+    grouped = stage(cover.groupBy("_level", *cell).agg(F.collect_list("_edges").alias("_zones")), "cover")
+    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    rows = points.filter(x.isNotNull() & y.isNotNull())
+    for level in levels:
+        size = _size(level, cell_size)
+        here = grouped.filter(F.col("_level") == level).drop("_level").withColumnRenamed("_zones", f"_zones{level}")
+        placed = rows.withColumns({"_gx": F.floor(x / size), "_gy": F.floor(y / size)})
+        rows = lookup_join(placed, here, cell, "left").drop("_gx", "_gy")
+    # All levels are tested at once after the last lookup. A cell that lies wholly inside a zone has no sides.
+    zones = [F.col(f"_zones{level}") for level in levels]
+    empty = reduce(or_, [F.coalesce(F.size(z) == 0, F.lit(False)) for z in zones])
+    tested = F.exists(F.concat(*[F.coalesce(z, F.array()) for z in zones]), lambda edges: inside(edges, x, y))
+    met = rows.filter(reduce(or_, [z.isNotNull() for z in zones]))
+    return met.filter(empty | tested).select(*points.columns)
+
+
 def _direction(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
     a, b = F.radians(lon), F.radians(lat)
     return F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)

@@ -55,15 +55,16 @@ def sessions_in_zones(
     the events are. The zone tests are semi joins: overlapping zones never multiply a session.
     """
     first, last = window
-    kept = sessions.filter(F.col("created_date").between(F.lit(first), F.lit(last))).withColumn(
+    # The cheap test of kinds drops sessions; the exact filter runs once, on those that are left.
+    kinds = F.arrays_overlap("events.event_action", F.array(F.lit(VISIT), F.lit(TRANSACTION)))
+    kept = sessions.filter(F.col("created_date").between(F.lit(first), F.lit(last)) & kinds).withColumn(
         "events",
         F.filter(
             "events", lambda e: e["event_action"].isin(VISIT, TRANSACTION) & e["vendor_code"].isNotNull()
         ),
     )
     located = (
-        kept.filter(F.size("events") > 0)
-        .withColumn("dps", F.explode("dps_zone"))
+        kept.withColumn("dps", F.explode("dps_zone"))
         .withColumn("city_name", F.col("dps.city_name"))
         .withColumn("zone_name", F.col("dps.name"))
     )

@@ -276,6 +276,23 @@ def test_zones_over_each_other_agree_with_the_exact_test(spark):
     assert _points_inside(spark, [WITH_HOLE, SQUARE], [(2.0, 2.0), (1.0, 1.0), (4.0, 1.0)], 0.5) == [(1.0, 1.0), (2.0, 2.0)]
 
 
+def test_rows_in_a_small_cover_are_kept_without_a_shuffle_and_are_the_same_by_place(spark):
+    """Every row is kept once, with repeats, whichever way the cover is looked up, and at several levels of cells."""
+    shapes = [*_boxes(60), WITH_HOLE, _circle(6.0, 6.0, 7.0, 90)]
+    zones = spark.createDataFrame([("e", s) for s in shapes], f"e string, shape {SHAPE}")
+    cells = stage(zone_cells(zones, ["e"], "shape", 0.5), "cells")
+    places = [(x / 7, y / 7) for x, y in itertools.product(range(-20, 110, 5), repeat=2)] + [(None, 1.0), (1.0, None)]
+    rows = [(e, n, x, y) for n, (x, y) in enumerate(places * 2) for e in ("e", "other", None)]
+    points = stage(spark.createDataFrame(rows, "e string, n int, lon double, lat double"), "points")
+    at_once = points_in_zones(points, cells, ["e"], 0.5)
+    by_place = points_in_zones(points, cells, ["e"], 0.5, few=0)
+    assert at_once.columns == points.columns and len(covering_cells(cells, ["e"], 0.5)[1]) > 1
+    kept = tuples(at_once, "e", "n", "lon", "lat")
+    assert kept == tuples(by_place, "e", "n", "lon", "lat") and 0 < len(kept) < len(rows) / 3
+    plan = at_once._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def _winding(point, ring):
     """Turns of a ring seen from a point of the unit sphere."""
 
