@@ -6,7 +6,7 @@
 2. *Misspellings.* A word is run as a Levenshtein automaton (bit-parallel, up to one edit from five letters on, two from nine)
    down the trie of terms; branches where no state survives are left out. Of a term cut into one piece more than there may be
    edits, one piece must stand in the word; word and term must have a string in common after as many deletions as there may be
-   edits. Both are looked up first, lose nothing, and spare nearly all words the walk. Exact and misspelled hits of a term have weights of their own,
+   edits. Both are looked up first, lose nothing, and spare nearly all words the walk and the others all branches but those of the terms found. Exact and misspelled hits of a term have weights of their own,
    learned from how often each occurs in toxic and other texts; exact hits that do not tell count nothing. A misspelling starts from
    the shrunk weight of its term, so one that training never saw counts too; occurrences in other texts lower it.
 3. *Context.* A hit inside quotation marks, or with a word of reporting near, within ``WINDOW`` words, is taken as quotation,
@@ -43,11 +43,12 @@ from elastiq.sources.staging import stage
 WINDOW = 8
 _WORD = re.compile(r"[^\W_]+")
 _PIECES = re.compile(r"([^\W_]+)")
+_TO_SPACE = {c: " " for c in range(128) if not chr(c).isalnum()}
 # Marks that open and close quotations, words of reporting, words that address the reader.
 _MARKS = "\"“”„«»"
 _REPORTING = frozenset("said says wrote writes quoted quote called calls sagte schrieb nannte zitat dit dijo escribio cita".split())
 _ADDRESS = frozenset("you your youre du dich dein ihr tu toi te vous votre tu ti usted eres".split())
-_REMEMBERED = 200_000
+_REMEMBERED = 400_000
 _PRIOR = np.array([-4.0, 1.0, 0.25])
 _STEP, _MOST = 0.5, 24.0
 # What a misspelling keeps of its term's weight, and for how many seen texts that stands.
@@ -55,6 +56,11 @@ _BACKED_OFF, _AS_SEEN = 0.8, 2.0
 _HEAD = 7
 
 
+def words_of(lowered: str) -> set[str]:
+    """The distinct words of a text; the pattern's are runs of letters and digits, which plain text is cut into faster without it."""
+    return set(lowered.translate(_TO_SPACE).split() if lowered.isascii() else _WORD.findall(lowered))
+
+
 def forms(word: str) -> list[str]:
     """What a word may be listed as: itself, and its beginnings of four and five letters."""
     return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
@@ -79,43 +85,52 @@ class Lexicon:
     def __init__(self, terms: list[str]):
         self.terms, self.trie = terms, {}
         self.exact = {t: k for k, t in enumerate(terms)}
-        # By number of edits: the shortened terms, and the lengths a word may have to be near one.
-        self.shortened: dict[int, set[str]] = {}
+        # By number of edits: the shortened terms with the numbers of the terms, and the lengths a word may have to be near one.
+        self.shortened: dict[int, dict[str, list[int]]] = {}
         self.lengths: dict[int, set[int]] = {}
         # The same of their first characters only, which near words must share too and which are fewer to look up.
         self.heads: dict[int, set[str]] = {}
         self.known_heads: dict[str, tuple[int, ...]] = {}
-        # Beginnings of the pieces of terms, with a bit for each place where one may stand in a near word.
-        self.pieces: dict[str, int] = {}
+        # Beginnings of the pieces of terms, with a bit for each place where one may stand in a near word, by length of the word.
+        self.pieces: dict[int, dict[str, int]] = {}
+        self.begins = {t[:-1] for t in terms if t.endswith("*")}
         for k, term in enumerate(terms):
             edits = most_edits(term)
             if not edits or term.endswith("*"):
                 continue
-            node = self.trie
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = (k, edits)
+            self._add(self.trie, k)
             cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
             for start, stop in zip(cuts, cuts[1:]):
                 piece, places = term[start : min(stop, start + 3)], (1 << (2 * edits + 1)) - 1
                 places = places << (start - edits) if start >= edits else places >> (edits - start)
-                self.pieces[piece] = self.pieces.get(piece, 0) | places
-            self.shortened.setdefault(edits, set()).update(shortened(term, edits))
+                for length in range(len(term) - edits, len(term) + edits + 1):
+                    of_length = self.pieces.setdefault(length, {})
+                    of_length[piece] = of_length.get(piece, 0) | places
+            for left in shortened(term, edits):
+                self.shortened.setdefault(edits, {}).setdefault(left, []).append(k)
             self.heads.setdefault(edits, set()).update(shortened(term[:_HEAD], edits))
             self.lengths.setdefault(edits, set()).update(range(len(term) - edits, len(term) + edits + 1))
 
+    def _add(self, trie: dict, k: int) -> None:
+        node = trie
+        for c in self.terms[k]:
+            node = node.setdefault(c, {})
+        node[""] = (k, most_edits(self.terms[k]))
+
     def _has_a_piece(self, word: str) -> bool:
         """Of a term cut into one piece more than there may be edits, one piece stands untouched in a near word, hardly moved."""
-        pieces = self.pieces.get
+        if (of_length := self.pieces.get(len(word))) is None:
+            return False
+        pieces = of_length.get
         for k in range(len(word) - 1):
             if (pieces(word[k : k + 3], 0) | pieces(word[k : k + 2], 0)) >> k & 1:
                 return True
         return False
 
-    def _worth(self, word: str) -> int:
-        """The edits within which a term may be near; 0 if none is."""
-        if not any(len(word) in lengths for lengths in self.lengths.values()) or not self._has_a_piece(word):
-            return 0
+    def _worth(self, word: str) -> set[int]:
+        """The terms that may be near: all that have a string in common with the word after their edits in deletions."""
+        if not self._has_a_piece(word):
+            return set()
         head = word[:_HEAD]
         if (allowed := self.known_heads.get(head)) is None:
             if len(self.known_heads) >= _REMEMBERED:
@@ -123,26 +138,35 @@ class Lexicon:
             by_most = sorted(self.heads, reverse=True)
             allowed = tuple(e for e in by_most if not self.heads[e].isdisjoint(shortened(head, e)))
             self.known_heads[head] = allowed
+        found: set[int] = set()
         for edits in allowed:
-            if len(word) in self.lengths[edits] and not self.shortened[edits].isdisjoint(shortened(word, edits)):
-                return edits
-        return 0
+            if len(word) in self.lengths[edits]:
+                known = self.shortened[edits]
+                for left in known.keys() & shortened(word, edits):
+                    found.update(known[left])
+        return found
 
     def near(self, word: str) -> tuple[tuple[int, bool], ...]:
         """(term, misspelled): the terms that list the word, or else the nearest within its allowance (ties: the first)."""
-        listed = tuple((self.exact[f], False) for f in forms(word) if f in self.exact)
-        if listed or len(word) < 4 or not (edits := self._worth(word)):
+        listed = ()
+        if word in self.exact or word[:4] in self.begins or word[:5] in self.begins:
+            listed = tuple((self.exact[f], False) for f in forms(word) if f in self.exact)
+        if listed or len(word) < 4 or not (worth := self._worth(word)):
             return listed
-        best = min(self.walk(word, edits), key=lambda x: (x[1], x[0]), default=None)
+        # The branches of these terms only; most words that come here have one.
+        trie: dict = {}
+        for k in worth:
+            self._add(trie, k)
+        best = min(self.walk(word, trie=trie), key=lambda x: (x[1], x[0]), default=None)
         return ((best[0], True),) if best else ()
 
-    def walk(self, word: str, edits: int = 2) -> Iterator[tuple[int, int]]:
+    def walk(self, word: str, edits: int = 2, trie: dict | None = None) -> Iterator[tuple[int, int]]:
         """The automaton of ``word`` run down the trie: bit i of state e says i characters are matched with e edits."""
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         accept, every = 1 << len(word), (2 << len(word)) - 1
-        stack = [(self.trie, [(2 << e) - 1 for e in range(edits + 1)])]
+        stack = [(self.trie if trie is None else trie, [(2 << e) - 1 for e in range(edits + 1)])]
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
@@ -181,7 +205,7 @@ class Scanner:
 
     def hits(self, text: str) -> dict[str, tuple[tuple[int, bool], ...]]:
         """The words of a text that are listed or near a term, with (term, misspelled)."""
-        return self.hits_of(set(_WORD.findall(text.lower())))
+        return self.hits_of(words_of(text.lower()))
 
     def hits_of(self, words: set[str]) -> dict[str, tuple[tuple[int, bool], ...]]:
         if len(self.seen) >= _REMEMBERED:
@@ -192,20 +216,20 @@ class Scanner:
             if hits := self.lexicon.near(word):
                 self.known[word] = hits
         self.seen |= new
-        return {word: self.known[word] for word in words if word in self.known}
+        return {word: self.known[word] for word in words & self.known.keys()}
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Summed weights of distinct hits: as abuse, and as quotation only."""
         lowered = (text or "").lower()
-        pieces = _PIECES.split(lowered)  # words at odd places, what lies between them at even ones
-        words = pieces[1::2]
         weighed = {}
-        for word, hits in self.hits_of(set(words)).items():
+        for word, hits in self.hits_of(words_of(lowered)).items():
             telling = {h: self.model.weights[h] for h in hits if h in self.model.weights}
             if telling:
                 weighed[word] = telling
         if not weighed:
             return 0.0, 0.0
+        pieces = _PIECES.split(lowered)  # words at odd places, what lies between them at even ones
+        words = pieces[1::2]
         ends = list(accumulate(map(len, pieces)))
         marks = [m.start() for m in re.finditer(f"[{_MARKS}]", lowered)]
         abuse: dict = {}
@@ -275,7 +299,7 @@ def _document_counts(texts: DataFrame, things: callable, kind: str) -> DataFrame
 
 def learn_terms(texts: DataFrame, n: dict[int, int], terms: int, least_ratio: float = 20.0, least_evidence: float = 12.0) -> list[str]:
     """The words with the strongest evidence (likelihood ratio statistic) for the toxic class; its limit is the same at every size."""
-    words = lambda: lambda text: {f for w in set(_WORD.findall(text.lower())) if 3 <= len(w) <= 40 for f in forms(w)}
+    words = lambda: lambda text: {f for w in words_of(text.lower()) if 3 <= len(w) <= 40 for f in forms(w)}
     counts = _document_counts(texts, words, "string").filter("n_toxic > 1")
     a, b = F.col("n_toxic").cast("double"), F.col("n_other").cast("double")
     rate = (a + b) / (n[1] + n[0])

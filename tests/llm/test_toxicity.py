@@ -31,6 +31,27 @@ def test_automaton_finds_what_edit_distance_allows():
             assert lexicon._worth(word) and lexicon.near(word) == ((min(near, key=lambda x: (x[1], x[0]))[0], True),)
 
 
+def test_only_the_branches_of_terms_that_may_be_near_are_walked(monkeypatch):
+    r = random.Random(6)
+    lexicon = Lexicon(sorted({"".join(r.choices("abcdefgh", k=r.randrange(5, 12))) for _ in range(300)}))
+    walked, walk = [], Lexicon.walk
+
+    def counted(self, word, *args, trie=None, **names):
+        walked.append(sum(trie is not None and c in trie for c in "abcdefgh"))
+        return walk(self, word, *args, trie=trie, **names)
+
+    monkeypatch.setattr(Lexicon, "walk", counted)
+    words = [t[:2] + "x" + t[3:] for t in lexicon.terms]
+    assert all(lexicon.near(w) for w in words)
+    assert len(walked) == len(words) and 1 <= min(walked) and max(walked) < 4  # the full trie has eight branches
+
+
+def test_words_are_those_of_the_pattern():
+    plain = "".join(map(chr, range(128))).lower() + " under_score it's 3rd\x1fend"
+    for text in (plain, plain + " straße", "", "été_à２³"):
+        assert toxicity.words_of(text) == set(toxicity._WORD.findall(text))
+
+
 def test_context_separates_quotation_from_abuse():
     model = Model(["stupidhead"], {(0, False): 5.0, (0, True): 4.0})
     scan = Scanner(model)
