@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import ratio
 from elastiq.functions.ranks import percent_ranks
-from elastiq.functions.skew import salted_join
+from elastiq.functions.skew import dealt, salted_join
 from elastiq.params import KEYS, TRANSACTION, VISIT, Params
 
 VENDOR = [*KEYS, "vendor_code"]
@@ -21,13 +21,14 @@ def session_marks(sessions: DataFrame, by: Sequence[str], *, tx_unit: str = "ses
     """Distinct sessions and distinct event times per ``by``, flagged as visit and as transaction.
 
     All distinct counts of a curve are sums over these rows, so they need one shuffle of the events, on a
-    key that includes the session or time: a hot vendor is spread over all tasks.
+    key that includes the session or time: a hot vendor is spread over all tasks. Most events have a key of
+    their own, so they are not aggregated before it.
     """
     visit = F.col("event_action") == VISIT
     tx = F.col("event_action") == TRANSACTION
     timed = visit | tx if tx_unit == "event_time" else visit
     of_time = F.col("of_time")
-    return (
+    marks = (
         sessions.select(
             *by,
             visit.alias("visit"),
@@ -38,9 +39,13 @@ def session_marks(sessions: DataFrame, by: Sequence[str], *, tx_unit: str = "ses
         )
         .withColumns({"sid": F.when(~of_time, F.col("sid")), "at": F.when(of_time, F.col("at"))})
         .filter(F.col("sid").isNotNull() | F.col("at").isNotNull())
-        .groupBy(*by, *MARK)
-        .agg(F.max("visit").alias("visit"), F.max("tx").alias("tx"))
     )
+    return distinct_marks(marks, by)
+
+
+def distinct_marks(marks: DataFrame, by: Sequence[str]) -> DataFrame:
+    keys = [*by, *MARK]
+    return dealt(marks, keys).groupBy(*keys).agg(F.max("visit").alias("visit"), F.max("tx").alias("tx"))
 
 
 def _count(of_time: bool, flag: str) -> Column:

@@ -153,6 +153,45 @@ def test_a_session_with_two_vendors_counts_once_per_group(spark, params):
     assert out["vcurve"].count() == 2
 
 
+def test_marks_are_shuffled_once_and_then_reduced(spark, params):
+    """Keys of marks hardly repeat: reduced before the shuffle they filled a hash table with every event of a task."""
+    vendors = _vendors(spark, (1, 1, 1, "a"))
+    events = Events().add("a", 3, 2, 1.0).frame(spark)
+    tiers = spark.createDataFrame([("E", "sg", 1, 1.0)], "entity_id string, country_code string, master_asa_id long, fee double")
+    for unit, transactions in (("session", 2), ("event_time", 4)):
+        p = dataclasses.replace(params, tx_unit=unit)
+        # the same events from several partitions, transactions of half of them at another time
+        late = events.filter("event_action = 'transaction'").withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 1 DAY"))
+        seen = events.union(events).union(late).repartition(3)
+        marks = curves.curve_marks(seen, vendors, p)
+        plan = screening.session_marks(seen, screening.VENDOR, tx_unit=unit)._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+        assert len(plan) == 2 and "HashAggregate" in plan[0] and "HashAggregate" not in plan[1]
+        curve = curves.group_curve(vendors, marks, tiers, p)
+        assert tuples(curve, "num_unique_vendor_visits", "num_transactions") == [(3, transactions)]
+
+
+def test_marks_at_a_fee_of_minus_zero_meet_those_at_zero(spark, params):
+    vendors = _vendors(spark, (1, 1, 1, "a"))
+    events = Events()
+    for i in range(20):
+        for fee in (0.0, -0.0):
+            events._one("a", f"s{i}", "shop_details.loaded", fee)
+    out = _curves(spark, params, vendors, events, [(1, 0.0)])
+    assert tuples(out["vcurve"], "df_total", "num_unique_vendor_visits") == [(0.0, 20)]
+    assert tuples(out["gcurve"], "df_total", "num_unique_vendor_visits") == [(0.0, 20)]
+
+
+@pytest.mark.parametrize("unit", ["session", "event_time"])
+def test_a_fee_seen_without_a_session_keeps_its_group_row(spark, params, unit):
+    p = dataclasses.replace(params, tx_unit=unit)
+    events = Events().add("a", 2, 1, 1.0)
+    events._one("a", None, "shop_details.loaded", 2.0)
+    out = _curves(spark, p, _vendors(spark, (1, 1, 1, "a")), events, [(1, 1.0), (1, 2.0)])
+    assert tuples(out["gcurve"], "df_total", "num_unique_vendor_visits", "num_transactions", "asa_cvr3_per_df") == [
+        (1.0, 2, 1, 0.5), (2.0, 0, 0, 0.0),
+    ]
+
+
 def test_several_names_under_one_id_multiply_rows(spark, params):
     """Two groups pooled under id 9 differ in vendor count, so the pooled curve has two rows per fee."""
     vendors = _vendors(spark, (1, 9, 1, "a"), (2, 9, 2, "b"))
