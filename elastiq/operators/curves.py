@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from elastiq.functions.numbers import nonzero
 from elastiq.functions.skew import lookup_join
-from elastiq.operators.screening import MARK, VENDOR, mark_counts, session_marks
+from elastiq.operators.screening import MARK, VENDOR, distinct_marks, mark_counts, session_marks
 from elastiq.params import KEYS, Params
 
 # Slopes are compared with each other; this many decimals hide the order in which rows were added up.
@@ -85,16 +85,17 @@ def group_curve(screened: DataFrame, marks: DataFrame, tiers: DataFrame, p: Para
     """The same pooled over the screened vendors of a group.
 
     A session that saw several vendors counts once, so marks are reduced again per group; the key keeps
-    the session, which spreads a hot group.
+    the session, which spreads a hot group. Groups have no impressions, so a time is reduced only if it counts as
+    a transaction; other times just keep the row of their fee.
     """
     grain = [*GROUP_LEVEL.grain(p), "df_total"]
     members = screened.select(*VENDOR_LEVEL.grain(p)).distinct()
     on = [*KEYS, p.group_key, "df_total"]
     pooled = lookup_join(marks, members, VENDOR, "inner")
     pooled = lookup_join(pooled, _current_fees(tiers, p), on, "left_semi")
-    marks = pooled.groupBy(*grain, *MARK).agg(
-        F.max("visit").alias("visit"), F.max("tx").alias("tx")
-    )
+    counts = ~F.col("of_time") | (F.col("tx") if p.tx_unit == "event_time" else F.lit(False))
+    columns = [*grain, *MARK, "visit", "tx"]
+    marks = distinct_marks(pooled.filter(counts), grain).unionByName(pooled.filter(~counts).select(*columns))
     return mark_counts(marks, grain, GROUP_LEVEL.cvr, tx_unit=p.tx_unit).drop("num_total_vendor_impressions")
 
 
