@@ -6,6 +6,7 @@ from helpers import documents, repeated
 
 from elastiq.llm import suffixes
 from elastiq.llm.suffixes import Limits
+from elastiq.sources.staging import stage
 
 
 def spans_of(df):
@@ -58,6 +59,43 @@ def test_empty_table(spark):
     assert suffixes.remove_repeats(documents(spark, [])).collect() == []
 
 
+SPLIT_SOON = {
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+}
+
+
+def test_rows_of_a_hot_gram_can_be_split(spark, monkeypatch):
+    plans = {}
+
+    def recorded(df, name):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return stage(df, name)
+
+    monkeypatch.setattr(suffixes, "stage", recorded)
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    hot, limits = "QRSTUVWXYZQRZZY", Limits(length=12, gram=4)
+    rows = [(k, text(30) + hot + text(10)) for k in range(500)]
+    before = {k: spark.conf.get(k, None) for k in SPLIT_SOON}
+    try:
+        for k, v in SPLIT_SOON.items():
+            spark.conf.set(k, v)
+        got = suffixes.remove_repeats(documents(spark, rows).repartition(8), limits)
+        assert spans_of(got) == wanted(rows, limits.length)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plans["suffix-shared"]
+    grams = [x for x in plans["suffix-ranges"].splitlines() if "SortMergeJoin" in x and "[gram#" in x and "Inner" in x]
+    assert len(grams) == 1 and "skew=true" in grams[0]
+
+
 def test_long_texts_are_sampled_in_pieces_alike(monkeypatch):
     data = np.frombuffer(("abcab" * 300 + "".join(random.Random(1).choices("abcd", k=4000))).encode(), np.uint8)
     limits = Limits(length=50, gram=8)
